@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, sharding
-from .common import saved, table
+from . import chat, langid, media, mixing, sharding, toxicity
+from .common import remainder, saved, table
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,18 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(own)))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = remainder(F.col("doc_id"), 3) == 1
+    return langid.identify(docs, langid.fit(docs.where(~out)), out)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = remainder(F.col("doc_id"), 4) == 2
+    return toxicity.score(docs, toxicity.fit(docs, labels.where(~out)), out)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -39,6 +51,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": op3_chat,
+    "op5_langid": op5_langid,
+    "op6_toxicity": op6_toxicity,
     "op8_sharding": op8_sharding,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
