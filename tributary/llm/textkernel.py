@@ -145,14 +145,24 @@ def split_words(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Words
     return Words(part, start, end, doc, first, bounds)
 
 
-def word_hashes(w: Words, values: np.ndarray = PLAIN, raw: np.ndarray | None = None, origin: np.ndarray | None = None) -> np.ndarray:
-    """Hash of each word's bytes; ``origin`` replaces the starts (for skipped leading bytes)."""
-    power, inverse = _power_tables(len(w.raw) + 1)
-    total = np.zeros(len(w.raw) + 1, U64)
+def byte_sums(raw: np.ndarray, values: np.ndarray = PLAIN) -> np.ndarray:
+    """Running sums from which the hash of any span of bytes follows."""
+    total = np.zeros(len(raw) + 1, U64)
     with np.errstate(over="ignore"):
-        np.cumsum(values[w.raw if raw is None else raw] * power[: len(w.raw)], out=total[1:])
-        h = (total[w.end] - total[w.start]) * inverse[w.start if origin is None else origin]
-    return mix64(h)
+        np.cumsum(values[raw] * _power_tables(len(raw) + 1)[0][: len(raw)], out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray, origin: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each span; ``origin`` says where its counted bytes begin, by default at ``start``."""
+    inverse = _power_tables(len(total))[1]
+    with np.errstate(over="ignore"):
+        return mix64((total[end] - total[start]) * inverse[start if origin is None else origin])
+
+
+def word_hashes(w: Words, values: np.ndarray = PLAIN) -> np.ndarray:
+    """Hash of each word's bytes."""
+    return span_hashes(byte_sums(w.raw, values), w.start, w.end)
 
 
 _GRAM = U64(0xD6E8FEB86659FD93)

@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples.
 
-Terms (lower-cased words without surrounding punctuation) that go with the
+Terms (lower-cased words and their leading bytes) that go with the
 label are chosen by chi-square over the training sample; texts and examples are
 TF-IDF vectors over them.  A block-max inverted index over the examples gives
 the exact nearest ones by cosine: each term keeps its largest weight in every
@@ -33,8 +33,10 @@ from .common import drop_saved, saved
 
 #: Labelled rows that the classifier is fitted on, at most; terms; neighbours; examples per block.
 SAMPLE, TERMS, NEIGHBOURS, BLOCK = 20_000, 256, 15, 64
-#: A term needs so many examples, this chi-square (corrected for continuity) and this lift over the base rate.
-MIN_EXAMPLES, MIN_CHI2, MIN_LIFT = 5, 40.0, 2.0
+#: Lengths in bytes of the leading parts of words that are terms too.
+PREFIXES = (4, 5, 6)
+#: A term needs so many examples, this chi-square (corrected for continuity) and odds ratio.
+MIN_EXAMPLES, MIN_CHI2, MIN_ODDS = 5, 40.0, 10.0
 THRESHOLD, SHRINK, CLOSENESS = 0.3, 1.0, 2.0
 
 _SOLID = np.zeros(256, bool)
@@ -42,21 +44,32 @@ _SOLID[48:58] = _SOLID[65:91] = _SOLID[97:123] = _SOLID[128:] = True
 _VALUES = K.byte_values(True, _SOLID)
 
 
-def term_hashes(w: K.Words) -> np.ndarray:
-    """Hash of each word from its first letter or digit on; 0 for words without any."""
+def chunk_terms(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, term) of every word from its first letter or digit on, and of its leading bytes.
+
+    Leading bytes (``PREFIXES``) catch inflected forms of one stem.
+    """
+    if not len(w.start):
+        return np.zeros(0, np.int64), np.zeros(0, K.U64)
     place = np.where(_SOLID[w.raw], np.arange(len(w.raw)), len(w.raw))
-    nearest = np.minimum.accumulate(place[::-1])[::-1] if len(place) else place
-    origin = np.minimum(nearest[w.start], w.end - 1) if len(w.start) else w.start
-    h = K.word_hashes(w, _VALUES, origin=origin)
-    return np.where(_SOLID[w.raw[origin]], h, K.U64(0)) if len(h) else h
+    nearest = np.minimum.accumulate(place[::-1])[::-1]
+    origin = np.minimum(nearest[w.start], w.end - 1)
+    ok = _SOLID[w.raw[origin]]
+    origin, end, doc = origin[ok], w.end[ok], w.doc[ok]
+    total = K.byte_sums(w.raw, _VALUES)
+    docs, terms = [doc], [K.span_hashes(total, origin, end)]
+    for n in PREFIXES:
+        long = end - origin > n
+        docs.append(doc[long])
+        terms.append(K.mix64(K.span_hashes(total, origin[long], origin[long] + n) + K.U64(n)))
+    return np.concatenate(docs), np.concatenate(terms)
 
 
 def doc_terms(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first document, document index, term) of every word, piece by piece."""
+    """(first document, document index, term), piece by piece, terms in no order."""
     raw, off = K.string_parts(col)
     for lo, hi in K.chunks(off):
-        w = K.split_words(raw, off, lo, hi)
-        yield lo, w.doc, term_hashes(w)
+        yield lo, *chunk_terms(K.split_words(raw, off, lo, hi))
 
 
 @dataclass
@@ -120,8 +133,8 @@ def choose(terms: np.ndarray, n_toxic: np.ndarray, n_all: np.ndarray, toxic: int
     a, b = n_toxic.astype(float), (n_all - n_toxic).astype(float)
     c, d = toxic - a, (total - toxic) - b
     chi = total * np.maximum(np.abs(a * d - b * c) - total / 2, 0) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    lift = (a / np.maximum(n_all, 1)) / max(toxic / max(total, 1), 1e-9)
-    ok = (n_all >= MIN_EXAMPLES) & (chi >= MIN_CHI2) & (lift >= MIN_LIFT) & (terms != 0)
+    odds = (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
+    ok = (n_all >= MIN_EXAMPLES) & (chi >= MIN_CHI2) & (odds >= MIN_ODDS)
     at = np.flatnonzero(ok)
     return np.sort(terms[at[np.lexsort((terms[at], -chi[at]))][:TERMS]])
 
@@ -135,6 +148,8 @@ def sample_terms(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
         for b in batches:
             terms, counts = [b""] * b.num_rows, [b""] * b.num_rows
             for lo, doc, h in doc_terms(b.column(2)):
+                order = np.argsort(doc, kind="stable")
+                doc, h = doc[order], h[order]
                 start, size = K.group_spans(doc)
                 for s, z in zip(start, size, strict=True):
                     u, c = np.unique(h[s : s + z], return_counts=True)
@@ -164,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # terms that cannot pass the test are dropped before they are sent
     least = rows.select("toxic", "terms").mapInArrow(tally, "term long, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("t"))
     base = toxic / max(total, 1)
-    found = least.where((F.col("n") >= MIN_EXAMPLES) & (F.col("t") >= MIN_LIFT * base * F.col("n"))).toPandas()
+    found = least.where((F.col("n") >= MIN_EXAMPLES) & (F.col("t") >= base * F.col("n"))).toPandas()
     terms = choose(found["term"].to_numpy(np.int64).view(np.uint64), found["t"].to_numpy(np.int64), found["n"].to_numpy(np.int64), toxic, total)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
