@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, mixing, ngram_join, sharding, toxicity
+from . import chat, langid, media, mixing, ngram_join, sharding, substring, toxicity
 from .common import remainder, saved, table
 
 
@@ -18,6 +18,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(own)))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = remainder(F.col("doc_id"), 3) == 1
@@ -55,6 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": op3_chat,
+    "op4_substring": op4_substring,
     "op5_langid": op5_langid,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_join": op7_ngram_join,
