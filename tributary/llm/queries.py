@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, mixing, ngram_join, sharding, substring, toxicity
+from . import chat, langid, lm, media, mixing, ngram_join, sharding, substring, toxicity
 from .common import remainder, saved, table
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remainder(F.col("doc_id"), 7) == 2
+    return lm.score(table(spark, sf_dir, "documents"), ~out).withColumn("held_out", out)
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -59,6 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm": op2_lm,
     "op3_chat": op3_chat,
     "op4_substring": op4_substring,
     "op5_langid": op5_langid,
