@@ -258,5 +258,8 @@ def join(docs: DataFrame, n: int = WORDS) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, that come first in their component; one row per id."""
-    first = join(docs, n).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    found = saved(join(docs, n).select("doc_id", "component_id"), "ngram-found")
+    first = found.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    repeats = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id"])

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lm, media, mixing, ngram_join, sharding, substring, toxicity
+from . import chat, decontaminate, langid, lm, media, mixing, ngram_join, sharding, substring, toxicity
 from .common import remainder, saved, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remainder(F.col("doc_id"), 7) == 2
     return lm.score(table(spark, sf_dir, "documents"), ~out).withColumn("held_out", out)
@@ -64,6 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_lm": op2_lm,
     "op3_chat": op3_chat,
     "op4_substring": op4_substring,
