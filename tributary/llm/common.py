@@ -59,5 +59,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def keep_matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs``, all columns, joined on doc_id with the only column of ``ids`` (left_semi or left_anti).
+
+    Rows travel as one struct, so no column name of ``docs`` can clash.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(ids.toDF("id"), F.col("row.doc_id").eqNullSafe(F.col("id")), how).select("row.*")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import saved
+from .common import keep_matching, saved
 
 #: Template words of a window; matched words that make a leak (all of a shorter item); literal words of a window; shared hashes; share of slots that must agree.
 WINDOW, MATCHED, LITERALS, SHARED, AGREE = 8, 13, 4, 2_000_000, 0.8
@@ -210,5 +210,5 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, matched: int
 
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, into which no item leaked."""
-    leaked = saved(matches(docs, items, width).select(F.col("doc_id").alias("_id")).distinct(), "decon-leaked")
-    return docs.join(leaked, F.col("doc_id") == F.col("_id"), "left_anti")
+    leaked = saved(matches(docs, items, width).select("doc_id").distinct(), "decon-leaked")
+    return keep_matching(docs, leaked, "left_anti")

@@ -75,7 +75,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_e
     once more if at least half of it lies before the cut.  Documents without
     words have no share to lose and stay once.
     """
-    share = mix(docs, weights, max_epochs).select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("_copies"))
-    share = share.groupBy("_id").agg(F.max("_copies").alias("_copies")).where("_copies > 0")
-    kept = docs.join(share, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    share = mix(docs, weights, max_epochs).select(F.col("doc_id").alias("id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("copies"))
+    share = share.groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(share, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

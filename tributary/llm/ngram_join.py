@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import drop_saved, partitions, saved
+from .common import drop_saved, keep_matching, partitions, saved
 from .filters import contains, id_hash, members, repeated
 from .graph import components
 
@@ -257,9 +257,12 @@ def join(docs: DataFrame, n: int = WORDS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns, that come first in their component; one row per id."""
+    """The rows of ``docs``, all columns, that come first in their component; one row per id.
+
+    Rows without an id stay, as one, if one of them has no link to a row with an id.
+    """
     found = saved(join(docs, n).select("doc_id", "component_id"), "ngram-found")
-    first = found.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    first = found.where("doc_id <=> component_id").select("doc_id").distinct()
+    kept = keep_matching(docs, first, "left_semi")
     repeats = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id"])

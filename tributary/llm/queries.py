@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lm, media, mixing, ngram_join, sharding, substring, toxicity
+from . import chat, decontaminate, langid, lm, media, mixing, ngram_join, oracles, sharding, substring, toxicity
 from .common import remainder, saved, table
 
 
@@ -24,7 +24,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
-    return chat.read_back(chat.format_turns(turns.unionByName(own)))
+    return chat.read_back(chat.format_turns(turns.unionByName(own))).drop("n_tokens", "loss_tokens")
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others have no SQL form: tests hold them against brute force, round trips or held-out labels.
+ORACLES: dict[str, str] = {
+    "op3_chat": oracles.OP3,
+    "op4_substring": oracles.OP4,
+    "op7_ngram_join": oracles.OP7,
+    "op10_mixing": oracles.OP10,
+}
