@@ -38,6 +38,8 @@ from .graph import components
 
 #: Similarity in percent; words of a shingle; hash buckets for rarity; bins of a sketch; hubs of a column; rows of a block.
 PERCENT, WORDS, RARITY_BITS, BINS, HUBS, BLOCK = 90, 3, 18, 128, 3, 256
+#: A bin's count that may be larger; documents with one pass every bound.  Members of a column whose pairs go without sketches.
+_FULL, _FEW = 255, 64
 _SLICE = 1 << 12
 
 
@@ -111,7 +113,7 @@ def signatures(docs: DataFrame, rarity, n: int = WORDS) -> DataFrame:
                 packed = s.astype("<u8")
                 prefix = [packed[i : i + k].tobytes() for i, k in zip(first[:-1], lead, strict=True)]
                 bins = np.bincount(doc * BINS + (K.mix64(s) >> K.U64(57)).astype(np.int64), minlength=(hi - lo) * BINS)
-                bins = np.minimum(bins, 65535).astype("<u2").reshape(hi - lo, BINS)
+                bins = np.minimum(bins, _FULL).astype(np.uint8).reshape(hi - lo, BINS)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size, pa.int32()), pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.array(prefix, pa.binary()), pa.array([x.tobytes() for x in bins], pa.binary())], ["doc_id", "n", "f", "g", "prefix", "sketch"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -168,8 +170,8 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int = WO
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             na, nb = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, BINS) for k in (4, 5))
-            full = (x == 65535).any(1) | (y == 65535).any(1)
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (4, 5))
+            full = (x == _FULL).any(1) | (y == _FULL).any(1)
             ok = full | _may_link(na, nb, np.minimum(x, y).sum(1, dtype=np.int64))
             yield b.filter(pa.array(ok)).select(["a", "b"])
 
@@ -207,8 +209,10 @@ def block_pairs(post: DataFrame, found: DataFrame, sketches: DataFrame) -> DataF
     """Pairs of different components that a column still allows, from products of its blocks."""
     named = saved(post.join(found, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")), "ngram-named")
     mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    mixed = mixed.select(F.col("token").alias("t"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    open_ = named.join(mixed, F.col("token") == F.col("t")).join(sketches.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
+    mixed = mixed.select(F.col("token").alias("t"), "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    found_open = named.join(mixed, F.col("token") == F.col("t"))
+    few = found_open.where(F.col("members") <= _FEW).withColumn("sketch", F.lit(None).cast("binary"))
+    open_ = few.unionByName(found_open.where(F.col("members") > _FEW).join(sketches.select(F.col("doc_id").alias("rep"), "sketch"), "rep"))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     rows = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.struct("comp", "rep", "n", "pos", "mine", "sketch")
@@ -221,14 +225,17 @@ def block_pairs(post: DataFrame, found: DataFrame, sketches: DataFrame) -> DataF
             for k in range(b.num_rows):
                 rows = lists[k].values
                 comp, rep, n, pos, mine = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5))
-                sk = np.frombuffer(b"".join(rows.field(5).to_pylist()), "<u2").reshape(-1, BINS)
-                full = (sk == 65535).any(1)
+                bare = rows.field(5).null_count > 0
+                if not bare:
+                    sk = np.frombuffer(b"".join(rows.field(5).to_pylist()), np.uint8).reshape(-1, BINS)
+                    full = (sk == _FULL).any(1)
                 one, two = (np.flatnonzero(mine == x[k]) for x in (i_all, j_all))
                 for r in one:
                     c = two[(comp[two] != comp[r]) & ((rep[two] > rep[r]) | (i_all[k] != j_all[k]))]
                     c = c[(100 * np.minimum(n[c], n[r]) >= PERCENT * np.maximum(n[c], n[r])) & _may_link(n[c], n[r], np.minimum(n[c] - pos[c], n[r] - pos[r]))]
-                    if len(c):
+                    if len(c) and not bare:
                         c = c[full[c] | full[r] | _may_link(n[c], n[r], np.minimum(sk[c], sk[r]).sum(1, dtype=np.int64))]
+                    if len(c):
                         out_a.append(np.minimum(rep[c], rep[r]))
                         out_b.append(np.maximum(rep[c], rep[r]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
@@ -246,10 +253,12 @@ def join(docs: DataFrame, n: int = WORDS) -> DataFrame:
     reps = saved(signs.where("n > 0").join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "prefix", "sketch"), "ngram-reps")
     drop_saved(signs)
     post = saved(postings(reps, sc.broadcast(repeated(reps, "prefix"))).repartition(partitions(docs.sparkSession)), "ngram-postings")
-    sketches = reps.select("doc_id", "n", "sketch")
+    sketches = saved(reps.select("doc_id", "n", "sketch"), "ngram-sketches")
+    drop_saved(reps)
     tried = saved(hub_pairs(post), "ngram-tried")
     first = verified(tried, sketches, docs, n)
-    more = saved(block_pairs(post, components(first), sketches), "ngram-more").join(tried, ["a", "b"], "left_anti")
+    more = saved(block_pairs(post, components(first), sketches).join(tried, ["a", "b"], "left_anti"), "ngram-more")
+    drop_saved(post)
     links = first.union(verified(more, sketches, docs, n))
     found = components(links)
     out = classes.join(found, F.col("rep") == F.col("node"), "left")
