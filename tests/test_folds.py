@@ -68,3 +68,12 @@ def test_state_crosses_batches_and_empty_input(spark):
         assert folds.keyed_fold(df.where("id < 0"), "k", ["id"], step, "id long, n long").count() == 0
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_join_and_collect_steps(spark):
+    rows = [(1, "u1", "imp", "a0"), (2, "u1", "imp", "a1"), (3, "u2", "imp", "a2"), (4, "u1", "click", "c1"), (5, "u3", "click", "c2"), (6, "u1", "click", "c3")]
+    df = spark.createDataFrame(rows, "seq long, u string, side string, v string")
+    got = folds.keyed_fold(df, "u", ["seq"], folds.join_step("side", ["imp", "click"], "v", "u"), "u string, imp string, click string")
+    assert out(got, "u", "imp", "click") == [("u1", "a1", "c1"), ("u1", "a1", "c3")]
+    got = folds.keyed_fold(df, "u", ["seq"], folds.collect_step("v", 3, "u"), "u string, items array<string>", folds.collect_end("u"))
+    assert sorted((u, len(i)) for u, i in out(got, "u", "items")) == [("u1", 1), ("u1", 3), ("u2", 1), ("u3", 1)]

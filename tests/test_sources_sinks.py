@@ -102,3 +102,12 @@ def test_sinks(spark, tmp_path):
     kept = {}
     sinks.fan_out({n: (p, lambda d, i, n=n: kept.__setitem__(n, d.count())) for n, p in {"low": F.col("value") < 50, "high": F.col("value") >= 50}.items()})(df, 0)
     assert kept == {"low": 50, "high": 150}
+
+
+def test_small_sinks(spark, tmp_path, capsys):
+    df = spark.range(5).coalesce(1)
+    assert sinks.stdout_lines(df) == 5 and capsys.readouterr().out.splitlines()[0] == '{"id":0}'
+    held = []
+    sinks.memory_rows(held)(df, 0)
+    sinks.directory(df, str(tmp_path / "dir"), 2)
+    assert len(held) == 5 and len(list((tmp_path / "dir").glob("part-*"))) == 3

@@ -189,3 +189,29 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 50) -
         left = left.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().checkpoint()
         found = found.join(hook, found.component == hook.n, "left").select("node", F.coalesce("m", "component").alias("component")).checkpoint()
     return found
+
+
+def join_step(side: str, sides: list[str], value: str, key: str) -> Step:
+    """Join of several sides merged into one stream: keep the last value of each, emit when all are there."""
+
+    def step(state, row):
+        state = {**(state or {}), row[side]: row[value]}
+        if all(s in state for s in sides):
+            return state, [{key: row[key], **{s: state[s] for s in sides}}]
+        return state, []
+
+    return step
+
+
+def collect_step(value: str, size: int, key: str) -> Step:
+    """Batches of ``size`` values; what is left at the end comes from ``collect_end``."""
+
+    def step(state, row):
+        held = [*(state or []), row[value]]
+        return ([], [{key: row[key], "items": held}]) if len(held) == size else (held, [])
+
+    return step
+
+
+def collect_end(key: str) -> Callable[[Any, Any], list[dict]]:
+    return lambda k, held: [{key: k, "items": held}] if held else []

@@ -80,3 +80,8 @@ def fan_out(df: DataFrame, routes: Mapping[str, Column], write: Callable[[str, D
             write(name, keep(df, predicate))
     finally:
         df.unpersist()
+
+
+def with_ingest_time(df: DataFrame, name: str = "ingested") -> DataFrame:
+    """System clock: the time at which the batch or micro-batch runs."""
+    return df.withColumn(name, F.current_timestamp())

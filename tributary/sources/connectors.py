@@ -203,3 +203,11 @@ class ResumableReader(DataSourceStreamReader):
 def register(spark: SparkSession) -> None:
     for source in (SqliteSource, DealtLines, WorkerFiles, ResumableFiles):
         spark.dataSource.register(source)
+
+
+def kafka_stream(spark: SparkSession, servers: str, topic: str, **options: str):
+    """A topic as (key, value, ts) text; needs Spark's Kafka connector on the class path."""
+    from pyspark.sql import functions as F
+
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**options).load()
+    return raw.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), F.col("timestamp").alias("ts"))

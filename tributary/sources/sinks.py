@@ -123,3 +123,22 @@ def fan_out(writers: dict[str, tuple[Column, Callable[[DataFrame, int], None]]])
             df.unpersist()
 
     return write
+
+
+def stdout_lines(df: DataFrame) -> int:
+    """Print rows as JSON lines, one at a time; rows printed."""
+    n = 0
+    for row in df.select(F.to_json(F.struct(*df.columns)).alias("value")).toLocalIterator():
+        print(row["value"])
+        n += 1
+    return n
+
+
+def memory_rows(held: list) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that appends rows to a list, for tests."""
+    return lambda df, batch: held.extend(df.collect())
+
+
+def directory(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
+    """JSON lines in a directory, one file per partition, or more where ``rows_per_file`` says so."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).json(path)
