@@ -42,6 +42,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SLICES, COMMON, ROUNDS, FLOOR = 1024, 1 << 19, 2, 0.1
 _SPACE = "▁".encode()
 _BLOCK = 16384
+#: Words of more bytes, and blocks of fewer words, go word by word, in stretches of so many positions.
+_LONG, _FEW, _STRETCH = 256, 16, 4096
 _BINS = 64
 NO_ID = -(1 << 63)
 
@@ -140,6 +142,9 @@ def forward(block: np.ndarray, logp: np.ndarray, slots: Slots, longest: int, cou
     gives every piece's expected number of uses, weighted by the words' counts.
     """
     m, n = block.shape
+    if n > _LONG or m < _FEW:
+        each = [_long_word(row, logp, slots, longest, None if counts is None else counts[i]) for i, row in enumerate(block)]
+        return np.array([x[0] for x in each]), None if counts is None else sum(x[1] for x in each)
     edges = _edges(block, slots, longest)
     weight = np.append(logp, -np.inf)  # index -1: no piece
     alpha = [np.zeros(m)]
@@ -161,6 +166,46 @@ def forward(block: np.ndarray, logp: np.ndarray, slots: Slots, longest: int, cou
     return alpha[n], uses
 
 
+def _long_word(word: np.ndarray, logp: np.ndarray, slots: Slots, longest: int, count: float | None) -> tuple[float, np.ndarray | None]:
+    """``forward`` for one long word: pieces of a stretch of end positions are found together."""
+    n = len(word)
+    total, weight = K.byte_sums(word), np.append(logp, -np.inf)
+    sizes = np.arange(1, longest + 1)
+
+    def stretch(lo: int, hi: int) -> np.ndarray:
+        """Piece of each (end position, length) for ends from ``lo`` to ``hi`` (exclusive), or -1."""
+        end = np.arange(lo, hi)[:, None]
+        start = end - sizes
+        ok = start >= 0
+        out = np.full(start.shape, -1, np.int32)
+        out[ok] = slots.find(K.span_hashes(total, start[ok], np.broadcast_to(end, start.shape)[ok]))
+        return out
+
+    pad = np.full(longest, -np.inf)
+    alpha = np.concatenate((pad, [0.0], np.full(n, -np.inf)))  # alpha[longest + e]
+    for lo in range(1, n + 1, _STRETCH):
+        w = weight[stretch(lo, min(lo + _STRETCH, n + 1))]
+        for e, row in enumerate(w, lo):
+            x = alpha[e : e + longest][::-1] + row
+            top = x.max()
+            alpha[longest + e] = top + np.log(np.exp(x - top).sum()) if np.isfinite(top) else -np.inf
+    if count is None:
+        return float(alpha[longest + n]), None
+    beta = np.concatenate((pad, np.full(n, -np.inf), [0.0]))  # beta[longest + e], filled from the end
+    uses = np.zeros(len(logp))
+    for lo in reversed(range(1, n + 1, _STRETCH)):
+        at = stretch(lo, min(lo + _STRETCH, n + 1))
+        w = weight[at]
+        for e in range(lo + len(w) - 1, lo - 1, -1):
+            into = beta[e : e + longest]
+            np.logaddexp(into, w[e - lo][::-1] + beta[longest + e], out=into)
+        start = np.arange(lo, lo + len(w))[:, None] - sizes
+        hit = at >= 0
+        share = alpha[longest + start[hit]] + w[hit] + np.broadcast_to(beta[longest + lo : longest + lo + len(w), None], at.shape)[hit] - alpha[longest + n]
+        uses += np.bincount(at[hit], np.exp(share) * count, len(logp))
+    return float(alpha[longest + n]), uses
+
+
 def gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Bytes of many spans, one after the other."""
     return raw[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
