@@ -36,7 +36,7 @@ def propagate(linked: DataFrame, capacity: float, n_shards: int, rounds: int = R
     for step in range(rounds):
         load = loads(state)
         held = state.groupBy("grp", "shard").agg(F.sum("size").alias("n"))
-        goal = held.groupBy("grp").agg(F.max(F.struct("n", -F.col("shard"), "shard")).getField("shard").alias("goal"))
+        goal = saved(held.groupBy("grp").agg(F.max(F.struct("n", -F.col("shard"), "shard")).getField("shard").alias("goal")), "shard-goal")
         asked = state.join(goal, "grp").withColumn("bucket", F.pmod(F.xxhash64("node", F.lit(step)), F.lit(BUCKETS)).cast("int"))
         wanted = asked.where("shard <> goal").groupBy("goal", "bucket").agg(F.sum("size").alias("n")).collect()
         if not wanted:
@@ -81,7 +81,8 @@ def shard(docs: DataFrame, n_shards: int = 40, rounds: int = ROUNDS) -> DataFram
     """``docs`` (doc_id, text) -> doc_id, size, text_crc32, shard, slot, grp (digest of the text), linked."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     nodes = saved(docs.select("doc_id", (F.length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.md5(body)).alias("grp"), F.xxhash64("doc_id", F.lit("node")).alias("node"), F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("shard")), "shard-nodes")
-    groups = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
+    # groups and goals are written before they are joined: adaptive execution can then split a group that holds most documents
+    groups = saved(nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp"), "shard-groups")
     marked = saved(nodes.join(groups.withColumn("linked", F.lit(True)), "grp", "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "shard-marked")
     single = marked.where("not linked")
     total = nodes.agg(F.sum("size").alias("n")).first()["n"] or 0
