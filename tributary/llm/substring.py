@@ -27,10 +27,11 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,9 @@ from .filters import contains, id_hash, members, repeated
 WIDTH, ANCHOR, GROUP, COUNTERS = 20, 8, 50_000, 1 << 16
 LEVELS = (2, 4, 8)
 #: Words of suffix rows that are handled together in one task.
-_BATCH_WORDS = 2_000_000
+_BATCH_WORDS = 500_000
+#: Documents that are handled together.
+_ROWS = 1000
 LAST_ID = (1 << 63) - 1
 
 
@@ -79,7 +82,11 @@ def _pack(lists: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(lists.astype("<u8").tobytes())])
 
 
-def anchor_counts(originals: DataFrame, width: int) -> tuple[np.ndarray, list[np.ndarray], int]:
+#: Applies a function over record batches of (doc_id, text) to all documents in question: (function, schema) -> rows.
+Each = Callable[[Callable, str], DataFrame]
+
+
+def anchor_counts(each: Each, width: int) -> tuple[np.ndarray, list[np.ndarray], int]:
     """(bitmap of repeated anchors, counters by prefix length, number of anchors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +114,7 @@ def anchor_counts(originals: DataFrame, width: int) -> tuple[np.ndarray, list[np
                 sums[i] = sums.get(i, 0) + np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["kind", "data"])
 
-    made = saved(originals.mapInArrow(run, "kind int, data binary"), "substring-anchors")
+    made = saved(each(run, "kind int, data binary"), "substring-anchors")
     seen = repeated(made.where("kind = 0"), "data")
     counts = np.zeros(len(LEVELS) * COUNTERS, np.int64)
     size = COUNTERS // 16
@@ -121,7 +128,7 @@ def anchor_counts(originals: DataFrame, width: int) -> tuple[np.ndarray, list[np
 SUFFIXES = "key long, doc_id long, start int, wins int, words binary"
 
 
-def suffix_rows(originals: DataFrame, plan, width: int) -> DataFrame:
+def suffix_rows(each: Each, plan, width: int) -> DataFrame:
     """Rows of neighbouring windows that may repeat; rows without words are marks that are already settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +136,7 @@ def suffix_rows(originals: DataFrame, plan, width: int) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy()
             raw, off = K.string_parts(b.column(1))
-            for lo, hi in K.chunks(off, 4 * K.CHUNK_BYTES):
+            for lo, hi in K.chunks(off):
                 w = K.split_words(raw, off, lo, hi)
                 h = K.word_hashes(w)
                 starts, at, grams = anchors(h, w, width)
@@ -170,7 +177,7 @@ def suffix_rows(originals: DataFrame, plan, width: int) -> DataFrame:
                     n = int(copy.sum())
                     yield _rows(K.mix64(np.arange(n, dtype=K.U64)), own[copy], place[copy], wins[copy], pa.nulls(n, pa.binary()))
 
-    return originals.mapInArrow(run, SUFFIXES)
+    return each(run, SUFFIXES)
 
 
 def _rows(key, own, place, wins, words) -> pa.RecordBatch:
@@ -222,10 +229,10 @@ def _later_leaves(rows: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray
     return doc[order][late], place[order][late]
 
 
-def repeats(originals: DataFrame, width: int = WIDTH) -> DataFrame:
+def repeats(sc: SparkContext, each: Each, width: int = WIDTH) -> DataFrame:
     """(doc_id, starts): packed starts of windows that also start earlier; several rows per document."""
-    seen, counts, total = anchor_counts(originals, width)
-    plan = originals.sparkSession.sparkContext.broadcast((seen, counts, max(GROUP, 4 * total // COUNTERS)))
+    seen, counts, total = anchor_counts(each, width)
+    plan = sc.broadcast((seen, counts, max(GROUP, 4 * total // COUNTERS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -253,7 +260,7 @@ def repeats(originals: DataFrame, width: int = WIDTH) -> DataFrame:
         if rows:
             yield _marks(*_later_leaves(rows, width))
 
-    return suffix_rows(originals, plan, width).repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, starts binary")
+    return suffix_rows(each, plan, width).repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, starts binary")
 
 
 def _marks(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -268,58 +275,64 @@ def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     digests = saved(docs.select("doc_id", F.unhex(F.md5("text")).alias("digest")), "substring-digests")
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = saved(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "substring-firsts")
     copies = saved(digests.join(firsts, "digest").where("doc_id > first").select(F.col("doc_id").alias("copy")).distinct(), "substring-copies")
     drop_saved(digests)
-    marked_copy = sc.broadcast(members(copies, "copy"))
-    plain, maybe = split(docs, marked_copy)
-    originals = plain.union(maybe.join(copies, F.col("doc_id") == F.col("copy"), "left_anti"))
-    marks = saved(repeats(originals, width), "substring-marks")
+    marked = sc.broadcast(members(copies, "copy"))
+    unsure = only(docs, marked).join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
+    marks = saved(repeats(sc, lambda f, kind: docs.mapInArrow(unless(marked, f), kind).union(unsure.mapInArrow(f, kind)), width), "substring-marks")
     touched = sc.broadcast(members(copies.select("copy").union(marks.select("doc_id")), "copy"))
-    plain, maybe = split(docs, touched)
+    maybe = only(docs, touched)
     mine = marks.groupBy(F.col("doc_id").alias("_marked")).agg(F.collect_list("starts").alias("starts"))
     maybe = maybe.join(copies, F.col("doc_id") == F.col("copy"), "left").join(mine, F.col("doc_id") == F.col("_marked"), "left")
     schema = "doc_id long, n_words long, n_removed long, kept string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(3) if b.num_columns > 3 else None
-            copy = b.column(2).is_valid().to_pylist() if b.num_columns > 2 else [False] * b.num_rows
-            n_words, n_removed, kept = [], [], []
-            for k in range(b.num_rows):
-                words = b.column(1)[k].as_buffer().to_pybytes().split()
-                gone = 0
-                if copy[k] and len(words) >= width:
-                    gone, left = len(words), []
-                elif lists is not None and lists[k].is_valid:
-                    starts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in lists[k].values]).astype(np.int64)
-                    turn = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(turn, starts, 1)
-                    np.add.at(turn, starts + width, -1)
-                    under = np.cumsum(turn)[:-1] > 0
-                    gone, left = int(under.sum()), [x for x, u in zip(words, under, strict=True) if not u]
-                else:
-                    left = words
-                n_words.append(len(words))
-                n_removed.append(gone)
-                kept.append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    out = plain.mapInArrow(run, schema).union(maybe.select("doc_id", "text", "copy", "starts").mapInArrow(run, schema))
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST_ID)))
-
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _ROWS):
+                yield _left_over(whole.slice(lo, _ROWS), width)
+            pa.default_memory_pool().release_unused()
 
-def split(docs: DataFrame, ids) -> tuple[DataFrame, DataFrame]:
-    """(rows whose id is surely not in the bitmap, the others)."""
-
-    def part(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                hit = contains(ids.value, id_hash(b.column(0).to_numpy()))
-                b = b.filter(pa.array(hit == wanted))
-                if b.num_rows:
-                    yield b
+    out = docs.mapInArrow(unless(touched, run), schema).union(maybe.select("doc_id", "text", "copy", "starts").mapInArrow(run, schema))
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST_ID)))
 
-        return run
 
-    return docs.mapInArrow(part(False), docs.schema), docs.mapInArrow(part(True), docs.schema)
+def _left_over(b: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """What is left of the texts of (doc_id, text) or (doc_id, text, copy, starts)."""
+    lists = b.column(3) if b.num_columns > 3 else None
+    copy = b.column(2).is_valid().to_pylist() if b.num_columns > 2 else [False] * b.num_rows
+    n_words, n_removed, kept = [], [], []
+    for k in range(b.num_rows):
+        words = b.column(1)[k].as_buffer().to_pybytes().split()
+        gone, left = 0, words
+        if copy[k] and len(words) >= width:
+            gone, left = len(words), []
+        elif lists is not None and lists[k].is_valid:
+            starts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in lists[k].values]).astype(np.int64)
+            turn = np.zeros(len(words) + 1, np.int64)
+            np.add.at(turn, starts, 1)
+            np.add.at(turn, starts + width, -1)
+            under = np.cumsum(turn)[:-1] > 0
+            gone, left = int(under.sum()), [x for x, u in zip(words, under, strict=True) if not u]
+        n_words.append(len(words))
+        n_removed.append(gone)
+        kept.append(b" ".join(left).decode())
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], ids, wanted: bool) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        hit = contains(ids.value, id_hash(b.column(0).to_numpy())) == wanted
+        if hit.any():
+            yield b if hit.all() else b.filter(pa.array(hit))
+        pa.default_memory_pool().release_unused()
+
+
+def only(docs: DataFrame, ids) -> DataFrame:
+    """Rows whose id is in the bitmap, and a few others."""
+    return docs.mapInArrow(lambda batches: _chosen(batches, ids, True), docs.schema)
+
+
+def unless(ids, f: Callable) -> Callable:
+    """``f`` over the rows that ``only`` leaves out, in the same worker."""
+    return lambda batches: f(_chosen(batches, ids, False))

@@ -22,7 +22,7 @@ import pyarrow as pa
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _splitmix(n: int, seed: int) -> np.ndarray:
