@@ -157,6 +157,20 @@ def test_lattice_is_a_sum_over_segmentations():
         assert (uses * [len(n) for n in names]).sum() == pytest.approx(len(word) + 3)  # every byte is in one piece
 
 
+def test_long_words_go_another_way(monkeypatch):
+    names, w = lm.pieces(lm.VOCABULARY)
+    slots, longest = lm.lattice(lm.VOCABULARY)
+    rng = np.random.default_rng(2)
+    block = np.concatenate([np.tile(np.frombuffer(lm._SPACE, np.uint8), (3, 1)), rng.integers(97, 123, (3, 60)).astype(np.uint8)], 1)
+    monkeypatch.setattr(lm, "_FEW", 0)
+    want, uses = lm.forward(block, w, slots, longest, np.array([1.0, 2.0, 3.0]))
+    monkeypatch.setattr(lm, "_LONG", 10)
+    monkeypatch.setattr(lm, "_STRETCH", 7)
+    got, more = lm.forward(block, w, slots, longest, np.array([1.0, 2.0, 3.0]))
+    assert got == pytest.approx(want) and more == pytest.approx(uses)
+    assert lm.forward(block, w, slots, longest)[0] == pytest.approx(want)
+
+
 @pytest.mark.parametrize("common", [1 << 19, 50])
 def test_lm(spark, data, documents, monkeypatch, common):
     monkeypatch.setattr(lm, "COMMON", common)

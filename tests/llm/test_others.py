@@ -183,7 +183,7 @@ def test_media_round_trip(spark, data, documents):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
         stored = media.encode(padded)
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
-        assert r["position"] == 1 and r["caption"] == f"document {i}"
+        assert r["position"] == 1 and r["caption"] == f"payload of {len(raw)} bytes"
 
 
 def test_media_sequence():
