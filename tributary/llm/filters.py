@@ -87,7 +87,7 @@ def id_hash(ids: np.ndarray) -> np.ndarray:
 
 
 def members(ids: DataFrame, column: str) -> np.ndarray:
-    """Bitmap of the ids (long) in a column; one aggregated row per 64 bits comes to the driver."""
+    """Bitmap of the ids (long) in a column; one aggregated row per 32 bits comes to the driver."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,7 +95,7 @@ def members(ids: DataFrame, column: str) -> np.ndarray:
             u = np.unique(at)
             yield pa.RecordBatch.from_arrays([pa.array(u >> 5), pa.array(np.int64(1) << (u & 31))], ["word", "bits"])
 
-    words = ids.select(F.col(column).cast("long").alias("id")).where("id is not null").mapInArrow(place, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = ids.select(F.col(column).cast("long").alias("id")).where("id is not null").distinct().mapInArrow(place, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (MEMBER_BITS - 5), np.uint32)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     return out.view(np.uint8)

@@ -321,10 +321,12 @@ def _left_over(b: pa.RecordBatch, width: int) -> pa.RecordBatch:
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], ids, wanted: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hit = contains(ids.value, id_hash(b.column(0).to_numpy())) == wanted
-        if hit.any():
-            yield b if hit.all() else b.filter(pa.array(hit))
+    for whole in batches:
+        for lo in range(0, whole.num_rows, _ROWS):
+            b = whole.slice(lo, _ROWS)
+            hit = contains(ids.value, id_hash(b.column(0).to_numpy())) == wanted
+            if hit.any():
+                yield b if hit.all() else b.filter(pa.array(hit))
         pa.default_memory_pool().release_unused()
 
 
