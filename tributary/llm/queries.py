@@ -57,10 +57,11 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text becomes the payload of a figure on its document's page; the page's reference finds it by digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = saved(media.media_features(media.media_table(docs, "doc_id", "text")), "media-features")
-    caption = F.concat(F.lit("document "), F.col("id").cast("string"))
+    caption = F.concat(F.lit("payload of "), F.col("n_bytes").cast("string"), F.lit(" bytes"))
     pages = read.select("id", media.page("digest", caption).alias("html"))
     refs = media.references(media.parse(pages, "id", "html")).withColumnRenamed("id", "doc_id")
-    return media.resolve(refs, read.drop("id").dropDuplicates(["digest"])).drop("digest")
+    payloads = saved(read.drop("id").dropDuplicates(["digest"]), "media-payloads")
+    return media.resolve(refs, payloads).drop("digest")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
