@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tributary.llm import decontaminate, langid, mixing, ngram_join, sharding
 from tributary.llm.common import saved, table
 
+#: Words of a shingle and similarity in percent of near copies.
+WORDS, PERCENT = 5, 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -23,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, WORDS, PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tributary.llm import lm, mixing, ngram_join, queries, sharding, substring
 from tributary.llm.graph import components
 
@@ -126,6 +127,53 @@ def test_ngram_odd(odd, nothing):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13]
 
 
+def first_of_each(docs, n, percent):
+    """The first id of each component, by brute force over every pair of sets of n-word shingles."""
+    sets, up = {}, {}
+    for i, text in docs:
+        w = re.findall(WORD, (text or "").translate(LOWER))
+        sets[i] = frozenset(zip(*(w[k:] for k in range(n)), strict=False)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+        up[i] = i
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = [i for i in sets if sets[i]]
+    for a in ids:
+        for b in ids:
+            if a < b:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    up[max(x, y)] = min(x, y)
+    return sorted({find(i) for i in sets})
+
+
+def test_near_duplicates_stage(spark):
+    """Near copies of five-word similarity 0.8, most of them under 0.9 by three words."""
+    rng = np.random.default_rng(4)
+    docs = []
+    for g in range(40):
+        w = [f"w{g}x{i}" for i in range(100)]
+        for i in range(4):
+            v = list(w)
+            for j in rng.choice(100, rng.integers(0, 5), replace=False):
+                v[j] = f"v{g}x{i}x{j}"
+            docs.append((10 * g + i, " ".join(v)))
+    docs += [(900, "a b c d"), (901, "A b  c d"), (902, "a b c"), (903, None), (904, "")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    want = first_of_each(docs, 5, 80)
+    assert want != first_of_each(docs, 3, 90)
+    assert [i for (i,) in rows(corpus_pipeline.near_duplicates(spark, table, ""), "doc_id")] == sorted(want, key=lambda i: repr((i,)))
+
+
+def test_near_duplicates_stage_on_documents(spark, data, documents):
+    got = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{data}/documents.parquet"), data)
+    assert sorted(r["doc_id"] for r in got.collect()) == first_of_each([d[:2] for d in documents], 5, 80)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(chain, "a long, b long")).collect())

@@ -1,6 +1,7 @@
 """N-gram Jaccard self-join as a blocked sparse matrix product.
 
-A document is its set of distinct 3-word shingles.  Documents with the same set
+A document is its set of distinct shingles of ``n`` words (3 unless told); sets
+link from a Jaccard similarity of ``percent`` (90 unless told).  Documents with the same set
 are one class.  For a class of size n only the n - ceil(t n) + 1 shingles that
 are rarest in the corpus can be the first that it shares with a partner, so
 only these enter the product; sizes and positions bound what a pair can still
@@ -17,7 +18,7 @@ The product runs in two steps that lose no link between components:
 Pairs that pass the bounds are verified on whole sets, exactly.
 
 Defined results: null and empty texts have no shingles and link with nothing;
-texts of one or two words have one shingle, the whole sequence; repeated rows
+texts of fewer than ``n`` words have one shingle, the whole sequence; repeated rows
 are one class; a null id joins its class and is nobody's representative; an
 empty table gives no rows; other columns are ignored.
 """
@@ -36,7 +37,7 @@ from .common import drop_saved, keep_matching, partitions, saved
 from .filters import contains, id_hash, members, repeated
 from .graph import components
 
-#: Similarity in percent; words of a shingle; hash buckets for rarity; bins of a sketch; hubs of a column; rows of a block.
+#: Default similarity in percent and words of a shingle; hash buckets for rarity; bins of a sketch; hubs of a column; rows of a block.
 PERCENT, WORDS, RARITY_BITS, BINS, HUBS, BLOCK = 90, 3, 18, 128, 3, 256
 #: A bin's count that may be larger; documents with one pass every bound.  Members of a column whose pairs go without sketches.
 _FULL, _FEW = 255, 64
@@ -92,7 +93,7 @@ def rarity_counts(docs: DataFrame, n: int = WORDS) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, rarity, n: int = WORDS) -> DataFrame:
+def signatures(docs: DataFrame, rarity, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, fingerprint of the set (f, g), prefix (packed shingles, rarest first), sketch (counts by bin)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +110,7 @@ def signatures(docs: DataFrame, rarity, n: int = WORDS) -> DataFrame:
                 if some.any():
                     f[some] = np.add.reduceat(K.mix64(s), first[:-1][some])
                     g[some] = np.add.reduceat(K.mix64(s ^ K.U64(0x5851F42D4C957F2D)), first[:-1][some])
-                lead = np.where(some, size - -(-PERCENT * size // 100) + 1, 0)
+                lead = np.where(some, size - -(-percent * size // 100) + 1, 0)
                 packed = s.astype("<u8")
                 prefix = [packed[i : i + k].tobytes() for i, k in zip(first[:-1], lead, strict=True)]
                 bins = np.bincount(doc * BINS + (K.mix64(s) >> K.U64(57)).astype(np.int64), minlength=(hi - lo) * BINS)
@@ -138,9 +139,9 @@ def postings(reps: DataFrame, shared) -> DataFrame:
     return reps.select("doc_id", "n", "prefix").mapInArrow(run, "token long, rep long, n int, pos int")
 
 
-def _may_link(na, nb, overlap):
+def _may_link(na, nb, overlap, percent: int = PERCENT):
     """Whether sets of these sizes with this overlap (or bound) are similar enough."""
-    return (100 + PERCENT) * overlap >= PERCENT * (na + nb)
+    return (100 + percent) * overlap >= percent * (na + nb)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, column: str, n: int = WORDS) -> DataFrame:
@@ -163,7 +164,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, column: str, n: int = WORDS) -> Dat
     return source.mapInArrow(run, "id long, shingles binary")
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int = WORDS) -> DataFrame:
+def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The (a, b) of ``pairs`` that link, by overlap bounds first and then by whole sets."""
     sa, sb = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
 
@@ -172,7 +173,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int = WO
             na, nb = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3))
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (4, 5))
             full = (x == _FULL).any(1) | (y == _FULL).any(1)
-            ok = full | _may_link(na, nb, np.minimum(x, y).sum(1, dtype=np.int64))
+            ok = full | _may_link(na, nb, np.minimum(x, y).sum(1, dtype=np.int64), percent)
             yield b.filter(pa.array(ok)).select(["a", "b"])
 
     near = saved(pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, "a long, b long"), "ngram-near")
@@ -184,7 +185,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int = WO
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = np.sort(np.concatenate((x, y)))
-                ok.append(bool(_may_link(len(x), len(y), int((both[1:] == both[:-1]).sum()))))
+                ok.append(bool(_may_link(len(x), len(y), int((both[1:] == both[:-1]).sum()), percent)))
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     wa, wb = (whole.select(F.col("id").alias(x), F.col("shingles").alias(f"w{x}")) for x in "ab")
@@ -194,18 +195,18 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int = WO
     return links
 
 
-def hub_pairs(post: DataFrame) -> DataFrame:
+def hub_pairs(post: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Each document of a shared column paired with the column's hubs, where bounds allow."""
     draw = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n", "pos")).alias(f"hub{k}") for k in range(HUBS)]
     hubs = post.groupBy("token").agg(F.count(F.lit(1)).alias("members"), *draw).where("members > 1")
     hubs = hubs.select(F.col("token").alias("t"), F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("hubs"))
     met = post.join(hubs, F.col("token") == F.col("t")).select("rep", "n", "pos", F.explode("hubs").alias("hub"))
     left = F.least(F.col("n") - F.col("pos"), F.col("hub.n") - F.col("hub.pos"))
-    ok = (F.col("rep") != F.col("hub.rep")) & _may_link(F.col("n"), F.col("hub.n"), left) & (100 * F.least("n", "hub.n") >= PERCENT * F.greatest("n", "hub.n"))
+    ok = (F.col("rep") != F.col("hub.rep")) & _may_link(F.col("n"), F.col("hub.n"), left, percent) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
     return met.where(ok).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
 
 
-def block_pairs(post: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
+def block_pairs(post: DataFrame, found: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of different components that a column still allows, from products of its blocks."""
     named = saved(post.join(found, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")), "ngram-named")
     mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
@@ -232,9 +233,9 @@ def block_pairs(post: DataFrame, found: DataFrame, sketches: DataFrame) -> DataF
                 one, two = (np.flatnonzero(mine == x[k]) for x in (i_all, j_all))
                 for r in one:
                     c = two[(comp[two] != comp[r]) & ((rep[two] > rep[r]) | (i_all[k] != j_all[k]))]
-                    c = c[(100 * np.minimum(n[c], n[r]) >= PERCENT * np.maximum(n[c], n[r])) & _may_link(n[c], n[r], np.minimum(n[c] - pos[c], n[r] - pos[r]))]
+                    c = c[(100 * np.minimum(n[c], n[r]) >= percent * np.maximum(n[c], n[r])) & _may_link(n[c], n[r], np.minimum(n[c] - pos[c], n[r] - pos[r]), percent)]
                     if len(c) and not bare:
-                        c = c[full[c] | full[r] | _may_link(n[c], n[r], np.minimum(sk[c], sk[r]).sum(1, dtype=np.int64))]
+                        c = c[full[c] | full[r] | _may_link(n[c], n[r], np.minimum(sk[c], sk[r]).sum(1, dtype=np.int64), percent)]
                     if len(c):
                         out_a.append(np.minimum(rep[c], rep[r]))
                         out_b.append(np.maximum(rep[c], rep[r]))
@@ -243,10 +244,10 @@ def block_pairs(post: DataFrame, found: DataFrame, sketches: DataFrame) -> DataF
     return cells.select("i", "j", "cells").mapInArrow(product, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, n: int = WORDS) -> DataFrame:
+def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_shingles, class_id, component_id."""
     sc = docs.sparkSession.sparkContext
-    signs = saved(signatures(docs, sc.broadcast(rarity_counts(docs, n)), n), "ngram-signatures")
+    signs = saved(signatures(docs, sc.broadcast(rarity_counts(docs, n)), n, percent), "ngram-signatures")
     classes = signs.where("n > 0").groupBy("f", "g", "n").agg(F.min("doc_id").alias("rep"))
     classes = saved(signs.select("doc_id", "n", "f", "g").join(classes, ["f", "g", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "ngram-classes")
     own = classes.where("doc_id = rep and n > 0").select("doc_id").distinct()
@@ -255,22 +256,22 @@ def join(docs: DataFrame, n: int = WORDS) -> DataFrame:
     post = saved(postings(reps, sc.broadcast(repeated(reps, "prefix"))).repartition(partitions(docs.sparkSession)), "ngram-postings")
     sketches = saved(reps.select("doc_id", "n", "sketch"), "ngram-sketches")
     drop_saved(reps)
-    tried = saved(hub_pairs(post), "ngram-tried")
-    first = verified(tried, sketches, docs, n)
-    more = saved(block_pairs(post, components(first), sketches).join(tried, ["a", "b"], "left_anti"), "ngram-more")
+    tried = saved(hub_pairs(post, percent), "ngram-tried")
+    first = verified(tried, sketches, docs, n, percent)
+    more = saved(block_pairs(post, components(first), sketches, percent).join(tried, ["a", "b"], "left_anti"), "ngram-more")
     drop_saved(post)
-    links = first.union(verified(more, sketches, docs, n))
+    links = first.union(verified(more, sketches, docs, n, percent))
     found = components(links)
     out = classes.join(found, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, n: int = WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, that come first in their component; one row per id.
 
     Rows without an id stay, as one, if one of them has no link to a row with an id.
     """
-    found = saved(join(docs, n).select("doc_id", "component_id"), "ngram-found")
+    found = saved(join(docs, n, percent).select("doc_id", "component_id"), "ngram-found")
     first = found.where("doc_id <=> component_id").select("doc_id").distinct()
     kept = keep_matching(docs, first, "left_semi")
     repeats = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
