@@ -42,6 +42,27 @@ def test_units_and_numbers(spark):
     assert leaks(spark, docs, item) == [(1, 1, False)]
 
 
+CASED = [(1, "The Heatou onont to the anor. Is Benli of Anor, or Kareth: the ulm? Orin went by Tamsel"), (2, "12 34 56 78"), (3, "Ada Bo Cy Di Ed Flo Gus Hal"), (4, "a train travels 120 km in 3 hours so what is its average speed over the whole trip"), (5, "où est l'été près de la grande straße")]
+
+
+@pytest.mark.parametrize("shared", [2_000_000, 0])
+def test_copies_in_other_case_and_punctuation(spark, monkeypatch, shared):
+    monkeypatch.setattr(decontaminate, "SHARED", shared)
+    docs = [
+        (1, CASED[0][1].upper()), (2, "before it " + re.sub("[.,:?]", "", CASED[0][1]) + " and after"), (3, "in lower " + CASED[0][1].lower().replace(" ", " - ")),
+        (4, "see 12, 34; 56 78!"), (5, "so ADA BO CY DI ED FLO GUS HAL came"), (6, "12 34 99 78"), (7, "Ada Bo Cy Zed Ed Flo Gus Hal"),
+        (8, "BEFORE IT A TRAIN TRAVELS 75 MILES IN 2 DAYS SO WHAT IS ITS AVERAGE SPEED OVER THE WHOLE TRIP"), (9, "THIS IS A TEXT IN CAPITALS THAT HAS NOTHING OF ANY ITEM IN IT"), (10, CASED[4][1].upper().replace("'", "\u2019")),
+    ]
+    assert leaks(spark, docs, CASED) == [(1, 1, True), (2, 1, True), (3, 1, True), (4, 2, True), (5, 3, True), (8, 4, False), (10, 5, True)]
+
+
+def test_upper_cased_benchmark_is_found(spark, data):
+    items = table(spark, data, "benchmark")
+    docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("SO "), F.upper("text")).alias("text"))
+    found = decontaminate.matches(docs, items).where("doc_id = item_id").count()
+    assert found == items.count() > 0
+
+
 def test_decontamination_finds_planted_items(spark, data):
     items = duckdb.sql(f"select item_id, text from '{data}/benchmark.parquet'").fetchall()
     docs = duckdb.sql(f"select doc_id, text from '{data}/documents.parquet'").fetchall()

@@ -11,8 +11,12 @@ equal values of the item stay equal in the document, so a question asked with
 other numbers or names is found, and a passage that only shares the placeholders
 is not.
 
-Windows need ``LITERALS`` words that are no placeholders.  An item that is
-shorter than a window is one window.  The benchmark's window hashes are sent to
+Template windows need ``LITERALS`` words that are no placeholders.  Beside them,
+plain windows hold the folded words themselves (case and punctuation removed,
+no placeholders, no least number of literals), so that a copy is found whatever its case and punctuation.  A
+document's better kind of match is reported, templates first where they tie.
+Capitals are names only outside passages in capitals.  An item that is
+shorter than a window is one window, however short.  The benchmark's window hashes are sent to
 all tasks only while they are at most ``SHARED`` (checked); beyond that, windows
 of all documents meet them in a shuffle.
 
@@ -23,6 +27,7 @@ document without an id is never contaminated); other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +43,8 @@ WINDOW, MATCHED, LITERALS, SHARED, AGREE = 8, 13, 4, 2_000_000, 0.8
 #: Units of measure and money that follow a number (fixed values).
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "foot", "yd", "yards", "mile", "miles", "mg", "g", "kg", "lb", "lbs", "oz", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hr", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "mph", "kmh", "usd", "eur", "gbp", "dollar", "dollars", "euro", "euros", "pound", "pounds", "cent", "cents", "percent", "degrees")
 NUMBER, NAME, UNIT = K.U64(0xA5A5A5A5A5A5A501), K.U64(0xA5A5A5A5A5A5A502), K.U64(0xA5A5A5A5A5A5A503)
+#: Keeps hashes of plain windows apart from those of templates.
+PLAIN = K.U64(0x5C3A91E7D20B64F8)
 
 _SOLID = np.zeros(256, bool)
 _SOLID[48:58] = _SOLID[65:91] = _SOLID[97:123] = _SOLID[128:] = True
@@ -46,6 +53,10 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
+_LOWER = np.zeros(256, bool)
+_LOWER[97:123] = True
+#: Punctuation beyond ASCII.
+_MARKS = re.compile("[\u00a1\u00ab\u00b7\u00bb\u00bf\u2010-\u2027\u2030-\u205e\u3001-\u3003\u3008-\u3011\uff01-\uff0f\uff1a\uff1b\uff1f]")
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 58, 63]] = True  # ! . : ?
 
@@ -59,6 +70,25 @@ def _hash_words(words) -> np.ndarray:
 _UNIT_HASHES = _hash_words(UNITS)
 
 
+def shouted(w: K.Words, capital: np.ndarray) -> np.ndarray:
+    """Whether each word is in a passage in capitals.
+
+    That is a run of words without a lower-case letter, most of them capitals,
+    which has ``WINDOW`` words or is a whole text.
+    """
+    after = np.concatenate((w.raw[1:], np.zeros(1, np.uint8)))
+    small = _LOWER[w.raw] | ((w.raw == 0xC3) & (after >= 0x9F) & (after <= 0xBF))
+    lower = np.concatenate(([0], np.cumsum(small)))
+    quiet = lower[w.end] > lower[w.start]
+    cut = np.ones(len(w.start), bool)
+    cut[1:] = (w.doc[1:] != w.doc[:-1]) | (quiet[1:] != quiet[:-1])
+    first = np.flatnonzero(cut)
+    length = np.diff(np.append(first, len(cut)))
+    loud = ~quiet[first] & (2 * np.add.reduceat(capital.astype(np.int64), first) > length)
+    loud &= (length >= WINDOW) | (length == w.counts[w.doc[first]])
+    return np.repeat(loud, length)
+
+
 def template(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template symbol, value, whether it is a placeholder) of each word.
 
@@ -83,7 +113,8 @@ def template(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     opens[1:] = (w.doc[1:] != w.doc[:-1]) | _STOP[w.raw[w.end[:-1] - 1]]
     lines = np.concatenate(([0], np.cumsum(w.raw == 10)))
     opens[1:] |= lines[w.start[1:]] != lines[w.start[:-1]]
-    name = live & (_UPPER[lead] | accent) & ~opens
+    capital = live & (_UPPER[lead] | accent)
+    name = capital & ~opens & ~shouted(w, capital)
     unit = np.zeros(len(w.start), bool)
     unit[1:] = number[:-1] & (w.doc[1:] == w.doc[:-1])
     unit &= np.isin(value, _UNIT_HASHES)
@@ -92,6 +123,20 @@ def template(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, value, number | name | unit | ~live
 
 
+def plain_words(texts: pa.Array) -> K.Words:
+    """Words of the texts with case folded and punctuation taken out."""
+    folded = [x.lower() if x.isascii() else _MARKS.sub("", x.casefold()) for x in (x or "" for x in texts.to_pylist())]
+    raw, off = K.string_parts(pa.array(folded, pa.large_string()))
+    keep = _SOLID[raw] | K.SPACE[raw]
+    return K.split_words(raw[keep], np.concatenate(([0], np.cumsum(keep)))[off], 0, len(folded))
+
+
+def plain_windows(w: K.Words, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of each run of ``size`` plain words."""
+    at = K.windows_inside(w, size)
+    return at, K.mix64(K.gram_hashes(value, size)[at] ^ PLAIN)
+
+
 def windows(w: K.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first word, hash) of each template window with enough literals; also values and placeholder flags.
 
@@ -110,7 +155,7 @@ def _short_hash(symbol: np.ndarray) -> np.ndarray:
 
 
 def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(item_id, words, place, size, hash, slots, values): the benchmark's windows."""
+    """(item_id, plain, words, place, size, hash, slots, values): the benchmark's windows of both kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,17 +174,22 @@ def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
                     h, size = _short_hash(symbol)[: len(at)], n
                 for p, x in zip(at, h, strict=True):
                     where = np.flatnonzero(slot[p : p + size])
-                    out.append((int(ids[k]), n, int(p), size, int(x.view(np.int64)), where.tolist(), value[p + where].view(np.int64).tolist()))
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item_id", "words", "place", "size", "hash", "slots", "values"])
+                    out.append((int(ids[k]), False, n, int(p), size, int(x.view(np.int64)), where.tolist(), value[p + where].view(np.int64).tolist()))
+                own = plain_words(b.column(1).slice(k, 1))
+                n = len(own.start)
+                if n:
+                    at, h = plain_windows(own, K.word_hashes(own), min(width, n))
+                    out += [(int(ids[k]), True, n, int(p), min(width, n), int(x.view(np.int64)), [], []) for p, x in zip(at, h, strict=True)]
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item_id", "plain", "words", "place", "size", "hash", "slots", "values"])
 
     source = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropDuplicates(["item_id"])
-    return source.mapInArrow(run, "item_id long, words int, place int, size int, hash long, slots array<int>, values array<long>")
+    return source.mapInArrow(run, "item_id long, plain boolean, words int, place int, size int, hash long, slots array<int>, values array<long>")
 
 
-def document_windows(docs: DataFrame, sizes: list[int], shared) -> DataFrame:
-    """(doc_id, at, size, hash, values) of the windows in ``shared`` (all windows where it is None)."""
+def document_windows(docs: DataFrame, sizes: list[tuple[bool, int]], shared) -> DataFrame:
+    """(doc_id, plain, at, size, hash, values) of the windows in ``shared`` (all windows where it is None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if shared is None else shared.value
@@ -150,23 +200,34 @@ def document_windows(docs: DataFrame, sizes: list[int], shared) -> DataFrame:
             for lo, hi in K.chunks(off):
                 w = K.split_words(raw, off, lo, hi)
                 symbol, value, slot = template(w)
-                for size in sizes:
-                    at = K.windows_inside(w, size)
-                    h = K.gram_hashes(symbol, size)[at]
+                own = plain_words(b.column(1).slice(lo, hi - lo))
+                folded = K.word_hashes(own)
+                for plain, size in sizes:
+                    if plain:
+                        at, h = plain_windows(own, folded, size)
+                    else:
+                        at = K.windows_inside(w, size)
+                        h = K.gram_hashes(symbol, size)[at]
                     if wanted is not None:
                         near = np.flatnonzero(slots[(h >> K.U64(44)).astype(np.int64)])
                         near = near[wanted[np.minimum(np.searchsorted(wanted, h[near]), len(wanted) - 1)] == h[near]] if len(wanted) else near[:0]
                         at, h = at[near], h[near]
                     if not len(at):
                         continue
-                    grid = at[:, None] + np.arange(size)
-                    flags, length = slot[grid], slot[grid].sum(1)
-                    values = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(value[grid][flags].view(np.int64)))
-                    doc = w.doc[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(at - w.first[doc], pa.int32()), pa.array(np.full(len(at), size, np.int32)), pa.array(h.view(np.int64)), values], ["doc_id", "at", "size", "hash", "found"])
+                    if plain:
+                        values = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1), pa.int32()), pa.array([], pa.int64()))
+                        doc = own.doc[at]
+                        place = at - own.first[doc]
+                    else:
+                        grid = at[:, None] + np.arange(size)
+                        flags, length = slot[grid], slot[grid].sum(1)
+                        values = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(value[grid][flags].view(np.int64)))
+                        doc = w.doc[at]
+                        place = at - w.first[doc]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(np.full(len(at), plain)), pa.array(place, pa.int32()), pa.array(np.full(len(at), size, np.int32)), pa.array(h.view(np.int64)), values], ["doc_id", "plain", "at", "size", "hash", "found"])
 
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, at int, size int, hash long, found array<long>")
+    return source.mapInArrow(run, "doc_id long, plain boolean, at int, size int, hash long, found array<long>")
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, matched: int = MATCHED) -> DataFrame:
@@ -178,19 +239,19 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, matched: int
     spark = docs.sparkSession
     bench = saved(item_windows(items, width), "decon-items")
     n = bench.count()
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
+    sizes = sorted((r["plain"], r["size"]) for r in bench.select("plain", "size").distinct().collect())
     if n <= SHARED:
         hashes = np.unique(bench.select("hash").toArrow()["hash"].to_numpy().view(K.U64))
         seen = document_windows(docs, sizes, spark.sparkContext.broadcast(hashes))
-        met = seen.join(F.broadcast(bench), ["hash", "size"])  # its size was checked
+        met = seen.join(F.broadcast(bench), ["hash", "plain", "size"])  # its size was checked
     else:
-        met = document_windows(docs, sizes, None).join(bench, ["hash", "size"])
-    line = [F.col("doc_id"), F.col("item_id"), (F.col("at") - F.col("place")).alias("diagonal")]
+        met = document_windows(docs, sizes, None).join(bench, ["hash", "plain", "size"])
+    line = [F.col("doc_id"), F.col("item_id"), F.col("plain"), (F.col("at") - F.col("place")).alias("diagonal")]
     met = met.where(F.size("found") == F.size("slots")).select(*line, "words", "place", "size", "slots", "values", "found")
     # per diagonal: which words of the item are matched, and which of its slots with what
     slot = F.transform(F.sequence(F.lit(0), F.size("slots") - 1), lambda k: F.struct((F.col("place") + F.element_at("slots", k + 1)).alias("p"), F.element_at("values", k + 1).alias("v"), F.element_at("found", k + 1).alias("d")))
     met = met.withColumn("pairs", F.when(F.size("slots") > 0, slot).otherwise(F.array().cast("array<struct<p:int,v:bigint,d:bigint>>")))
-    lines = met.groupBy("doc_id", "item_id", "diagonal").agg(
+    lines = met.groupBy("doc_id", "item_id", "plain", "diagonal").agg(
         F.max("words").alias("words"),
         F.array_distinct(F.flatten(F.collect_set(F.sequence("place", F.col("place") + F.col("size") - 1)))).alias("covered"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
@@ -201,11 +262,13 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, matched: int
         F.lit(0),
         lambda n, v: n + F.array_max(F.transform(F.filter("pairs", lambda x: x["v"] == v), lambda y: F.size(F.filter("pairs", lambda z: (z["v"] == v) & (z["d"] == y["d"]))))),
     )
-    scored = lines.select("doc_id", "item_id", "words", F.size("covered").alias("hit"), F.size("pairs").alias("slots"), agree.alias("agree"), F.size(F.filter("pairs", lambda x: x["v"] == x["d"])).alias("same"))
+    scored = lines.select("doc_id", "item_id", "plain", "words", F.size("covered").alias("hit"), F.size("pairs").alias("slots"), agree.alias("agree"), F.size(F.filter("pairs", lambda x: x["v"] == x["d"])).alias("same"))
     scored = scored.where((F.col("slots") == 0) | (F.col("agree") >= AGREE * F.col("slots")))
-    out = scored.groupBy("doc_id", "item_id").agg(F.sum("hit").alias("hit"), F.max("words").alias("item_words"), F.sum("slots").alias("slots"), F.sum("agree").alias("consistent"), F.sum("same").alias("same"))
+    out = scored.groupBy("doc_id", "item_id", "plain").agg(F.sum("hit").alias("hit"), F.max("words").alias("item_words"), F.sum("slots").alias("slots"), F.sum("agree").alias("consistent"), F.sum("same").alias("same"))
     out = out.withColumn("matched_words", F.least("hit", "item_words")).where(F.col("matched_words") >= F.least(F.lit(matched), F.col("item_words")))
-    return out.select("doc_id", "item_id", F.col("matched_words").cast("int"), "item_words", F.col("slots").cast("int"), F.col("consistent").cast("int"), (F.col("same") == F.col("slots")).alias("exact"))
+    out = out.select("doc_id", "item_id", F.struct(F.col("matched_words").cast("int").alias("matched_words"), (~F.col("plain")).alias("template"), "item_words", F.col("slots").cast("int").alias("slots"), F.col("consistent").cast("int").alias("consistent"), (F.col("same") == F.col("slots")).alias("exact")).alias("m"))
+    best = out.groupBy("doc_id", "item_id").agg(F.max("m").alias("m"))
+    return best.select("doc_id", "item_id", *(f"m.{c}" for c in ("matched_words", "item_words", "slots", "consistent", "exact")))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
