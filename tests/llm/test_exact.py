@@ -174,6 +174,22 @@ def test_near_duplicates_stage_on_documents(spark, data, documents):
     assert sorted(r["doc_id"] for r in got.collect()) == first_of_each([d[:2] for d in documents], 5, 80)
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Clean documents stay whatever their id; links of every text of an id count."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    clean = [(None, " ".join(f"n{k}x{i}" for i in range(20)), f"clean{k}") for k in range(50)]
+    docs = clean + [
+        (1, one, "a"), (1, two, "b"), (1, one, "a again"), (2, two, "copy of b"), (None, one, "copy of a"), (None, three, "c"), (None, three, "copy of c"), (3, None, "null"), (3, None, "null again"),
+        (3, "", "empty"), (None, None, "no id 1"), (None, None, "no id 2"), (None, "", "no id 3"), (9, "few words", "short"),
+    ]
+    table = spark.createDataFrame(docs, "doc_id long, text string, key string")
+    kept = [r["key"].split(" again")[0].replace("copy of c", "c") for r in ngram_join.keep_one(table).collect()]
+    assert sorted(kept) == sorted([f"clean{k}" for k in range(50)] + ["a", "b", "c", "null", "empty", "no id 1", "no id 2", "no id 3", "short"])
+    got = ngram_join.join(table).collect()
+    assert len(got) == len(docs) and {r["component_id"] for r in got if r["doc_id"] == 2} == {1}
+    assert sorted(r["n_shingles"] for r in got if r["doc_id"] == 1) == [28] * 3
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(chain, "a long, b long")).collect())

@@ -19,8 +19,10 @@ Pairs that pass the bounds are verified on whole sets, exactly.
 
 Defined results: null and empty texts have no shingles and link with nothing;
 texts of fewer than ``n`` words have one shingle, the whole sequence; repeated rows
-are one class; a null id joins its class and is nobody's representative; an
-empty table gives no rows; other columns are ignored.
+are one class; a null id joins its class and is nobody's representative; where
+ids are null or repeat, rows are joined by a key of their own, so that every
+text has its links, and components are named by their smallest id; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import drop_saved, keep_matching, partitions, saved
+from .common import WORD, drop_saved, keep_matching, partitions, saved
 from .filters import contains, id_hash, members, repeated
 from .graph import components
 
@@ -244,8 +246,37 @@ def block_pairs(post: DataFrame, found: DataFrame, sketches: DataFrame, percent:
     return cells.select("i", "j", "cells").mapInArrow(product, "a long, b long").distinct()
 
 
+def _id() -> F.Column:
+    return F.col("doc_id").cast("long")
+
+
+def _plain_ids(docs: DataFrame) -> bool:
+    """Whether every row has an id (as a number) and none repeats."""
+    return docs.groupBy(_id().alias("id")).agg(F.count(F.lit(1)).alias("rows")).where("id is null or rows > 1").isEmpty()
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, id, text, row): rows under a number of their own, saved so that it stays."""
+    return saved(docs.select(F.monotonically_increasing_id().alias("key"), _id().alias("id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row")), "ngram-rows")
+
+
 def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, n_shingles, class_id, component_id."""
+    """``docs`` (doc_id, text) -> doc_id, n_shingles, class_id, component_id.
+
+    Components of rows whose id repeats with other texts may share a name.
+    """
+    if _plain_ids(docs):
+        return join_keys(docs, n, percent)
+    rows = _keyed(docs.select("doc_id", "text"))
+    found = join_keys(rows.select(F.col("key").alias("doc_id"), "text"), n, percent).withColumnRenamed("doc_id", "key")
+    found = saved(found.join(rows.select("key", "id"), "key"), "ngram-named")
+    classes, comps = (found.groupBy(c).agg(F.min("id").alias(f"{c}_name")) for c in ("class_id", "component_id"))
+    out = found.join(classes, "class_id").join(comps, "component_id")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("class_id_name").alias("class_id"), F.col("component_id_name").alias("component_id"))
+
+
+def join_keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``join`` where every row has an id of its own."""
     sc = docs.sparkSession.sparkContext
     signs = saved(signatures(docs, sc.broadcast(rarity_counts(docs, n)), n, percent), "ngram-signatures")
     classes = signs.where("n > 0").groupBy("f", "g", "n").agg(F.min("doc_id").alias("rep"))
@@ -267,12 +298,22 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, that come first in their component; one row per id.
+    """The rows of ``docs``, all columns, that come first in their component, by id.
 
-    Rows without an id stay, as one, if one of them has no link to a row with an id.
+    Rows without an id come last, so they stay only where no row with an id is
+    linked to them, one for each component.  Rows that share an id but have
+    other texts are judged each.  Rows without a shingle stay, a repeated id
+    and text once.
     """
-    found = saved(join(docs, n, percent).select("doc_id", "component_id"), "ngram-found")
-    first = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = keep_matching(docs, first, "left_semi")
-    repeats = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id"])
+    if _plain_ids(docs):
+        found = saved(join_keys(docs, n, percent).select("doc_id", "component_id"), "ngram-found")
+        return keep_matching(docs, found.where("doc_id = component_id").select("doc_id"), "left_semi")
+    rows = _keyed(docs)
+    found = join_keys(rows.select(F.col("key").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("key"), "n_shingles", "component_id")
+    blank = F.when(~F.col("text").rlike(WORD), F.col("text")).alias("blank")
+    found = found.join(rows.select("key", "id", blank), "key")
+    bare = F.col("n_shingles") == 0
+    group = [F.when(~bare, F.col("component_id")), F.when(bare, F.col("id")), F.when(bare, F.col("blank")), F.when(bare & F.col("id").isNull(), F.col("key"))]
+    first = found.groupBy(*(g.alias(f"g{k}") for k, g in enumerate(group))).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
+    first = saved(first.select(F.col("first.key").alias("key")), "ngram-first")
+    return rows.join(first, "key", "left_semi").select("row.*")
