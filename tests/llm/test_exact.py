@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tributary.llm import lm, mixing, ngram_join, queries, sharding, substring
+from tributary.llm import graph, lm, mixing, ngram_join, queries, sharding, substring
 from tributary.llm.graph import components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -197,6 +197,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    tags = []
+    monkeypatch.setattr(graph, "saved", lambda df, tag, f=graph.saved: (tags.append(tag), f(df, tag))[1])
+    links = [(i, i + 1) for i in range(199)] + [(1000, 1001 + i) for i in range(50)] + [(2050, 2000 + i) for i in range(50)]
+    got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {**dict.fromkeys(range(200), 0), **dict.fromkeys(range(1000, 1051), 1000), **dict.fromkeys(range(2000, 2051), 2000)}
+    assert tags.count("cc-hook") <= 25
+
+
 # ---- language model ----
 
 

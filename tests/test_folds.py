@@ -58,6 +58,13 @@ def test_union_find_and_components(spark):
     assert {c for _, c in out(folds.components(df), "node", "component")} == {"A"}
 
 
+def test_components_of_long_chains(spark):
+    """Ascending labels, which hooking to the smallest neighbour shortens by one node a round."""
+    links = [(f"N{i:04}", f"N{i + 1:04}") for i in range(199)] + [("Z1", "Z2"), ("Z3", "Z3")]
+    got = dict(out(folds.components(spark.createDataFrame(links, "u string, v string")), "node", "component"))
+    assert got == {**{f"N{i:04}": "N0000" for i in range(200)}, "Z1": "Z1", "Z2": "Z1", "Z3": "Z3"}
+
+
 def test_state_crosses_batches_and_empty_input(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")

@@ -11,16 +11,21 @@ from .common import drop_saved, saved
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) -> node, component: the smallest node reachable.  Unlinked nodes have no row.
 
-    Each round maps every node to its smallest neighbour or itself and contracts
-    the links; a component of n nodes is one node after O(log n) rounds.  The
-    smallest node of a component maps to itself throughout.  Hubs with many
-    links are pre-aggregated and their joins split by adaptive execution.
+    Each round maps every node to the first of its neighbours and itself and
+    contracts the links, until none is left.  The first two rounds order nodes
+    by themselves, which settles stars; later ones by a hash that differs each
+    round, so that an expected share of the nodes goes whatever their labels,
+    and a component of n nodes takes O(log n) rounds.  Components are then named
+    by their smallest node.  Hubs with many links are pre-aggregated and their
+    joins split by adaptive execution.
     """
     both = lambda d: d.select("a", "b").union(d.select(F.col("b").alias("a"), F.col("a").alias("b")))
     left = saved(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links")
     found = saved(both(left).select(F.col("a").alias("node"), F.col("a").alias("component")).distinct(), "cc-found")
+    rounds = 0
     while not left.isEmpty():
-        hook = saved(both(left).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "cc-hook")
+        ranked = lambda c, k=rounds: F.struct((F.xxhash64(c, F.lit(k)) if k >= 2 else F.lit(0).cast("long")).alias("h"), F.col(c).alias("x"))
+        hook = saved(both(left).groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("n"), F.least(ranked("a"), "m")["x"].alias("m")), "cc-hook")
         ha, hb = hook.select(F.col("n").alias("a"), F.col("m").alias("x")), hook.select(F.col("n").alias("b"), F.col("m").alias("y"))
         fresh = left.join(ha, "a").join(hb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         fresh = saved(fresh, "cc-links")
@@ -28,5 +33,11 @@ def components(links: DataFrame) -> DataFrame:
         for old in (left, found, hook):
             drop_saved(old)
         left, found = fresh, named
+        rounds += 1
     drop_saved(left)
-    return found
+    if rounds <= 2:
+        return found
+    names = found.groupBy("component").agg(F.min("node").alias("least"))
+    named = saved(found.join(names, "component").select("node", F.col("least").alias("component")), "cc-found")
+    drop_saved(found)
+    return named

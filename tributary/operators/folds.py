@@ -170,8 +170,13 @@ def dedup_window(df: DataFrame, key: str, ts: str, order: list[str], seconds: fl
     return keyed_fold(df, key, order, dedup_step(seconds, ts, carry), schema)
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 50) -> DataFrame:
-    """Final components: node, component (its smallest node), by contraction with checkpoints."""
+def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """Final components: node, component (its smallest node), by contraction with checkpoints.
+
+    Nodes hook to the first of their neighbours, in two rounds by label (which
+    settles stars) and then in an order that differs each round, until no link is
+    left: O(log n) rounds are expected whatever the labels.
+    """
     sc = edges.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
@@ -180,15 +185,17 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 50) -
     e = edges.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).distinct()
     found = e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("component", F.col("node")).checkpoint()
     left = e.where("a <> b").checkpoint()
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    rounds = 0
+    while not left.isEmpty():
+        ranked = lambda c, k=rounds: F.struct((F.xxhash64(c, F.lit(k)) if k >= 2 else F.lit(0).cast("long")).alias("h"), F.col(c).alias("x"))
         both = left.union(left.select("b", "a").toDF("a", "b"))
-        hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")).checkpoint()
+        hook = both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("n"), F.least(ranked("a"), "m")["x"].alias("m")).checkpoint()
         x, y = hook.toDF("a", "x"), hook.toDF("b", "y")
         left = left.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().checkpoint()
         found = found.join(hook, found.component == hook.n, "left").select("node", F.coalesce("m", "component").alias("component")).checkpoint()
-    return found
+        rounds += 1
+    names = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(names, "component").select("node", F.col("least").alias("component")) if rounds > 2 else found
 
 
 def join_step(side: str, sides: list[str], value: str, key: str) -> Step:
