@@ -24,8 +24,9 @@ def components(links: DataFrame) -> DataFrame:
     found = saved(both(left).select(F.col("a").alias("node"), F.col("a").alias("component")).distinct(), "cc-found")
     rounds = 0
     while not left.isEmpty():
-        ranked = lambda c, k=rounds: F.struct((F.xxhash64(c, F.lit(k)) if k >= 2 else F.lit(0).cast("long")).alias("h"), F.col(c).alias("x"))
-        hook = saved(both(left).groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("n"), F.least(ranked("a"), "m")["x"].alias("m")), "cc-hook")
+        ranked = lambda c, k=rounds: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("x")) if k >= 2 else F.col(c)
+        first = F.least(ranked("a"), "m")["x"] if rounds >= 2 else F.least("a", "m")
+        hook = saved(both(left).groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("n"), first.alias("m")), "cc-hook")
         ha, hb = hook.select(F.col("n").alias("a"), F.col("m").alias("x")), hook.select(F.col("n").alias("b"), F.col("m").alias("y"))
         fresh = left.join(ha, "a").join(hb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         fresh = saved(fresh, "cc-links")

@@ -187,9 +187,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     left = e.where("a <> b").checkpoint()
     rounds = 0
     while not left.isEmpty():
-        ranked = lambda c, k=rounds: F.struct((F.xxhash64(c, F.lit(k)) if k >= 2 else F.lit(0).cast("long")).alias("h"), F.col(c).alias("x"))
+        ranked = lambda c, k=rounds: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("x")) if k >= 2 else F.col(c)
+        first = F.least(ranked("a"), "m")["x"] if rounds >= 2 else F.least("a", "m")
         both = left.union(left.select("b", "a").toDF("a", "b"))
-        hook = both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("n"), F.least(ranked("a"), "m")["x"].alias("m")).checkpoint()
+        hook = both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("n"), first.alias("m")).checkpoint()
         x, y = hook.toDF("a", "x"), hook.toDF("b", "y")
         left = left.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().checkpoint()
         found = found.join(hook, found.component == hook.n, "left").select("node", F.coalesce("m", "component").alias("component")).checkpoint()
