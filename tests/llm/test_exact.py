@@ -98,11 +98,11 @@ def test_ngram_join(spark, data, documents):
     assert rows(queries.op7_ngram_join(spark, data), "doc_id", "n_shingles", "component_id") == linked([d[:2] for d in documents])
 
 
-@pytest.mark.parametrize("few", [0, 64])
+@pytest.mark.parametrize("few", [0, 8, 64])
 def test_ngram_join_near_copies(spark, monkeypatch, few):
     """A large group of near copies, many of them linked only through others; small blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
-    monkeypatch.setattr(ngram_join, "_FEW", few)
+    monkeypatch.setattr(ngram_join, "FEW", few)
     monkeypatch.setattr(ngram_join, "HUBS", 1)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from pyspark.sql import functions as F
 #: A word: a maximal run of characters other than space, tab, line feed,
 #: vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch while intermediate tables are made.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share.
+
+    A folder of our own stands in only where none is set and everything runs in
+    one process; elsewhere executors would write to disks of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tributary-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are; ``clean`` deletes it."""
+    return f"{shared_dir(spark)}/tributary/{spark.sparkContext.applicationId}"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of fewer rows while an action runs: a task's memory is then a few MB, long texts or not."""
+    old = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(old or BATCH_ROWS))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, old) if old else spark.conf.unset(_BATCH)
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -35,18 +63,29 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     later join broadcasts only what is measured to be small.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tributary/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Delete a table made by ``saved`` whose rows are no longer needed."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if "/tributary/" in path.toString():
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_saved(*tables: DataFrame) -> None:
+    """Delete tables made by ``saved`` whose rows are no longer needed."""
+    for df in tables:
+        for f in df.inputFiles()[:1]:
+            folder = f.rpartition("/")[0]
+            if "/tributary/" in folder:
+                _delete(df.sparkSession, folder)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still read them must be written before."""
+    _delete(spark, run_dir(spark))
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:

@@ -7,12 +7,15 @@ are rarest in the corpus can be the first that it shares with a partner, so
 only these enter the product; sizes and positions bound what a pair can still
 share.  Rarity is read from counts in 2**18 hash buckets, over all documents.
 
-The product runs in two steps that lose no link between components:
+The product loses no link between components.  Columns of few documents are
+multiplied at once.  Large ones go through steps:
 
 1. hubs: in every shingle's column, all documents are paired with a few of
-   them, which settles groups of near copies without pairing them all;
+   them, and again with others where components still differ, which settles
+   groups of near copies without pairing them all;
 2. blocks: columns whose documents still belong to several components are cut
-   into blocks, and pairs of blocks are multiplied, skipping pairs within one
+   into blocks by size, and what is outside a column's main component is
+   multiplied with the blocks that its size allows, skipping pairs within one
    component.  Overlap bounds come from bucketed shingle counts.
 
 Pairs that pass the bounds are verified on whole sets, exactly.
@@ -27,6 +30,8 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import WORD, drop_saved, keep_matching, partitions, saved
+from .common import WORD, drop_saved, keep_matching, saved
 from .filters import contains, id_hash, members, repeated
 from .graph import components
 
-#: Default similarity in percent and words of a shingle; hash buckets for rarity; bins of a sketch; hubs of a column; rows of a block.
-PERCENT, WORDS, RARITY_BITS, BINS, HUBS, BLOCK = 90, 3, 18, 128, 3, 256
-#: A bin's count that may be larger; documents with one pass every bound.  Members of a column whose pairs go without sketches.
-_FULL, _FEW = 255, 64
+#: Default similarity in percent and words of a shingle; hash buckets for rarity; bins of a sketch.
+PERCENT, WORDS, RARITY_BITS, BINS = 90, 3, 18, 128
+#: Documents of a column that is paired at once; hubs of a larger one in each step; steps; documents of a block.
+FEW, HUBS, STEPS, BLOCK = 32, 3, 2, 256
+#: A bin's count that may be larger; documents with one pass every bound.  Pairs whose sketches are compared together.
+_FULL, _PAIRS = 255, 8192
 _SLICE = 1 << 12
 
 
@@ -192,58 +199,103 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int = WO
 
     wa, wb = (whole.select(F.col("id").alias(x), F.col("shingles").alias(f"w{x}")) for x in "ab")
     links = saved(near.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(overlap, "a long, b long"), "ngram-links")
-    drop_saved(near)
-    drop_saved(whole)
+    drop_saved(near, whole)
     return links
 
 
-def hub_pairs(post: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each document of a shared column paired with the column's hubs, where bounds allow."""
-    draw = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n", "pos")).alias(f"hub{k}") for k in range(HUBS)]
-    hubs = post.groupBy("token").agg(F.count(F.lit(1)).alias("members"), *draw).where("members > 1")
-    hubs = hubs.select(F.col("token").alias("t"), F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("hubs"))
-    met = post.join(hubs, F.col("token") == F.col("t")).select("rep", "n", "pos", F.explode("hubs").alias("hub"))
-    left = F.least(F.col("n") - F.col("pos"), F.col("hub.n") - F.col("hub.pos"))
-    ok = (F.col("rep") != F.col("hub.rep")) & _may_link(F.col("n"), F.col("hub.n"), left, percent) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+def _sizes_fit(na: F.Column, nb: F.Column, percent: int) -> F.Column:
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+
+
+def _fits(na: F.Column, pa_: F.Column, nb: F.Column, pb: F.Column, percent: int) -> F.Column:
+    """Whether sizes, and positions in the prefixes, allow a link."""
+    return _sizes_fit(na, nb, percent) & _may_link(na, nb, F.least(na - pa_, nb - pb), percent)
+
+
+def named(post: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Postings with the component that each document is in so far."""
+    if found is None:
+        return post.withColumn("comp", F.col("rep"))
+    return post.join(found.withColumnRenamed("component", "_comp"), F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("_comp", "rep").alias("comp"))
+
+
+def hub_pairs(post: DataFrame, found: DataFrame | None, step: int, percent: int = PERCENT) -> DataFrame:
+    """Each document of a large column paired with the column's hubs of this step, where bounds allow and components differ."""
+    post = named(post, found)
+    draw = [F.min(F.struct(F.xxhash64("rep", F.lit(HUBS * step + k)).alias("h"), "rep", "n", "pos", "comp")).alias(f"hub{k}") for k in range(HUBS)]
+    hubs = post.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *draw).where("lo <> hi")
+    hubs = saved(hubs.select(F.col("token").alias("t"), F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("hubs")), "ngram-hubs")
+    met = post.join(hubs, F.col("token") == F.col("t")).select("rep", "n", "pos", "comp", F.explode("hubs").alias("hub"))
+    ok = (F.col("comp") != F.col("hub.comp")) & _fits(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent)
     return met.where(ok).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
 
 
+def small_pairs(post: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All pairs of columns of at most ``FEW`` documents that the bounds allow."""
+    x = post.select("token", *(F.col(c).alias(f"{c}1") for c in ("rep", "n", "pos")))
+    y = post.select("token", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "pos")))
+    met = x.join(y, "token").where((F.col("rep1") < F.col("rep2")) & _fits(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), percent))
+    return met.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
+
+
 def block_pairs(post: DataFrame, found: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of different components that a column still allows, from products of its blocks."""
-    named = saved(post.join(found, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")), "ngram-named")
-    mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    mixed = mixed.select(F.col("token").alias("t"), "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    found_open = named.join(mixed, F.col("token") == F.col("t"))
-    few = found_open.where(F.col("members") <= _FEW).withColumn("sketch", F.lit(None).cast("binary"))
-    open_ = few.unionByName(found_open.where(F.col("members") > _FEW).join(sketches.select(F.col("doc_id").alias("rep"), "sketch"), "rep"))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.struct("comp", "rep", "n", "pos", "mine", "sketch")
-    cells = rows.groupBy("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.collect_list(cell).alias("cells"))
+    """Pairs of different components that a large column still allows, from products of its blocks.
+
+    Documents of a column's main component meet only those of its others.  A
+    column is cut into bands of sizes, and a band into blocks; a document of
+    another component goes to the blocks of the bands that its size can link
+    with, and every block is held by itself while those stream past it.
+    """
+    all_ = saved(named(post, found), "ngram-named")
+    mixed = all_.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    mixed = saved(mixed.select(F.col("token").alias("t"), F.col("main.comp").alias("main")), "ngram-mixed")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n")
+    open_ = saved(all_.join(mixed, F.col("token") == F.col("t")).select("token", "rep", "n", "pos", "comp", "main", band.alias("band")), "ngram-open")
+    sizes = open_.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = saved(sizes.select(F.col("token").alias("t"), F.col("band").alias("z"), "blocks"), "ngram-bands")
+    here = (F.col("token") == F.col("t")) & (F.col("zone") == F.col("z"))
+    cell = ["token", "zone", "block", "side", "rep", "comp", "n", "pos"]
+    held = open_.withColumn("zone", F.col("band")).join(sizes, here).withColumns({"block": F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), "side": F.lit(0)}).select(*cell)
+    past = open_.where("comp <> main").withColumn("zone", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))).join(sizes, here)
+    past = past.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1)).select(*cell)
+    rows = held.union(past).join(sketches.select(F.col("doc_id").alias("rep"), "sketch"), "rep").select(*cell, "sketch")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, None
         for b in batches:
-            i_all, j_all, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
-            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for k in range(b.num_rows):
-                rows = lists[k].values
-                comp, rep, n, pos, mine = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5))
-                bare = rows.field(5).null_count > 0
-                if not bare:
-                    sk = np.frombuffer(b"".join(rows.field(5).to_pylist()), np.uint8).reshape(-1, BINS)
-                    full = (sk == _FULL).any(1)
-                one, two = (np.flatnonzero(mine == x[k]) for x in (i_all, j_all))
-                for r in one:
-                    c = two[(comp[two] != comp[r]) & ((rep[two] > rep[r]) | (i_all[k] != j_all[k]))]
-                    c = c[(100 * np.minimum(n[c], n[r]) >= percent * np.maximum(n[c], n[r])) & _may_link(n[c], n[r], np.minimum(n[c] - pos[c], n[r] - pos[r]), percent)]
-                    if len(c) and not bare:
-                        c = c[full[c] | full[r] | _may_link(n[c], n[r], np.minimum(sk[c], sk[r]).sum(1, dtype=np.int64), percent)]
-                    if len(c):
-                        out_a.append(np.minimum(rep[c], rep[r]))
-                        out_b.append(np.maximum(rep[c], rep[r]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-
-    return cells.select("i", "j", "cells").mapInArrow(product, "a long, b long").distinct()
+            key = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(4)])
+            rep, comp, n, pos = (b.column(k).to_numpy().astype(np.int64) for k in range(4, 8))
+            sketch = np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint8).reshape(-1, BINS)
+            cut = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [b.num_rows]))
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                part = tuple(x[i:j] for x in (rep, comp, n, pos, sketch))
+                name = tuple(key[:3, i])
+                if key[3, i] == 0:
+                    block = part if name != at else tuple(np.concatenate(x) for x in zip(block, part, strict=True))
+                    at = name
+                elif name == at:
+                    for k in range(i, j, BLOCK):
+                        yield from _meet(tuple(x[k : min(k + BLOCK, j)] for x in (rep, comp, n, pos, sketch)), block, percent)
+
+    dealt = rows.repartition("token", "zone", "block").sortWithinPartitions("token", "zone", "block", "side")
+    out = saved(dealt.mapInArrow(product, "a long, b long").distinct(), "ngram-pairs")
+    drop_saved(all_, mixed, open_, sizes)
+    return out
+
+
+def _meet(x: tuple, y: tuple, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks (rep, comp, n, pos, sketch) that every bound allows."""
+    n, m = x[2][:, None], y[2][None, :]
+    ok = (x[1][:, None] != y[1][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    ok &= _may_link(n, m, np.minimum(n - x[3][:, None], m - y[3][None, :]), percent)
+    i, j = np.nonzero(ok)
+    for k in range(0, len(i), _PAIRS):
+        p, q = i[k : k + _PAIRS], j[k : k + _PAIRS]
+        s, t = x[4][p], y[4][q]
+        fit = (s == _FULL).any(1) | (t == _FULL).any(1) | _may_link(x[2][p], y[2][q], np.minimum(s, t).sum(1, dtype=np.int64), percent)
+        p, q = x[0][p[fit]], y[0][q[fit]]
+        if len(p):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
 
 def _id() -> F.Column:
@@ -279,20 +331,31 @@ def join_keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``join`` where every row has an id of its own."""
     sc = docs.sparkSession.sparkContext
     signs = saved(signatures(docs, sc.broadcast(rarity_counts(docs, n)), n, percent), "ngram-signatures")
-    classes = signs.where("n > 0").groupBy("f", "g", "n").agg(F.min("doc_id").alias("rep"))
-    classes = saved(signs.select("doc_id", "n", "f", "g").join(classes, ["f", "g", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "ngram-classes")
-    own = classes.where("doc_id = rep and n > 0").select("doc_id").distinct()
-    reps = saved(signs.where("n > 0").join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "prefix", "sketch"), "ngram-reps")
-    drop_saved(signs)
-    post = saved(postings(reps, sc.broadcast(repeated(reps, "prefix"))).repartition(partitions(docs.sparkSession)), "ngram-postings")
+    # written before the join, so that adaptive execution can split a class that holds most documents
+    groups = saved(signs.where("n > 0").groupBy("f", "g", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "ngram-groups")
+    classes = saved(signs.select("doc_id", "n", "f", "g").join(groups, ["f", "g", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "ngram-classes")
+    copies = classes.where("doc_id <> rep").select("doc_id")
+    reps = saved(signs.where("n > 0").join(copies, "doc_id", "left_anti").select("doc_id", "n", "prefix", "sketch"), "ngram-reps")
+    drop_saved(signs, groups)
+    post = saved(postings(reps, sc.broadcast(repeated(reps, "prefix"))), "ngram-postings")
     sketches = saved(reps.select("doc_id", "n", "sketch"), "ngram-sketches")
     drop_saved(reps)
-    tried = saved(hub_pairs(post, percent), "ngram-tried")
-    first = verified(tried, sketches, docs, n, percent)
-    more = saved(block_pairs(post, components(first), sketches, percent).join(tried, ["a", "b"], "left_anti"), "ngram-more")
-    drop_saved(post)
-    links = first.union(verified(more, sketches, docs, n, percent))
-    found = components(links)
+    sized = saved(post.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(F.col("token").alias("t"), "members"), "ngram-columns")
+    column = post.join(sized, F.col("token") == F.col("t"))
+    big = saved(column.where(F.col("members") > FEW).select("token", "rep", "n", "pos"), "ngram-big")
+    links, found = [], None
+    for step in range(STEPS):
+        tried = saved(hub_pairs(big, found, step, percent), "ngram-tried")
+        links.append(verified(tried, sketches, docs, n, percent))
+        found = components(functools.reduce(DataFrame.union, links))
+        drop_saved(tried)
+    small = saved(small_pairs(column.where(F.col("members") <= FEW), percent), "ngram-small")
+    x, y = (found.toDF(c, f"c{c}") for c in "ab")
+    apart = small.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    more = block_pairs(big, found, sketches, percent)
+    links.append(verified(apart.union(more).distinct(), sketches, docs, n, percent))
+    drop_saved(post, sized, big, small, more, sketches)
+    found = components(functools.reduce(DataFrame.union, links))
     out = classes.join(found, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
 
