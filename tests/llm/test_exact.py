@@ -244,39 +244,87 @@ def test_long_words_go_another_way(monkeypatch):
     assert lm.forward(block, w, slots, longest)[0] == pytest.approx(want)
 
 
-@pytest.mark.parametrize("common", [1 << 19, 50])
-def test_lm(spark, data, documents, monkeypatch, common):
-    monkeypatch.setattr(lm, "COMMON", common)
-    count, texts = Counter(), {}
-    for i, text, *_ in documents:
-        texts[i] = re.findall(WORD, text.translate(LOWER)) + [None]
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            count.update(texts[i])
+class PlainLattice:
+    """Unigram model over the vocabulary's pieces, word by word in plain Python."""
+
+    def __init__(self, train, rounds=lm.ROUNDS):
+        names, w = lm.pieces(lm.VOCABULARY)
+        self.p = {n: math.exp(x) for n, x in zip(names, w, strict=True)}
+        self.end = 1 / (len(names) + 1)
+        self.longest = max(map(len, names))
+        count, ends = Counter(x for words in train for x in words if x is not None), len(train)
+        for _ in range(rounds if ends else 0):
+            uses = dict.fromkeys(self.p, lm.FLOOR)
+            for word, n in count.items():
+                s, into, out = self.tables(word)
+                for i in range(len(s)):
+                    for j in range(i + 1, min(len(s), i + self.longest) + 1):
+                        if s[i:j] in self.p:
+                            uses[s[i:j]] += n * into[i] * self.p[s[i:j]] * out[j] / into[-1]
+            total = sum(uses.values()) + ends
+            self.p, self.end = {k: x / total for k, x in uses.items()}, ends / total
+
+    def tables(self, word):
+        s = "\u2581".encode() + word.encode()
+        into, out = [1.0] + [0.0] * len(s), [0.0] * len(s) + [1.0]
+        for j in range(1, len(s) + 1):
+            into[j] = sum(into[i] * self.p.get(s[i:j], 0.0) for i in range(max(0, j - self.longest), j))
+        for i in reversed(range(len(s))):
+            out[i] = sum(self.p.get(s[i:j], 0.0) * out[j] for j in range(i + 1, min(len(s), i + self.longest) + 1))
+        return s, into, out
+
+    def score(self, words):
+        return sum(math.log10(self.end if x is None else self.tables(x)[1][-1]) for x in words)
+
+
+def in_training(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2
+
+
+def checked_lm(got, docs, learn, plain):
+    """Rows of (doc_id, text) and what they scored, in one order; ``learn``: whether an id is training."""
+    texts = [re.findall(WORD, (t or "").translate(LOWER)) + [None] for _, t in docs]
+    train = [x for (i, _), x in zip(docs, texts, strict=True) if learn(i)]
+    count = Counter(w for x in train for w in x)
     n, v = sum(count.values()), len(count)
-    got = {r["doc_id"]: r for r in queries.op2_lm(spark, data).collect()}
-    assert len(got) == len(texts)
-    for i, words in texts.items():
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, len(words), sum(count[w] > 0 for w in words), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words))
-        assert r["score"] < 0
-    # the same words in another order have the same probability, and one word costs something
-    assert got[min(got)]["score"] > sum(-40.0 for _ in texts[min(got)])
-
-
-def test_lm_odd(odd, nothing):
-    got = lm.score(odd.where("doc_id is not null").dropDuplicates(["doc_id"]), F.lit(True)).collect()
-    by = {r["doc_id"]: r for r in got}
-    assert len(by) == 13 and by[3]["n_tokens"] == by[4]["n_tokens"] == by[5]["n_tokens"] == 1
-    assert by[4]["score"] == pytest.approx(math.log10(13 / (by[4]["train_tokens"] + len(set(words(odd))) + 1)))
-    assert all(math.isfinite(r["score"]) for r in got)
+    want = sorted(((len(x), sum(count[w] > 0 for w in x), n, i, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in x), plain.score(x)) for (i, _), x in zip(docs, texts, strict=True)), key=lambda r: (r[3] is None, r[3] or 0, r[0], r[5]))
+    got = sorted(((r["n_tokens"], r["n_known"], r["train_tokens"], r["doc_id"], r["base_score"], r["score"]) for r in got), key=lambda r: (r[3] is None, r[3] or 0, r[0], r[5]))
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert [r[4] for r in got] == pytest.approx([r[4] for r in want]) and [r[5] for r in got] == pytest.approx([r[5] for r in want], rel=1e-6)
+
+
+def test_lm(spark, data, documents, monkeypatch):
+    """Every score of the whole table against sums over segmentations made here, training included."""
+    docs = [d[:2] for d in documents]
+    plain = PlainLattice([re.findall(WORD, (t or "").translate(LOWER)) + [None] for i, t in docs if in_training(i)])
+    for common in (1 << 19, 50):
+        monkeypatch.setattr(lm, "COMMON", common)
+        got = queries.op2_lm(spark, data).collect()
+        assert all(r["held_out"] != in_training(r["doc_id"]) for r in got)
+        checked_lm(got, docs, in_training, plain)
+
+
+def test_lm_is_a_distribution_over_pieces():
+    """Learnt weights and the end symbol sum to one."""
+    plain = PlainLattice([["banana", "band", None], ["ban", None]])
+    assert sum(plain.p.values()) + plain.end == pytest.approx(1)
+
+
+def test_lm_odd(spark, odd, nothing, monkeypatch):
+    """Null and repeated ids are scored row by row; nulls, blanks, very long words and texts included."""
+    monkeypatch.setattr(lm, "_MERGE", 10)
+    docs = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
+    docs += [(None, "another text without an id"), (1, "another text of a repeated id"), (20, "y" * 100 + " end")]
+    table = odd.select("doc_id", "text", "score", "held_out").unionByName(spark.createDataFrame(docs[-3:], "doc_id long, text string"), allowMissingColumns=True)
+    small = [(i, t) for i, t in docs if len(t or "") < 15_000]
+    plain = PlainLattice([re.findall(WORD, (t or "").translate(LOWER)) + [None] for _, t in small], 1)
+    kept = table.where("text is null or length(text) < 15000")
+    checked_lm(lm.score(kept, F.lit(True), rounds=1).collect(), small, lambda i: True, plain)
+    got = lm.score(table, F.lit(True)).collect()
+    assert len(got) == len(docs) and all(math.isfinite(r["score"]) for r in got)
     assert lm.score(nothing, F.lit(True)).count() == 0
     untrained = lm.score(odd.where("doc_id = 8"), F.lit(False)).first()
-    assert untrained["n_known"] == 0 and math.isfinite(untrained["score"])
-
-
-def words(odd):
-    return [w for r in odd.where("doc_id is not null").select("doc_id", "text").distinct().collect() for w in re.findall(WORD, (r["text"] or "").translate(LOWER))]
+    assert untrained["n_known"] == 0 and untrained["score"] == pytest.approx(PlainLattice([]).score(["short", None]))
 
 
 # ---- mixing ----

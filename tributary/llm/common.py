@@ -107,5 +107,16 @@ def keep_matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(ids.toDF("id"), F.col("row.doc_id").eqNullSafe(F.col("id")), how).select("row.*")
 
 
+def plain_ids(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` (doc_id) has an id, as a number, and none repeats."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    return ids.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("id is null or rows > 1").isEmpty()
+
+
+def keyed(docs: DataFrame, tag: str) -> DataFrame:
+    """(key, row): rows, as structs, under a number of their own; saved, so that it stays."""
+    return saved(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row")), tag)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

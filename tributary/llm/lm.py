@@ -1,25 +1,28 @@
 """Language-model scoring by the likelihood of a subword lattice.
 
 The pieces are those of an existing vocabulary; its scores (ranks) give the
-first weights and expectation-maximisation over the distinct training words
-refines them.  A word's lattice probability is the sum over all its
-segmentations of the product of its pieces' probabilities, found by a forward
-recursion in log space.  One more arc spans the word as a whole: with c of its
-N training tokens and V distinct ones, the word has the probability
-``(c + V * lattice) / (N + V)``, so that the segmentations share the chance of
-meeting a new word.  Pieces never cross white space, so a text's marginal
-probability is the product over its words and one end symbol.
+first weights of a unigram model over pieces and an end symbol.  A word's
+probability is the sum over all its segmentations of the product of its pieces'
+probabilities, found by a forward recursion in log space.  Pieces never cross
+white space, so a text's marginal probability is the product over its words and
+one end symbol, and the score is its logarithm to base 10.
+
+Learning is a documented step of its own: ``ROUNDS`` rounds of expectation
+maximisation over the training words, each weighted by its number of tokens,
+turn the vocabulary's scores into those under which the training texts are
+likelier.  Nothing but the pieces' probabilities is learnt for the score.
 
 Each distinct word of the corpus goes through the lattice once.  Words are
 grouped by hash into slices; a slice's words, counts and log-probabilities are
 one row.  The most frequent words form a table of at most ``COMMON`` entries
 that every task may hold; the other tokens meet their slice in a shuffle.
 
-Defined results: null and empty texts are the end symbol alone; characters
-outside the vocabulary are spelt by its byte pieces; without training rows
-nothing is known and the first weights are used; repeated rows are separate
-documents (ids must differ for their sums to stay apart); a null id is one
-document; other columns are ignored.
+Defined results: null and empty texts are the end symbol alone; texts of any
+length are scored whole, a word of any length too; characters outside the
+vocabulary are spelt by its byte pieces; without training rows nothing is known
+and the first weights are used, the end symbol counting as one more piece of
+equal weight; rows that repeat an id, or have none, are scored each; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import drop_saved, saved
+from .common import drop_saved, keyed, plain_ids, saved
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Slices of the words; entries of the common table; rounds of training; weight of a piece that was never expected.
@@ -45,7 +48,8 @@ _BLOCK = 16384
 #: Words of more bytes, and blocks of fewer words, go word by word, in stretches of so many positions.
 _LONG, _FEW, _STRETCH = 256, 16, 4096
 _BINS = 64
-NO_ID = -(1 << 63)
+#: Words that are held before contributions to a slice are merged.
+_MERGE = 100_000
 
 
 class Slots:
@@ -280,6 +284,8 @@ def word_types(docs: DataFrame) -> DataFrame:
                     held = []
                 at = i
                 held.append((_array(b.column(1)[k], "<u8"), _array(b.column(2)[k], "<i8"), _array(b.column(3)[k], "<u4").astype(np.int64), _u8(b.column(4)[k])))
+                if len(held) > 8 and sum(len(x[0]) for x in held[1:]) > max(_MERGE, len(held[0][0])):
+                    held = [merge(held)]  # at most twice the slice's distinct words are held
         if held:
             yield rows(*merge(held))
 
@@ -313,7 +319,7 @@ def joined_rows(batches: Iterator[pa.RecordBatch], size_col: int, words: int = 1
 
 
 def expected_uses(types: DataFrame, logp, vocabulary: str) -> np.ndarray:
-    """Expected uses of each piece in the distinct words of the training texts."""
+    """Expected uses of each piece in the training texts: each distinct word once, weighted by its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, longest = lattice(vocabulary)
@@ -321,9 +327,10 @@ def expected_uses(types: DataFrame, logp, vocabulary: str) -> np.ndarray:
         for rows in joined_rows(batches, 2):
             train, size, raw = (np.concatenate(x) for x in zip(*[(_array(r[1], "<i8"), _array(r[2], "<u4").astype(np.int64), _u8(r[3])) for r in rows], strict=True))
             live = train > 0
+            weight = train[live].astype(float)
             raw = gather(raw, (np.cumsum(size) - size)[live], size[live])
             for at, block in by_length(raw, size[live]):
-                uses += forward(block, logp.value, slots, longest, np.ones(len(at)))[1]
+                uses += forward(block, logp.value, slots, longest, weight[at])[1]
         some = np.flatnonzero(uses)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(uses[some])], ["piece", "uses"])
 
@@ -333,7 +340,7 @@ def expected_uses(types: DataFrame, logp, vocabulary: str) -> np.ndarray:
     return out
 
 
-def scored_types(types: DataFrame, logp, vocabulary: str, n: Counts) -> DataFrame:
+def scored_types(types: DataFrame, logp, vocabulary: str) -> DataFrame:
     """(slice, hash, train, lp): log-probability of every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,10 +351,6 @@ def scored_types(types: DataFrame, logp, vocabulary: str, n: Counts) -> DataFram
             lp = np.zeros(len(size), "<f8")
             for at, block in by_length(raw, size):
                 lp[at] = forward(block, logp.value, slots, longest)[0]
-            if n.types:
-                train = np.concatenate([_array(r[2], "<i8") for r in rows])
-                with np.errstate(divide="ignore"):
-                    lp = np.logaddexp(np.log(train), math.log(n.types) + lp) - math.log(n.tokens + n.types)
             parts = np.split(lp, np.cumsum([len(x) for x in sizes])[:-1])
             col = lambda k: pa.array([r[k].as_py() for r in rows], pa.binary())  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([pa.array([r[0].as_py() for r in rows], pa.int32()), col(1), col(2), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "hash", "train", "lp"])
@@ -402,18 +405,28 @@ def score(docs: DataFrame, learn: Column, vocabulary: str = VOCABULARY, rounds:
 
     Texts where ``learn`` is true train the model; all are scored.
     """
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(True)).alias("learn"))
+    if plain_ids(docs):
+        return _score(source.withColumn("doc_id", F.col("doc_id").cast("long")), vocabulary, rounds)
+    rows = keyed(source, "lm-rows")
+    found = _score(rows.select(F.col("key").alias("doc_id"), "row.text", "row.learn"), vocabulary, rounds).withColumnRenamed("doc_id", "key")
+    ids = rows.select("key", F.col("row.doc_id").cast("long").alias("doc_id"))
+    return found.join(ids, "key").select("doc_id", *[c for c in found.columns if c != "key"])
+
+
+def _score(docs: DataFrame, vocabulary: str, rounds: int) -> DataFrame:
+    """``score`` of rows (doc_id, text, learn) that each have an id of their own."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(True)).alias("learn"))
     types = saved(word_types(docs), "lm-types")
     texts = docs.where("learn").count()
     bins = tallies(types)
     n = Counts(sum(b[2] for b in bins) + texts, sum(b[1] for b in bins) + (texts > 0), texts)
     _, logp = pieces(vocabulary)
-    end = math.log(texts / (n.tokens + n.types)) if texts else 0.0
-    for _ in range(rounds if bins else 0):
+    end = -math.log(len(logp) + 1)
+    for _ in range(rounds if texts else 0):
         uses = expected_uses(types, sc.broadcast(logp), vocabulary) + FLOOR
-        logp = np.log(uses / uses.sum())
-    table = saved(scored_types(types, sc.broadcast(logp), vocabulary, n), "lm-table")
+        logp, end = np.log(uses / (uses.sum() + texts)), math.log(texts / (uses.sum() + texts))
+    table = saved(scored_types(types, sc.broadcast(logp), vocabulary), "lm-table")
     drop_saved(types)
     least, held = 64 * _BINS, 0
     for b, k, _ in reversed(bins):
@@ -487,4 +500,4 @@ def score(docs: DataFrame, learn: Column, vocabulary: str = VOCABULARY, rounds:
     met = docs.select("doc_id", "text").mapInArrow(look, PARTS).union(words).repartition("slice").sortWithinPartitions("slice", "kind")
     parts = met.mapInArrow(meet, "doc_id long, n_tokens long, n_known long, base double, lp double")
     out = parts.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), (F.sum("lp") / math.log(10)).alias("score"))
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_tokens", "n_known", F.lit(n.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(n.tokens).cast("long").alias("train_tokens"), "base_score", "score")

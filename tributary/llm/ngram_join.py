@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import WORD, drop_saved, keep_matching, saved
+from .common import WORD, drop_saved, keep_matching, keyed, plain_ids, saved
 from .filters import contains, id_hash, members, repeated
 from .graph import components
 
@@ -298,18 +298,9 @@ def _meet(x: tuple, y: tuple, percent: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
 
-def _id() -> F.Column:
-    return F.col("doc_id").cast("long")
-
-
-def _plain_ids(docs: DataFrame) -> bool:
-    """Whether every row has an id (as a number) and none repeats."""
-    return docs.groupBy(_id().alias("id")).agg(F.count(F.lit(1)).alias("rows")).where("id is null or rows > 1").isEmpty()
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(key, id, text, row): rows under a number of their own, saved so that it stays."""
-    return saved(docs.select(F.monotonically_increasing_id().alias("key"), _id().alias("id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row")), "ngram-rows")
+    """(key, id, text, row) of rows under a number of their own."""
+    return keyed(docs, "ngram-rows").select("key", F.col("row.doc_id").cast("long").alias("id"), F.col("row.text").cast("string").alias("text"), "row")
 
 
 def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -317,7 +308,7 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
 
     Components of rows whose id repeats with other texts may share a name.
     """
-    if _plain_ids(docs):
+    if plain_ids(docs):
         return join_keys(docs, n, percent)
     rows = _keyed(docs.select("doc_id", "text"))
     found = join_keys(rows.select(F.col("key").alias("doc_id"), "text"), n, percent).withColumnRenamed("doc_id", "key")
@@ -368,7 +359,7 @@ def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
     other texts are judged each.  Rows without a shingle stay, a repeated id
     and text once.
     """
-    if _plain_ids(docs):
+    if plain_ids(docs):
         found = saved(join_keys(docs, n, percent).select("doc_id", "component_id"), "ngram-found")
         return keep_matching(docs, found.where("doc_id = component_id").select("doc_id"), "left_semi")
     rows = _keyed(docs)
