@@ -199,7 +199,7 @@ def test_components(spark):
 
 def test_components_take_few_rounds(spark, monkeypatch):
     tags = []
-    monkeypatch.setattr(graph, "saved", lambda df, tag, f=graph.saved: (tags.append(tag), f(df, tag))[1])
+    monkeypatch.setattr(graph, "saved", lambda df, tag, few=False, f=graph.saved: (tags.append(tag), f(df, tag, few))[1])
     links = [(i, i + 1) for i in range(199)] + [(1000, 1001 + i) for i in range(50)] + [(2050, 2000 + i) for i in range(50)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(200), 0), **dict.fromkeys(range(1000, 1051), 1000), **dict.fromkeys(range(2000, 2051), 2000)}

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch while intermediate tables are made.
 BATCH_ROWS = 2000
+#: Tasks a core that write a small table.
+TASKS = 2
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -54,15 +56,19 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_BATCH, old) if old else spark.conf.unset(_BATCH)
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
+def saved(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage durably: lost executors never force the upstream plan to
     run again, and what was computed once (random-looking partition numbers
     included) stays as it is.  Parquet keeps real sizes for the planner, so a
-    later join broadcasts only what is measured to be small.
+    later join broadcasts only what is measured to be small.  Tables that are
+    much smaller than the texts (``few``) are written by at most ``TASKS`` tasks
+    a core, as every file costs the store a few calls.
     """
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(TASKS * spark.sparkContext.defaultParallelism)
     path = f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)

@@ -185,8 +185,8 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int = WO
             ok = full | _may_link(na, nb, np.minimum(x, y).sum(1, dtype=np.int64), percent)
             yield b.filter(pa.array(ok)).select(["a", "b"])
 
-    near = saved(pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, "a long, b long"), "ngram-near")
-    whole = saved(sets_of(docs, near.select(F.col("a").alias("id")).union(near.select("b")), "id", n), "ngram-sets")
+    near = saved(pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, "a long, b long"), "ngram-near", True)
+    whole = saved(sets_of(docs, near.select(F.col("a").alias("id")).union(near.select("b")), "id", n), "ngram-sets", True)
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,7 +198,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int = WO
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     wa, wb = (whole.select(F.col("id").alias(x), F.col("shingles").alias(f"w{x}")) for x in "ab")
-    links = saved(near.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(overlap, "a long, b long"), "ngram-links")
+    links = saved(near.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(overlap, "a long, b long"), "ngram-links", True)
     drop_saved(near, whole)
     return links
 
@@ -224,7 +224,7 @@ def hub_pairs(post: DataFrame, found: DataFrame | None, step: int, percent: int
     post = named(post, found)
     draw = [F.min(F.struct(F.xxhash64("rep", F.lit(HUBS * step + k)).alias("h"), "rep", "n", "pos", "comp")).alias(f"hub{k}") for k in range(HUBS)]
     hubs = post.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *draw).where("lo <> hi")
-    hubs = saved(hubs.select(F.col("token").alias("t"), F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("hubs")), "ngram-hubs")
+    hubs = saved(hubs.select(F.col("token").alias("t"), F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("hubs")), "ngram-hubs", True)
     met = post.join(hubs, F.col("token") == F.col("t")).select("rep", "n", "pos", "comp", F.explode("hubs").alias("hub"))
     ok = (F.col("comp") != F.col("hub.comp")) & _fits(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent)
     return met.where(ok).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
@@ -246,13 +246,13 @@ def block_pairs(post: DataFrame, found: DataFrame, sketches: DataFrame, percent:
     another component goes to the blocks of the bands that its size can link
     with, and every block is held by itself while those stream past it.
     """
-    all_ = saved(named(post, found), "ngram-named")
+    all_ = saved(named(post, found), "ngram-named", True)
     mixed = all_.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = saved(mixed.select(F.col("token").alias("t"), F.col("main.comp").alias("main")), "ngram-mixed")
+    mixed = saved(mixed.select(F.col("token").alias("t"), F.col("main.comp").alias("main")), "ngram-mixed", True)
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n")
-    open_ = saved(all_.join(mixed, F.col("token") == F.col("t")).select("token", "rep", "n", "pos", "comp", "main", band.alias("band")), "ngram-open")
+    open_ = saved(all_.join(mixed, F.col("token") == F.col("t")).select("token", "rep", "n", "pos", "comp", "main", band.alias("band")), "ngram-open", True)
     sizes = open_.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    sizes = saved(sizes.select(F.col("token").alias("t"), F.col("band").alias("z"), "blocks"), "ngram-bands")
+    sizes = saved(sizes.select(F.col("token").alias("t"), F.col("band").alias("z"), "blocks"), "ngram-bands", True)
     here = (F.col("token") == F.col("t")) & (F.col("zone") == F.col("z"))
     cell = ["token", "zone", "block", "side", "rep", "comp", "n", "pos"]
     held = open_.withColumn("zone", F.col("band")).join(sizes, here).withColumns({"block": F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), "side": F.lit(0)}).select(*cell)
@@ -278,7 +278,7 @@ def block_pairs(post: DataFrame, found: DataFrame, sketches: DataFrame, percent:
                         yield from _meet(tuple(x[k : min(k + BLOCK, j)] for x in (rep, comp, n, pos, sketch)), block, percent)
 
     dealt = rows.repartition("token", "zone", "block").sortWithinPartitions("token", "zone", "block", "side")
-    out = saved(dealt.mapInArrow(product, "a long, b long").distinct(), "ngram-pairs")
+    out = saved(dealt.mapInArrow(product, "a long, b long").distinct(), "ngram-pairs", True)
     drop_saved(all_, mixed, open_, sizes)
     return out
 
@@ -312,7 +312,7 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
         return join_keys(docs, n, percent)
     rows = _keyed(docs.select("doc_id", "text"))
     found = join_keys(rows.select(F.col("key").alias("doc_id"), "text"), n, percent).withColumnRenamed("doc_id", "key")
-    found = saved(found.join(rows.select("key", "id"), "key"), "ngram-named")
+    found = saved(found.join(rows.select("key", "id"), "key"), "ngram-named", True)
     classes, comps = (found.groupBy(c).agg(F.min("id").alias(f"{c}_name")) for c in ("class_id", "component_id"))
     out = found.join(classes, "class_id").join(comps, "component_id")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("class_id_name").alias("class_id"), F.col("component_id_name").alias("component_id"))
@@ -323,24 +323,24 @@ def join_keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     signs = saved(signatures(docs, sc.broadcast(rarity_counts(docs, n)), n, percent), "ngram-signatures")
     # written before the join, so that adaptive execution can split a class that holds most documents
-    groups = saved(signs.where("n > 0").groupBy("f", "g", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "ngram-groups")
-    classes = saved(signs.select("doc_id", "n", "f", "g").join(groups, ["f", "g", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "ngram-classes")
+    groups = saved(signs.where("n > 0").groupBy("f", "g", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "ngram-groups", True)
+    classes = saved(signs.select("doc_id", "n", "f", "g").join(groups, ["f", "g", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "ngram-classes", True)
     copies = classes.where("doc_id <> rep").select("doc_id")
-    reps = saved(signs.where("n > 0").join(copies, "doc_id", "left_anti").select("doc_id", "n", "prefix", "sketch"), "ngram-reps")
+    reps = saved(signs.where("n > 0").join(copies, "doc_id", "left_anti").select("doc_id", "n", "prefix", "sketch"), "ngram-reps", True)
     drop_saved(signs, groups)
-    post = saved(postings(reps, sc.broadcast(repeated(reps, "prefix"))), "ngram-postings")
-    sketches = saved(reps.select("doc_id", "n", "sketch"), "ngram-sketches")
+    post = saved(postings(reps, sc.broadcast(repeated(reps, "prefix"))), "ngram-postings", True)
+    sketches = saved(reps.select("doc_id", "n", "sketch"), "ngram-sketches", True)
     drop_saved(reps)
-    sized = saved(post.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(F.col("token").alias("t"), "members"), "ngram-columns")
+    sized = saved(post.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(F.col("token").alias("t"), "members"), "ngram-columns", True)
     column = post.join(sized, F.col("token") == F.col("t"))
-    big = saved(column.where(F.col("members") > FEW).select("token", "rep", "n", "pos"), "ngram-big")
+    big = saved(column.where(F.col("members") > FEW).select("token", "rep", "n", "pos"), "ngram-big", True)
     links, found = [], None
     for step in range(STEPS):
-        tried = saved(hub_pairs(big, found, step, percent), "ngram-tried")
+        tried = saved(hub_pairs(big, found, step, percent), "ngram-tried", True)
         links.append(verified(tried, sketches, docs, n, percent))
         found = components(functools.reduce(DataFrame.union, links))
         drop_saved(tried)
-    small = saved(small_pairs(column.where(F.col("members") <= FEW), percent), "ngram-small")
+    small = saved(small_pairs(column.where(F.col("members") <= FEW), percent), "ngram-small", True)
     x, y = (found.toDF(c, f"c{c}") for c in "ab")
     apart = small.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = block_pairs(big, found, sketches, percent)
@@ -360,7 +360,7 @@ def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
     and text once.
     """
     if plain_ids(docs):
-        found = saved(join_keys(docs, n, percent).select("doc_id", "component_id"), "ngram-found")
+        found = saved(join_keys(docs, n, percent).select("doc_id", "component_id"), "ngram-found", True)
         return keep_matching(docs, found.where("doc_id = component_id").select("doc_id"), "left_semi")
     rows = _keyed(docs)
     found = join_keys(rows.select(F.col("key").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("key"), "n_shingles", "component_id")
@@ -369,5 +369,5 @@ def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
     bare = F.col("n_shingles") == 0
     group = [F.when(~bare, F.col("component_id")), F.when(bare, F.col("id")), F.when(bare, F.col("blank")), F.when(bare & F.col("id").isNull(), F.col("key"))]
     first = found.groupBy(*(g.alias(f"g{k}") for k, g in enumerate(group))).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
-    first = saved(first.select(F.col("first.key").alias("key")), "ngram-first")
+    first = saved(first.select(F.col("first.key").alias("key")), "ngram-first", True)
     return rows.join(first, "key", "left_semi").select("row.*")
