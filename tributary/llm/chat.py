@@ -7,13 +7,14 @@ backslash after their first character; backslashes are doubled), which makes
 the rendered text unambiguous and reversible.  Offsets and the loss mask follow
 from prefix sums of segment lengths.
 
-A conversation is a stream of turns in order (turn, role, text; nulls first):
-state kept per conversation is a running hash and counters, so a conversation
+A conversation is a stream of turns in order (turn, role, text by code points;
+nulls first): state kept per conversation is a running hash and counters, so a conversation
 with any number of turns is read in bounded memory.
 
 Defined results: a null text is an empty one; a null role is an empty string;
-turns that repeat stay, in the order above; a null conv_id is a conversation;
-an empty table gives no rows; other columns are ignored.
+texts of any length are formatted whole; turns that tie or repeat stay, in the
+order above; a null conv_id is a conversation; an empty table gives no rows;
+other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def encoder(path: str):
 
 
 def format_turns(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(conv_id, turn, role, text) -> the same keys with ids, segment ends and the loss mask's changes.
+    """(conv_id, turn, role, text) -> the same columns with ids, segment ends and the loss mask's changes.
 
     ``ids`` are a turn's tokens, int32 little-endian; ``ends`` the prefix sums
     of its segment lengths (start, role, break, text, end); ``masked`` whether
@@ -81,16 +82,16 @@ def format_turns(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 parts = ([free], heads[role], brk, enc.encode_ordinary(text), tail)
                 ends.append(np.cumsum([len(p) for p in parts]).tolist())
                 ids.append(np.array([i for p in parts for i in p], "<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(roles, pa.string()), pa.array(ids, pa.binary()), pa.array(ends, pa.list_(pa.int32())), pa.array([r == "assistant" for r in roles])], ["conv_id", "turn", "role", "ids", "ends", "masked"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(roles, pa.string()), b.column(3), pa.array(ids, pa.binary()), pa.array(ends, pa.list_(pa.int32())), pa.array([r == "assistant" for r in roles])], ["conv_id", "turn", "role", "text", "ids", "ends", "masked"])
 
     source = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     kinds = {c: source.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
-    return source.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, ids binary, ends array<int>, masked boolean")
+    return source.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, ids binary, ends array<int>, masked boolean")
 
 
 def in_order(formatted: DataFrame) -> DataFrame:
-    """Conversations whole within a partition, their turns in order."""
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
+    """Conversations whole within a partition, their turns in order; ``text`` travels along to order turns that tie."""
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def read_back(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
