@@ -123,6 +123,15 @@ def test_chat_odd(spark):
     assert chat.read_back(chat.format_turns(df.where("false"))).count() == 0
 
 
+def test_chat_ties_follow_the_text(spark):
+    """Turns with one number and role are ordered by text, whatever their token ids."""
+    texts = ["b", "aa", "é", "z z", "Z", "", "aa", "\U0001f642", "\uffee"]
+    got = chat.read_back(chat.format_turns(spark.createDataFrame([(1, 7, "assistant", t) for t in texts], "conv_id long, turn long, role string, text string"))).first()
+    want = sorted(texts)
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"assistant\n{t}\n" for t in want).encode()).hexdigest()
+    assert got["loss_sha256"] == hashlib.sha256("".join(want).encode()).hexdigest()
+
+
 # ---- language identification ----
 
 
@@ -145,6 +154,24 @@ def test_langid_odd(spark, odd, nothing):
     assert langid.identify(nothing, model).count() == 0
 
 
+def test_langid_learns_rare_languages_and_different_texts(spark):
+    """Every language is learnt, and copies of one text do not crowd the sample out."""
+    many = [(f"l{k:04}", " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}x{i}" for i in range(30))) for k in range(1200)]
+    copies = [("aa", "the same words again")] * 3000 + [("aa", f"text {i} of its own {i * i}") for i in range(300)]
+    model = langid.fit(spark.createDataFrame(many + copies, "lang string, text string"), sample=100)
+    assert model.languages == sorted({k for k, _ in many} | {"aa"})
+    assert (model.owner == 0).sum() == langid.CENTROIDS
+
+
+def test_langid_rejects_short_texts_by_the_same_rule(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.fit(docs)
+    ru = "Съешь же ещё этих мягких французских булок, да выпей чаю"
+    texts = [(1, ru), (2, ru * 50), (3, "привет"), (4, " ".join(docs.where("lang = 'en'").first()["text"].split()[:12]))]
+    got = {r["doc_id"]: r["rejected"] for r in langid.identify(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False}
+
+
 def test_ngram_counts_match_a_plain_loop():
     text = "Ab é, AB\n1é"
     import pyarrow as pa

@@ -6,12 +6,20 @@ language has a few centroids, found by spherical k-means; the nearest by cosine
 names the language, and a text that is far from every centroid is rejected.
 
 Document frequencies count every training document.  Centroids are fitted on a
-sample of at most ``SAMPLE`` training documents, spread over the languages; its
-bound is the only one here.  Whole texts are used throughout.
+sample of about ``SAMPLE`` training texts: an even share of different texts of
+every language (``LEAST`` at least, all where there are fewer), so that no
+language and no rare text is crowded out by copies.  That bound is the only one
+here; every language present is learnt.  Whole texts are used throughout.
+
+A text is rejected where its cosine is below ``FAR`` of what is usual for its
+language and its number of n-grams: the usual cosine is measured on the sampled
+texts, thinned to ever fewer n-grams, and read off in between.
 
 Defined results: null texts and texts without a letter are ``und``, score 0,
-rejected; without training rows everything is; ties go to the language first in
-code point order; repeated rows are judged alike; other columns are ignored.
+rejected; very long texts are judged whole; without training rows everything is
+``und``; ties go to the language first in code point order; repeated rows are
+judged alike; an empty table gives no rows; other columns are ignored, and
+``keep_identified`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,18 +29,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .common import drop_saved, saved
 
 DIM = 4096
-#: Training documents that the centroids are fitted on, at most, and centroids per language.
-SAMPLE, CENTROIDS, MAX_LANGUAGES = 4000, 4, 1000
+#: Training texts that the centroids are fitted on, about; texts of a language at least; centroids per language.
+SAMPLE, LEAST, CENTROIDS = 4000, 8, 4
 UNKNOWN = "und"
 _CHUNK_DOCS, _CHUNK_BYTES = 256, 1 << 19
-#: Sharpness of the score; share of a language's usual cosine below which a text is rejected; n-grams below which no text is.
-SHARP, FAR, SHORT = 25.0, 0.4, 200
+#: Sharpness of the score; share of the usual cosine below which a text is rejected; numbers of n-grams at which that is measured.
+SHARP, FAR = 25.0, 0.4
+THIN = np.array([4, 16, 64, 256, 1024, 4096, 1 << 14])
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -78,7 +88,7 @@ class Model:
     languages: list[str] = field(default_factory=list)
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # language of each centroid
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, DIM), np.float32))
-    floor: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # by language
+    floor: np.ndarray = field(default_factory=lambda: np.zeros((0, len(THIN))))  # language x size
     idf: np.ndarray = field(default_factory=lambda: np.ones(DIM, np.float32))
 
     def vectors(self, c: np.ndarray) -> np.ndarray:
@@ -97,7 +107,13 @@ class Model:
         at = best.argmax(1)
         top = best[np.arange(n), at]
         score = 1 / np.exp(SHARP * (best - top[:, None])).sum(1)
-        return at, score, top, (top < self.floor[at]) & (c.sum(1) >= SHORT)
+        return at, score, top, top < self.least(at, c.sum(1))
+
+    def least(self, lang: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Least cosine of a text with so many n-grams, between the measured sizes by their logarithm."""
+        x = np.interp(np.log(np.maximum(grams, 1)), np.log(THIN), np.arange(len(THIN)))
+        lo = np.minimum(x.astype(np.int64), len(THIN) - 2)
+        return self.floor[lang, lo] * (lo + 1 - x) + self.floor[lang, lo + 1] * (x - lo)
 
 
 def spherical_kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -136,15 +152,20 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 def fit(train: DataFrame, sample: int = SAMPLE, per_language: int = CENTROIDS) -> Model:
     """``train`` (text, lang), one row per document -> a model."""
     train = train.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    hashed = train.select("lang", F.xxhash64("text", F.lit("sample")).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one number per language
     if not sizes:
         return Model()
     total, df = document_frequencies(train)
     m = Model(languages=sorted(sizes), idf=(np.log((total + 1) / (df + 1)) + 1).astype(np.float32))
-    share = max(8, sample // len(sizes))
-    drawn = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, share / n)))]), F.col("lang"))
-    picked = train.withColumn("u", drawn / rate).where("u < 1").orderBy("u", F.xxhash64("text")).limit(sample)
+    share = max(LEAST, sample // len(sizes))
+    # different texts by hash: a multiple of the share is drawn, then cut to it
+    rate = F.broadcast(train.sparkSession.createDataFrame([(k, min(1.0, 4 * share / max(n, 1))) for k, n in sizes.items()], "lang string, rate double"))
+    drawn = hashed.join(rate, "lang").where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < F.col("rate")).select("lang", "h").distinct()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    keys = saved(drawn.withColumn("turn", turn).where(F.col("turn") <= share).select("lang", "h"), "langid-sample", True)
+    # at most max(SAMPLE, LEAST x languages) rows of two short columns: a bounded broadcast
+    picked = train.withColumn("h", F.xxhash64("text", F.lit("sample"))).join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,15 +186,27 @@ def fit(train: DataFrame, sample: int = SAMPLE, per_language: int = CENTROIDS) -
     m.languages = sorted(groups)
     owner, centers, floor = [], [], []
     for i, lang in enumerate(m.languages):
-        v = m.vectors(np.stack(groups[lang]))
-        c = spherical_kmeans(v, per_language)
+        rows = np.stack(groups[lang])
+        c = spherical_kmeans(m.vectors(rows), per_language)
         owner += [i] * len(c)
         centers.append(c)
-        floor.append(FAR * float(np.quantile((v @ c.T).max(1), 0.05)))
-    m.owner, m.centroids, m.floor = np.array(owner), np.concatenate(centers), np.array(floor, np.float32)
+        floor.append(usual(m, rows, c))
+    m.owner, m.centroids, m.floor = np.array(owner), np.concatenate(centers), FAR * np.array(floor)
+    drop_saved(keys)
     return m
 
 
+def usual(m: Model, rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Cosine that 19 of 20 texts reach, by number of n-grams: rows of counts are thinned to each size."""
+    rng, out = np.random.default_rng(0), []
+    for size in THIN:
+        n = rows.sum(1)
+        long = n > size
+        thin = np.where(long[:, None], rng.binomial(rows.astype(np.int64), np.minimum(1.0, size / np.maximum(n, 1))[:, None]), rows)
+        out.append(float(np.quantile((m.vectors(thin) @ centroids.T).max(1), 0.05)))
+    return np.array(out)
+
+
 def has_letter(col: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
