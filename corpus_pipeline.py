@@ -4,6 +4,17 @@ Language identification drops what it rejects, the n-gram join keeps one
 document of each group of near copies, decontamination drops documents into
 which a benchmark item leaked, mixing repeats or leaves out documents until
 each source meets its target, and sharding gives every remaining row its shard.
+
+All columns of the documents go through every stage, whatever their names; the
+last adds ``shard`` and ``slot`` (input columns so called give way to them).
+
+Defined results, stage by stage: null texts, and texts without a letter, go in
+the first stage, as their language is unknown; very long texts are treated
+whole; rows without an id, and rows that repeat one, are judged row by row, so
+that a distinct text never goes because of its id; of equal or near equal texts
+the one with the smallest id stays, rows without an id last; a null source is a
+source of its own; a null in any other column is kept; an empty table stays
+empty with the same columns.
 """
 
 from __future__ import annotations
@@ -38,7 +49,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs)
+    return sharding.sharded(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -376,9 +376,28 @@ def test_mixing_odd(odd, nothing):
     assert mixing.mixed_documents(odd.where("text is null or text = ''")).count() == 2
 
 
-def test_mixing_is_native(spark, data):
-    plan = mixing.mix(spark.read.parquet(f"{data}/documents.parquet"))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_mixed_documents_of_repeated_and_null_ids(spark):
+    """Rows that share an id, or have none, are cut each; no source exceeds its target by more than a document."""
+    docs = [(None if i % 3 == 0 else 1 + i % 5, "abcabcdd"[i % 8], " ".join(["w"] * (1 + i % 40)), i) for i in range(400)]
+    table = spark.createDataFrame(docs, "doc_id long, source string, text string, before long")
+    size, target = mixed([(i, s, len(t.split())) for i, s, t, _ in docs])
+    got = mixing.mixed_documents(table).collect()
+    taken, copies = Counter(), Counter()
+    for r in got:
+        taken[r["source"]] += len(r["text"].split())
+        copies[r["before"]] += 1
+    assert all(abs(taken[s] - target[s]) <= 40 for s in size) and max(copies.values()) <= 3
+
+
+def test_mixing_is_native(spark, data, monkeypatch):
+    """No Python in the plan of the result, nor of any table written on the way."""
+    from tributary.llm import prefix
+
+    plans = []
+    for module in (mixing, prefix):
+        monkeypatch.setattr(module, "saved", lambda df, *a, f=module.saved: (plans.append(df._jdf.queryExecution().toString()), f(df, *a))[1])
+    plans.append(mixing.mix(spark.read.parquet(f"{data}/documents.parquet"))._jdf.queryExecution().toString())
+    assert len(plans) == 5 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
 
 
 # ---- sharding ----
@@ -406,6 +425,35 @@ def test_sharding_keeps_groups_together(spark):
     assert split <= 3 and max(load) - min(load) < 2000
 
 
+def brute_shards(docs, n_shards):
+    """Least possible number of shards of each group of equal texts under the quota."""
+    total = sum(len((t or "").encode()) + 16 for _, t in docs)
+    by = Counter()
+    for _, t in docs:
+        by[t or ""] += len((t or "").encode()) + 16
+    return {t: math.ceil(n / (total / n_shards)) for t, n in by.items()}
+
+
+def test_sharding_gathers_large_groups(spark):
+    """A group that holds a third of all bytes goes to few more shards than it must; small groups stay whole."""
+    docs = [(i, "the one text of a large group of copies") for i in range(1000)] + [(2000 + i, f"text {i // 2} of its own that occurs twice") for i in range(400)] + [(9000 + i, f"another text {i} that occurs only once") for i in range(1600)]
+    got = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), 12).collect()
+    need, used = brute_shards(docs, 12), {}
+    text = dict(docs)
+    for r in got:
+        used.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    assert len(used[docs[0][1]]) <= need[docs[0][1]] + 2
+    assert sum(len(s) > 1 for t, s in used.items() if t != docs[0][1]) <= 40
+
+
+def test_sharded_rows_keep_their_columns(odd, nothing):
+    got = sharding.sharded(odd, 4)
+    assert got.columns == [c for c in odd.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    want = Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in odd.collect())
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in got.collect()) == want
+    assert sharding.sharded(nothing).count() == 0
+
+
 def test_sharding_odd(spark, odd, nothing):
     got = sharding.shard(odd, 4).collect()
     assert len(got) == odd.count() and sharding.shard(nothing).count() == 0

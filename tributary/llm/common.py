@@ -63,12 +63,12 @@ def saved(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
     run again, and what was computed once (random-looking partition numbers
     included) stays as it is.  Parquet keeps real sizes for the planner, so a
     later join broadcasts only what is measured to be small.  Tables that are
-    much smaller than the texts (``few``) are written by at most ``TASKS`` tasks
-    a core, as every file costs the store a few calls.
+    much smaller than the texts (``few``) are written by fewer tasks, as every
+    file costs the store a few calls: ``TASKS`` a core, more as partitions grow.
     """
     spark = df.sparkSession
     if few:
-        df = df.coalesce(TASKS * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(max(TASKS * spark.sparkContext.defaultParallelism, partitions(spark) // 8))
     path = f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)

@@ -5,9 +5,12 @@ key); distributed prefix sums of their sizes tell how much of the source lies
 before each of them, and the mix is cut at the source's exact budget.  A budget
 above the source's size repeats it in whole epochs first.
 
-Defined results: a null text has size 0; a null source is a source of its own,
-ordered last; sources of size 0 have target 0; an empty table gives no rows;
-repeated rows are separate rows; other columns of the input are ignored.
+Defined results: a null text has size 0, and very long ones count whole; a null
+source is a source of its own, ordered last; sources of size 0 have target 0; an
+empty table gives no rows; rows that repeat an id, or have none, are separate
+rows, each cut by itself; rows that tie in key, id and size are interchangeable;
+other columns are ignored by ``mix`` and returned by ``mixed_documents``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, word_count
+from .common import keyed, plain_ids, saved, word_count
 from .prefix import ranged_prefix
 
 #: No source, and so no document, is used more often than this.
@@ -58,8 +61,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: int =
     included: whole epochs, and in the last one the words before the cut, so a
     source's sum of ``taken`` is its rounded target.
     """
-    sized = saved(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sized")
-    targets = saved(source_targets(sized, weights, max_epochs).withColumnRenamed("source", "_source"), "mix-targets")
+    sized = saved(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sized", True)
+    targets = saved(source_targets(sized, weights, max_epochs).withColumnRenamed("source", "_source"), "mix-targets", True)
     keyed = sized.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
     order = [F.col("source").asc_nulls_last(), F.col("key").asc(), F.col("doc_id").asc(), F.col("size").asc()]
     placed = ranged_prefix(keyed, order, {"before": "size"}, "source", "mix")
@@ -75,7 +78,9 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_e
     once more if at least half of it lies before the cut.  Documents without
     words have no share to lose and stay once.
     """
-    share = mix(docs, weights, max_epochs).select(F.col("doc_id").alias("id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("copies"))
-    share = share.groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    rows = docs.select(F.struct(*docs.columns).alias("row")).join(share, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    plain = plain_ids(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*docs.columns).alias("row")) if plain else keyed(docs, "mix-rows")
+    sizes = rows.select(F.col("key").alias("doc_id"), "row.source", "row.text")
+    share = mix(sizes, weights, max_epochs).select(F.col("doc_id").alias("id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("copies"))
+    rows = rows.join(share.where("copies > 0"), F.col("key") == F.col("id"))
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

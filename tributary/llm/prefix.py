@@ -18,11 +18,11 @@ def ranged_prefix(df: DataFrame, order: list[Column], sums: dict[str, str], with
     the offsets.  A value that holds most rows spans many ranges, so no task
     grows with it.  Ties of the whole order are interchangeable rows.
     """
-    parts = saved(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), f"{tag}-ranged")
+    parts = saved(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), f"{tag}-ranged", True)
     group = ["_pid"] + ([within] if within else [])
     totals = parts.groupBy(*group).agg(*[F.sum(c).alias(f"_sum_{k}") for k, c in sums.items()])
     before = (Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = saved(totals.select(*group, *[F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_off_{k}") for k in sums]), f"{tag}-offsets")
+    offsets = saved(totals.select(*group, *[F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_off_{k}") for k in sums]), f"{tag}-offsets", True)
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = parts.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_loc_{k}") for k, c in sums.items()])
     o = offsets.select(*[F.col(c).alias(f"_o{c}") for c in group], *[f"_off_{k}" for k in sums])
