@@ -48,8 +48,8 @@ _BLOCK = 16384
 #: Words of more bytes, and blocks of fewer words, go word by word, in stretches of so many positions.
 _LONG, _FEW, _STRETCH = 256, 16, 4096
 _BINS = 64
-#: Words that are held before contributions to a slice are merged.
-_MERGE = 100_000
+#: Words that are held before contributions to a slice are merged; words that a task gathers before it sends them.
+_MERGE, _SEND = 100_000, 400_000
 
 
 class Slots:
@@ -261,9 +261,10 @@ def word_types(docs: DataFrame) -> DataFrame:
         return u, np.bincount(back, train, len(u)).astype(np.int64), size[first], gather(data, start[first], size[first])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
         for b in batches:
             raw, off = K.string_parts(b.column(0))
-            learn, parts = b.column(1).to_numpy(zero_copy_only=False), []
+            learn = b.column(1).to_numpy(zero_copy_only=False)
             for lo, hi in K.chunks(off, 4 * K.CHUNK_BYTES):
                 w = K.split_words(raw, off, lo, hi)
                 h = K.word_hashes(w, K.LOWER)
@@ -272,8 +273,12 @@ def word_types(docs: DataFrame) -> DataFrame:
                 size = (w.end - w.start)[first]
                 data = gather(w.raw, w.start[first], size)
                 parts.append((u, train, size, np.where((data >= 65) & (data <= 90), data + 32, data)))
-            if parts:
-                yield rows(*merge(parts))
+                if sum(len(p[0]) for p in parts) > _SEND:
+                    parts = [merge(parts)]
+                    if len(parts[0][0]) > _SEND // 2:
+                        yield rows(*parts.pop())
+        if parts:
+            yield rows(*merge(parts))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
