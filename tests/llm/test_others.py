@@ -21,7 +21,7 @@ ITEMS = [(1, "If Alice has 12 apples and gives Bob 5 apples, how many apples doe
 
 def leaks(spark, docs, items=ITEMS):
     found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    return sorted((r["doc_id"], r["item_id"], r["exact"]) for r in found.collect())
+    return sorted(((r["doc_id"], r["item_id"], r["exact"]) for r in found.collect()), key=lambda r: (r[0] is None, r))
 
 
 @pytest.mark.parametrize("shared", [2_000_000, 0])
@@ -33,7 +33,26 @@ def test_templates(spark, monkeypatch, shared):
         (3, "see short item of five words here"), (4, None), (5, ""), (6, "gives Bob 5 apples, how many apples does"), (7, "99 98 97 96 95 94 93 92 91 90 89 88 87 86 85"),
         (8, f"Before it. {ITEMS[0][1]} And after."), (8, f"Before it. {ITEMS[0][1]} And after."), (None, ITEMS[0][1]),
     ]
-    assert leaks(spark, docs) == [(1, 1, False), (3, 2, True), (8, 1, True)]
+    assert leaks(spark, docs) == [(1, 1, False), (3, 2, True), (8, 1, True), (None, 1, True)]
+
+
+def test_names_that_open_a_sentence(spark):
+    """A capital at a sentence's start may be a name or not; both readings are hashed."""
+    items = [(1, "Alice has 12 apples and gives Bob 5 more"), (2, "Compute 12 plus 34 now"), (3, "The sum of the first ten odd numbers is what? Maria asked her teacher this on every single day")]
+    docs = [
+        (1, "So it is. Carol has 30 apples and gives Dan 7 more today"), (2, "He said Carol has 30 apples and gives Dan 7 more today"), (3, "now compute 12 plus 34 now, please"),
+        (4, "Find this: the sum of the first ten odd numbers is what? Ines asked her teacher this on every single day"), (5, "nothing has 30 apples and gives Dan 7 less"),
+    ]
+    assert [r[:2] for r in leaks(spark, docs, items)] == [(1, 1), (2, 1), (3, 2), (4, 3)]
+
+
+def test_rows_without_or_with_repeated_ids_are_matched_each(spark):
+    items = spark.createDataFrame([(1, "one item of exactly these seven words"), (1, "another item of the very same id"), (None, "an item without any id at all")], "item_id long, text string")
+    texts = [(5, "one item of exactly these seven words"), (5, "clean text"), (5, "another item of the very same id"), (None, "see an item without any id at all"), (None, "clean too"), (None, "one item of exactly these seven words")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(map(tuple, decontaminate.matches(docs, items).select("doc_id", "item_id").collect()), key=repr)
+    assert got == [(5, 1), (None, 1), (None, None)]
+    assert sorted(r["text"] for r in decontaminate.keep_clean(docs, items).collect()) == ["clean text", "clean too"]
 
 
 def test_units_and_numbers(spark):
@@ -72,12 +91,117 @@ def test_decontamination_finds_planted_items(spark, data):
     assert whole and whole <= got <= some
 
 
+class PlainMatcher:
+    """Templates, windows and diagonals by plain Python, text by text."""
+
+    SOLID = re.compile(rb"[0-9A-Za-z\x80-\xff]")
+    UNITS = {u.encode() for u in decontaminate.UNITS}
+
+    def template(self, text):
+        raw = text.encode()
+        words = [(m.group(), m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        out = []
+        for k, (w, a, _) in enumerate(words):
+            m = self.SOLID.search(w)
+            body = w[m.start() :] if m else b""
+            value = re.sub(rb"[^0-9a-z\x80-\xff]", b"\0", body.lower()).rstrip(b"\0") if m else None
+            before = words[k - 1] if k else None
+            opens = before is None or before[0][-1:] in b"!.:?" or b"\n" in raw[before[2] : a]
+            capital = bool(re.match(rb"[A-Z]|\xc3[\x80-\x9e]", body))
+            quiet = bool(re.search(rb"[a-z]|\xc3[\x9f-\xbf]", w))
+            out.append({"value": value, "number": body[:1].isdigit() if m else False, "capital": capital, "opens": opens, "quiet": quiet})
+        k = 0
+        while k < len(out):  # passages in capitals
+            n = next((j for j in range(k, len(out)) if out[j]["quiet"] != out[k]["quiet"]), len(out)) - k
+            run = out[k : k + n]
+            if not run[0]["quiet"] and 2 * sum(x["capital"] for x in run) > n and (n >= decontaminate.WINDOW or n == len(out)):
+                for x in run:
+                    x["capital"] = False
+            k += n
+        symbols = []
+        for k, x in enumerate(out):
+            unit = k > 0 and out[k - 1]["number"] and x["value"] in self.UNITS
+            first = "unit" if unit else "name" if x["capital"] and not x["opens"] else "number" if x["number"] else x["value"]
+            second = "name" if x["capital"] and x["opens"] and not unit else first
+            symbols.append((first, second, x["value"]))
+        return symbols
+
+    def windows(self, text, size):
+        """(symbols, first word, {place: value of a placeholder})."""
+        t = self.template(text)
+        for k in range(len(t) - size + 1):
+            for reading in (0, 1):
+                part = t[k : k + size]
+                if reading and all(x[0] == x[1] for x in part):
+                    continue
+                slots = {j: x[2] for j, x in enumerate(part) if x[reading] is None or isinstance(x[reading], str)}
+                if size - len(slots) >= decontaminate.LITERALS:
+                    yield tuple(x[reading] for x in part), k, slots
+
+    def folded(self, text):
+        text = text.lower() if text.isascii() else decontaminate._MARKS.sub("", text.casefold())
+        return re.sub(rb"[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]", b"", text.encode()).split()
+
+    def match(self, doc, item):
+        best = []
+        n = len(self.template(item))
+        places = {}
+        for s, k, slots in self.windows(item, min(decontaminate.WINDOW, n)) if n else ():
+            places.setdefault(s, []).append((k, slots))
+        lines = {}
+        for s, k, slots in self.windows(doc, min(decontaminate.WINDOW, n)) if places else ():
+            for p, own in places.get(s, ()):
+                if len(own) == len(slots):
+                    covered, pairs = lines.setdefault(k - p, (set(), set()))
+                    covered.update(range(p, p + len(s)))
+                    pairs.update((p + j, own[j], d) for j, d in zip(sorted(own), [slots[j] for j in sorted(slots)], strict=True))
+        best.append(self.total(lines, n, True))
+        f, d = self.folded(item), self.folded(doc)
+        size, lines = min(decontaminate.WINDOW, len(f)), {}
+        for k in range(len(d) - size + 1) if f else ():
+            for p in range(len(f) - size + 1):
+                if f[p : p + size] == d[k : k + size]:
+                    lines.setdefault(k - p, (set(), set()))[0].update(range(p, p + size))
+        best.append(self.total(lines, len(f), False))
+        return max((b for b in best if b), default=None)
+
+    def total(self, lines, n, template):
+        hit = slots = agree = same = 0
+        for covered, pairs in lines.values():
+            by = {}
+            for _, v, d in pairs:
+                by.setdefault(v, []).append(d)
+            ok = sum(max(ds.count(d) for d in ds) for ds in by.values())
+            if not pairs or ok >= decontaminate.AGREE * len(pairs):
+                hit, slots, agree, same = hit + len(covered), slots + len(pairs), agree + ok, same + sum(v == d for _, v, d in pairs)
+        hit = min(hit, n)
+        return (hit, template, n, slots, agree, same == slots) if n and hit >= min(decontaminate.MATCHED, n) else None
+
+
+def test_decontamination_against_a_plain_matcher(spark, data):
+    """Every row of the whole table, from texts read word by word."""
+    items = duckdb.sql(f"select item_id, text from '{data}/benchmark.parquet'").fetchall()
+    docs = duckdb.sql(f"select doc_id, text from '{data}/documents.parquet'").fetchall()
+    m, want = PlainMatcher(), []
+    grams = {i: {tuple(x[:2]) for x in zip(*(m.folded(q)[k:] for k in (0, 1)), strict=False)} for i, q in items}
+    for d, t in docs:
+        f = m.folded(t)
+        have = set(zip(f, f[1:], strict=False))
+        for i, q in items:
+            if len(have & grams[i]) * 4 >= len(grams[i]):  # a leak shares a quarter of the item's word pairs at least
+                found = m.match(t, q)
+                if found:
+                    want.append((d, i, found[0], *found[2:]))
+    got = sorted(map(tuple, queries.op1_decontaminate(spark, data).collect()))
+    assert got == sorted(want) and got
+
+
 def test_decontamination_odd(spark, odd, nothing):
     items = spark.createDataFrame([(1, " ".join(f"shared{i}" for i in range(30))), (None, "shared1 shared2 shared3 shared4 shared5")], "item_id long, text string")
-    assert sorted(r["doc_id"] for r in decontaminate.matches(odd, items).collect()) == [1, 2]
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(odd, items).collect()} == {(d, i) for d in (1, 2, None) for i in (1, None)}
     assert decontaminate.matches(nothing, items).count() == 0 and decontaminate.matches(odd, items.where("false")).count() == 0
     clean = decontaminate.keep_clean(odd, items)
-    assert clean.columns == odd.columns and clean.count() == odd.count() - 3
+    assert clean.columns == odd.columns and clean.count() == odd.count() - 4  # the row without an id too
 
 
 # ---- chat ----

@@ -4,25 +4,30 @@ A text becomes a template: words are lower-cased and stripped of punctuation,
 numbers, names (capitalised inside a sentence) and units (after a number)
 become typed placeholders whose values are kept as slots.  Every run of
 ``WINDOW`` template words of a benchmark item is hashed; documents' windows are
-joined on the hash.  Matches of one document and item on one diagonal (document
-place minus item place) line up the item's slots with the document's.  An item
-has leaked where enough of its words are matched and its slots are consistent:
-equal values of the item stay equal in the document, so a question asked with
-other numbers or names is found, and a passage that only shares the placeholders
-is not.
+joined on the hash.  A capitalised word that opens a sentence may be a name or
+not: windows that hold one are hashed in both readings.  Matches of one document
+and item on one diagonal (document place minus item place) line up the item's
+slots with the document's.  An item has leaked where enough of its words are
+matched and its slots are consistent: equal values of the item stay equal in the
+document, so a question asked with other numbers or names is found, and a
+passage that only shares the placeholders is not.
 
 Template windows need ``LITERALS`` words that are no placeholders.  Beside them,
 plain windows hold the folded words themselves (case and punctuation removed,
-no placeholders, no least number of literals), so that a copy is found whatever its case and punctuation.  A
-document's better kind of match is reported, templates first where they tie.
-Capitals are names only outside passages in capitals.  An item that is
-shorter than a window is one window, however short.  The benchmark's window hashes are sent to
-all tasks only while they are at most ``SHARED`` (checked); beyond that, windows
-of all documents meet them in a shuffle.
-
-Defined results: null and empty texts and items match nothing; repeated rows of
-either table give the matches of their id once; null ids are ignored (a
-document without an id is never contaminated); other columns are ignored.
+no placeholders, no least number of literals), so that a copy is found whatever
+its literals, case and punctuation.  A document's better kind of match is
+reported, templates first where they tie.  Capitals are names only outside
+passages in capitals.  An item that is shorter than a window is one window,
+however short.  The benchmark's windows are sent to all tasks only while they
+take at most ``SHARED`` bytes (measured); beyond that, windows of all documents
+meet them in a shuffle.
+
+Defined results: null and empty texts and items match nothing; texts of any
+length are searched whole; rows that repeat an id and text, in either table,
+give the matches of their id once; rows that share an id with other texts, or
+have no id, are matched each by itself and reported under that id (or null) once
+an item, by their best match; an empty table gives no rows; ``matches`` ignores
+other columns, and ``keep_clean`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,10 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import keep_matching, saved
+from .common import saved
 
-#: Template words of a window; matched words that make a leak (all of a shorter item); literal words of a window; shared hashes; share of slots that must agree.
-WINDOW, MATCHED, LITERALS, SHARED, AGREE = 8, 13, 4, 2_000_000, 0.8
+#: Template words of a window; matched words that make a leak (all of a shorter item); literal words of a window; bytes of shared windows; share of slots that must agree.
+WINDOW, MATCHED, LITERALS, SHARED, AGREE = 8, 13, 4, 64 << 20, 0.8
 #: Units of measure and money that follow a number (fixed values).
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "foot", "yd", "yards", "mile", "miles", "mg", "g", "kg", "lb", "lbs", "oz", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hr", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "mph", "kmh", "usd", "eur", "gbp", "dollar", "dollars", "euro", "euros", "pound", "pounds", "cent", "cents", "percent", "degrees")
 NUMBER, NAME, UNIT = K.U64(0xA5A5A5A5A5A5A501), K.U64(0xA5A5A5A5A5A5A502), K.U64(0xA5A5A5A5A5A5A503)
@@ -89,13 +94,13 @@ def shouted(w: K.Words, capital: np.ndarray) -> np.ndarray:
     return np.repeat(loud, length)
 
 
-def template(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template symbol, value, whether it is a placeholder) of each word.
+def template(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template symbol, value, whether it is a placeholder, whether it may be a name that opens a sentence) of each word.
 
     Words without a letter or digit are placeholders of no kind (symbol 0).
     """
     if not len(w.start):
-        return np.zeros(0, K.U64), np.zeros(0, K.U64), np.zeros(0, bool)
+        return np.zeros(0, K.U64), np.zeros(0, K.U64), np.zeros(0, bool), np.zeros(0, bool)
     solid = _SOLID[w.raw]
     place = np.where(solid, np.arange(len(w.raw)), len(w.raw))
     nearest = np.minimum.accumulate(place[::-1])[::-1]
@@ -114,13 +119,14 @@ def template(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lines = np.concatenate(([0], np.cumsum(w.raw == 10)))
     opens[1:] |= lines[w.start[1:]] != lines[w.start[:-1]]
     capital = live & (_UPPER[lead] | accent)
-    name = capital & ~opens & ~shouted(w, capital)
+    capital &= ~shouted(w, capital)
+    name = capital & ~opens
     unit = np.zeros(len(w.start), bool)
     unit[1:] = number[:-1] & (w.doc[1:] == w.doc[:-1])
     unit &= np.isin(value, _UNIT_HASHES)
     symbol = value.copy()
     symbol[number], symbol[name], symbol[unit] = NUMBER, NAME, UNIT
-    return symbol, value, number | name | unit | ~live
+    return symbol, value, number | name | unit | ~live, capital & opens & ~unit
 
 
 def plain_words(texts: pa.Array) -> K.Words:
@@ -137,121 +143,134 @@ def plain_windows(w: K.Words, value: np.ndarray, size: int) -> tuple[np.ndarray,
     return at, K.mix64(K.gram_hashes(value, size)[at] ^ PLAIN)
 
 
-def windows(w: K.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, hash) of each template window with enough literals; also values and placeholder flags.
+def readings(w: K.Words, made: tuple, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first word, hash, placeholder flags of all words, values) of windows of ``size`` words of a template, for each reading.
 
-    Texts shorter than a window are one window of their own.
+    The second reading takes capitals that open a sentence for names and gives
+    only windows that hold one.  Windows without enough literals are left out.
     """
-    symbol, value, slot = template(w)
-    literals = np.concatenate(([0], np.cumsum(~slot)))
-    at = K.windows_inside(w, width)
-    h = K.gram_hashes(symbol, width)[at]
-    ok = literals[at + width] - literals[at] >= LITERALS
-    return at[ok], h[ok], value, slot
+    symbol, value, slot, opening = made
+    at, out = K.windows_inside(w, size), []
+    for second in (False, True):
+        flags = slot | opening if second else slot
+        literals = np.concatenate(([0], np.cumsum(~flags)))
+        ok = literals[at + size] - literals[at] >= LITERALS
+        if second:
+            held = np.concatenate(([0], np.cumsum(opening)))
+            ok &= held[at + size] > held[at]
+        h = K.gram_hashes(np.where(opening, NAME, symbol) if second else symbol, size)
+        out.append((at[ok], h[at[ok]], flags, value))
+    return out
 
 
-def _short_hash(symbol: np.ndarray) -> np.ndarray:
-    return K.gram_hashes(symbol, len(symbol))[:1]
+def _digest() -> F.Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(item_id, plain, words, place, size, hash, slots, values): the benchmark's windows of both kinds."""
+    """(item, item_id, plain, words, place, size, hash, slots, values): the benchmark's windows of both kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, off = K.string_parts(b.column(1))
-            ids = b.column(0).to_numpy()
+            raw, off = K.string_parts(b.column(2))
+            names, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
             out = []
             for k in range(b.num_rows):
                 w = K.split_words(raw, off, k, k + 1)
                 n = len(w.start)
-                if n >= width:
-                    at, h, value, slot = windows(w, width)
-                    size = width
-                else:
-                    symbol, value, slot = template(w)
-                    at = np.zeros(int((~slot).sum() >= LITERALS), np.int64)
-                    h, size = _short_hash(symbol)[: len(at)], n
-                for p, x in zip(at, h, strict=True):
-                    where = np.flatnonzero(slot[p : p + size])
-                    out.append((int(ids[k]), False, n, int(p), size, int(x.view(np.int64)), where.tolist(), value[p + where].view(np.int64).tolist()))
-                own = plain_words(b.column(1).slice(k, 1))
+                size = min(width, n)
+                for at, h, slot, value in readings(w, template(w), size) if n else ():
+                    for p, x in zip(at, h, strict=True):
+                        where = np.flatnonzero(slot[p : p + size])
+                        out.append((names[k], ids[k], False, n, int(p), size, int(x.view(np.int64)), where.tolist(), value[p + where].view(np.int64).tolist()))
+                own = plain_words(b.column(2).slice(k, 1))
                 n = len(own.start)
                 if n:
                     at, h = plain_windows(own, K.word_hashes(own), min(width, n))
-                    out += [(int(ids[k]), True, n, int(p), min(width, n), int(x.view(np.int64)), [], []) for p, x in zip(at, h, strict=True)]
-            cols = list(zip(*out, strict=True)) or [()] * 8
-            kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item_id", "plain", "words", "place", "size", "hash", "slots", "values"])
+                    out += [(names[k], ids[k], True, n, int(p), min(width, n), int(x.view(np.int64)), [], []) for p, x in zip(at, h, strict=True)]
+            cols = list(zip(*out, strict=True)) or [()] * 9
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item", "item_id", "plain", "words", "place", "size", "hash", "slots", "values"])
 
-    source = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropDuplicates(["item_id"])
-    return source.mapInArrow(run, "item_id long, plain boolean, words int, place int, size int, hash long, slots array<int>, values array<long>")
+    source = items.where("text is not null").select(F.xxhash64(F.col("item_id").cast("long"), F.col("item_id").isNull(), _digest()).alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return source.dropDuplicates(["item"]).mapInArrow(run, "item long, item_id long, plain boolean, words int, place int, size int, hash long, slots array<int>, values array<long>")
 
 
 def document_windows(docs: DataFrame, sizes: list[tuple[bool, int]], shared) -> DataFrame:
-    """(doc_id, plain, at, size, hash, values) of the windows in ``shared`` (all windows where it is None)."""
+    """(doc_id, digest, plain, at, size, hash, found) of the windows in ``shared`` (all windows where it is None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if shared is None else shared.value
         slots = None if wanted is None else (np.bincount((wanted >> K.U64(44)).astype(np.int64), minlength=1 << 20) > 0)
+
+        def known(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if wanted is not None:
+                near = np.flatnonzero(slots[(h >> K.U64(44)).astype(np.int64)])
+                near = near[wanted[np.minimum(np.searchsorted(wanted, h[near]), len(wanted) - 1)] == h[near]] if len(wanted) else near[:0]
+                at, h = at[near], h[near]
+            return at, h
+
         for b in batches:
-            ids = b.column(0).to_numpy()
-            raw, off = K.string_parts(b.column(1))
+            raw, off = K.string_parts(b.column(2))
             for lo, hi in K.chunks(off):
-                w = K.split_words(raw, off, lo, hi)
-                symbol, value, slot = template(w)
-                own = plain_words(b.column(1).slice(lo, hi - lo))
-                folded = K.word_hashes(own)
+                own = b.slice(lo, hi - lo)
+
+                def rows(doc, plain: bool, place, size: int, h, values) -> pa.RecordBatch:
+                    doc = pa.array(doc)
+                    return pa.RecordBatch.from_arrays([own.column(0).take(doc), own.column(1).take(doc), pa.array(np.full(len(doc), plain)), pa.array(place, pa.int32()), pa.array(np.full(len(doc), size, np.int32)), pa.array(h.view(np.int64)), values], ["doc_id", "digest", "plain", "at", "size", "hash", "found"])  # noqa: B023
+
+                w, folded = K.split_words(raw, off, lo, hi), plain_words(own.column(2))
+                hashes, made = K.word_hashes(folded), template(w)
                 for plain, size in sizes:
                     if plain:
-                        at, h = plain_windows(own, folded, size)
-                    else:
-                        at = K.windows_inside(w, size)
-                        h = K.gram_hashes(symbol, size)[at]
-                    if wanted is not None:
-                        near = np.flatnonzero(slots[(h >> K.U64(44)).astype(np.int64)])
-                        near = near[wanted[np.minimum(np.searchsorted(wanted, h[near]), len(wanted) - 1)] == h[near]] if len(wanted) else near[:0]
-                        at, h = at[near], h[near]
-                    if not len(at):
+                        at, h = known(*plain_windows(folded, hashes, size))
+                        if len(at):
+                            none = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1), pa.int32()), pa.array([], pa.int64()))
+                            yield rows(folded.doc[at], True, at - folded.first[folded.doc[at]], size, h, none)
                         continue
-                    if plain:
-                        values = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1), pa.int32()), pa.array([], pa.int64()))
-                        doc = own.doc[at]
-                        place = at - own.first[doc]
-                    else:
-                        grid = at[:, None] + np.arange(size)
-                        flags, length = slot[grid], slot[grid].sum(1)
-                        values = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(value[grid][flags].view(np.int64)))
-                        doc = w.doc[at]
-                        place = at - w.first[doc]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(np.full(len(at), plain)), pa.array(place, pa.int32()), pa.array(np.full(len(at), size, np.int32)), pa.array(h.view(np.int64)), values], ["doc_id", "plain", "at", "size", "hash", "found"])
+                    for at, h, slot, value in readings(w, made, size):
+                        at, h = known(at, h)
+                        if len(at):
+                            grid = at[:, None] + np.arange(size)
+                            flags = slot[grid]
+                            values = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(flags.sum(1)))), pa.int32()), pa.array(value[grid][flags].view(np.int64)))
+                            yield rows(w.doc[at], False, at - w.first[w.doc[at]], size, h, values)
 
-    source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, plain boolean, at int, size int, hash long, found array<long>")
+    source = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, digest long, plain boolean, at int, size int, hash long, found array<long>")
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, matched: int = MATCHED) -> DataFrame:
-    """One row per document and item that leaked: doc_id, item_id, matched_words, item_words, slots, consistent, exact.
+    """One row per document and item that leaked: doc_id, item_id, matched_words, item_words, slots, consistent, exact."""
+    best = leaks(docs, items, width, matched).groupBy("doc_id", "item_id").agg(F.max("m").alias("m"))
+    return best.select("doc_id", "item_id", *(f"m.{c}" for c in ("matched_words", "item_words", "slots", "consistent", "exact")))
+
+
+def leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, matched: int = MATCHED) -> DataFrame:
+    """doc_id, digest (of the text), item_id, m: the match of each text with each item that leaked into it.
 
     Aggregation is per (document, item, diagonal) and word, so a window that
     many documents share spreads over as many groups.
     """
     spark = docs.sparkSession
-    bench = saved(item_windows(items, width), "decon-items")
-    n = bench.count()
+    bench = saved(item_windows(items, width), "decon-items", True)
+    measured = bench.agg(F.sum(64 + 12 * F.size("slots"))).first()[0] or 0
     sizes = sorted((r["plain"], r["size"]) for r in bench.select("plain", "size").distinct().collect())
-    if n <= SHARED:
+    if measured <= SHARED:
         hashes = np.unique(bench.select("hash").toArrow()["hash"].to_numpy().view(K.U64))
         seen = document_windows(docs, sizes, spark.sparkContext.broadcast(hashes))
         met = seen.join(F.broadcast(bench), ["hash", "plain", "size"])  # its size was checked
     else:
         met = document_windows(docs, sizes, None).join(bench, ["hash", "plain", "size"])
-    line = [F.col("doc_id"), F.col("item_id"), F.col("plain"), (F.col("at") - F.col("place")).alias("diagonal")]
+    line = [F.col("doc_id"), F.col("digest"), F.col("item"), F.col("item_id"), F.col("plain"), (F.col("at") - F.col("place")).alias("diagonal")]
     met = met.where(F.size("found") == F.size("slots")).select(*line, "words", "place", "size", "slots", "values", "found")
     # per diagonal: which words of the item are matched, and which of its slots with what
     slot = F.transform(F.sequence(F.lit(0), F.size("slots") - 1), lambda k: F.struct((F.col("place") + F.element_at("slots", k + 1)).alias("p"), F.element_at("values", k + 1).alias("v"), F.element_at("found", k + 1).alias("d")))
     met = met.withColumn("pairs", F.when(F.size("slots") > 0, slot).otherwise(F.array().cast("array<struct<p:int,v:bigint,d:bigint>>")))
-    lines = met.groupBy("doc_id", "item_id", "plain", "diagonal").agg(
+    text = ["doc_id", "digest", "item"]
+    lines = met.groupBy(*text, "plain", "diagonal").agg(
+        F.max("item_id").alias("item_id"),
         F.max("words").alias("words"),
         F.array_distinct(F.flatten(F.collect_set(F.sequence("place", F.col("place") + F.col("size") - 1)))).alias("covered"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
@@ -262,16 +281,15 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, matched: int
         F.lit(0),
         lambda n, v: n + F.array_max(F.transform(F.filter("pairs", lambda x: x["v"] == v), lambda y: F.size(F.filter("pairs", lambda z: (z["v"] == v) & (z["d"] == y["d"]))))),
     )
-    scored = lines.select("doc_id", "item_id", "plain", "words", F.size("covered").alias("hit"), F.size("pairs").alias("slots"), agree.alias("agree"), F.size(F.filter("pairs", lambda x: x["v"] == x["d"])).alias("same"))
+    scored = lines.select(*text, "item_id", "plain", "words", F.size("covered").alias("hit"), F.size("pairs").alias("slots"), agree.alias("agree"), F.size(F.filter("pairs", lambda x: x["v"] == x["d"])).alias("same"))
     scored = scored.where((F.col("slots") == 0) | (F.col("agree") >= AGREE * F.col("slots")))
-    out = scored.groupBy("doc_id", "item_id", "plain").agg(F.sum("hit").alias("hit"), F.max("words").alias("item_words"), F.sum("slots").alias("slots"), F.sum("agree").alias("consistent"), F.sum("same").alias("same"))
+    out = scored.groupBy(*text, "plain").agg(F.max("item_id").alias("item_id"), F.sum("hit").alias("hit"), F.max("words").alias("item_words"), F.sum("slots").alias("slots"), F.sum("agree").alias("consistent"), F.sum("same").alias("same"))
     out = out.withColumn("matched_words", F.least("hit", "item_words")).where(F.col("matched_words") >= F.least(F.lit(matched), F.col("item_words")))
-    out = out.select("doc_id", "item_id", F.struct(F.col("matched_words").cast("int").alias("matched_words"), (~F.col("plain")).alias("template"), "item_words", F.col("slots").cast("int").alias("slots"), F.col("consistent").cast("int").alias("consistent"), (F.col("same") == F.col("slots")).alias("exact")).alias("m"))
-    best = out.groupBy("doc_id", "item_id").agg(F.max("m").alias("m"))
-    return best.select("doc_id", "item_id", *(f"m.{c}" for c in ("matched_words", "item_words", "slots", "consistent", "exact")))
+    return out.select("doc_id", "digest", "item_id", F.struct(F.col("matched_words").cast("int").alias("matched_words"), (~F.col("plain")).alias("template"), "item_words", F.col("slots").cast("int").alias("slots"), F.col("consistent").cast("int").alias("consistent"), (F.col("same") == F.col("slots")).alias("exact")).alias("m"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, all columns, into which no item leaked."""
-    leaked = saved(matches(docs, items, width).select("doc_id").distinct(), "decon-leaked")
-    return keep_matching(docs, leaked, "left_anti")
+    """The rows of ``docs``, all columns, into whose text no item leaked."""
+    leaked = saved(leaks(docs, items, width).select("doc_id", "digest").distinct(), "decon-leaked", True)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _digest().alias("mine"))
+    return rows.join(leaked, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.col("mine") == F.col("digest")), "left_anti").select("row.*")
