@@ -356,6 +356,33 @@ def test_media_round_trip(spark, data, documents):
         stored = media.encode(padded)
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
         assert r["position"] == 1 and r["caption"] == f"payload of {len(raw)} bytes"
+        mean = sum(padded) / len(padded)
+        spread = (sum((x - mean) ** 2 for x in padded) / len(padded)) ** 0.5
+        quarters = [sum(64 * q <= x < 64 * q + 64 for x in padded) / len(padded) for q in range(4)]
+        size, m, d, q = re.fullmatch(r"(\w+);mean=([\d.]+);std=([\d.]+);(.*)", r["feature"]).groups()
+        assert size == f"24x{len(padded) // 24}" and [float(m), float(d), *map(float, q.split(","))] == pytest.approx([mean, spread, *quarters], abs=1e-4)
+
+
+def test_media_are_stored_once_and_read_from_storage(spark):
+    texts = [(i, "the same text" if i % 3 else f"text {i}") for i in range(90)] + [(None, None), (1, "a repeated id")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    stored = media.store(docs, "text")
+    assert stored.inputFiles() and stored.where("digest = '%s'" % hashlib.sha256(b"the same text").hexdigest()).count() <= 2
+    found = {r["digest"]: r for r in media.resolved_payloads(stored).collect()}
+    assert set(found) == {hashlib.sha256((t or "").encode()).hexdigest() for _, t in texts}
+    back = {r["digest"]: bytes(r["media"]) for r in stored.collect()}
+    assert all(media.decode(back[hashlib.sha256(t.encode()).hexdigest()]).tobytes().startswith(t.encode()) for _, t in texts if t)
+
+
+def test_page_sequences(spark, data):
+    """Text runs of real pages hold the words that are left when tags, scripts, styles and titles go, in order."""
+    import html as entities
+
+    for r in media.parse(table(spark, data, "pages"), "page_id", "html").join(table(spark, data, "pages"), F.col("id") == F.col("page_id")).collect():
+        plain = re.sub(r"(?s)<!--.*?-->|<(script|style|title)\b.*?</\1>|<!DOCTYPE[^>]*>|<[^<>]*>", " ", r["html"] or "")
+        assert "".join("".join(x["text"] for x in r["items"]).split()) == "".join(entities.unescape(plain).split())
+        assert [x["position"] for x in r["items"]] == list(range(len(r["items"])))
+    assert queries.page_sequences(spark, data).count() == table(spark, data, "pages").count()
 
 
 def test_media_sequence():
@@ -367,14 +394,25 @@ def test_media_sequence():
     assert media.sequence(None) == media.sequence("") == []
 
 
+def test_captions_stay_with_their_figure():
+    short = lambda page: [(x["kind"][0], x["text"] if x["kind"] == "text" else x["caption"]) for x in media.sequence(page)]
+    assert short("<img src=a alt=A><p>x<figcaption>stray</figcaption>") == [("m", "A"), ("t", "xstray")]
+    assert short("<figure><img src=a><figcaption>cap</figure><p>rest") == [("m", "cap"), ("t", "rest")]
+    assert short("<figure><img src=a><figcaption>cap<p>rest</p><img src=b alt=B>") == [("m", "cap"), ("t", "rest"), ("m", "B")]
+    assert short("<figure><img src=a><figcaption><p>one</p><p>two</p></figcaption></figure>end") == [("m", "one\ntwo"), ("t", "end")]
+    assert short("<figure><figure><img src=a><figcaption>in</figcaption></figure><img src=b><figcaption>out</figcaption></figure>") == [("m", "in"), ("m", "out")]
+    assert short("<figure><img src=a><figcaption>one<figure><img src=b><figcaption>two") == [("m", "one"), ("m", "two")]
+    assert short("<title>head</title><p>body") == [("t", "body")]
+
+
 def test_media_resolve_keeps_order_and_captions(spark, odd, nothing):
     pages = spark.createDataFrame([(1, "<img src='media:aa' alt='x'><img src='media:zz' alt='y'><img src='media:aa' alt='z'>"), (2, None)], "page_id long, html string")
     refs = media.references(media.parse(pages, "page_id", "html"))
     got = media.resolve(refs, spark.createDataFrame([("aa", 5)], "digest string, n long")).orderBy("position").collect()
     assert [(r["caption"], r["n"]) for r in got] == [("x", 5), ("y", None), ("z", 5)]
-    made = media.media_features(media.media_table(odd, "doc_id", "text")).collect()
-    assert len(made) == odd.count() and {r["payload_bytes"] for r in made if r["id"] in (3, 4)} == {576}
-    assert media.media_features(media.media_table(nothing, "doc_id", "text")).count() == 0
+    made = media.resolved_payloads(media.store(odd, "text")).collect()
+    assert len(made) == len({r["text"] or "" for r in odd.collect()}) and {r["payload_bytes"] for r in made if r["n_bytes"] == 0} == {576}
+    assert media.resolved_payloads(media.store(nothing, "text")).count() == 0 and media.parse(nothing, "doc_id", "html").count() == 0
 
 
 # ---- pipeline ----

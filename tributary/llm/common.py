@@ -56,7 +56,7 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_BATCH, old) if old else spark.conf.unset(_BATCH)
 
 
-def saved(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
+def saved(df: DataFrame, tag: str, few: bool = False, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage durably: lost executors never force the upstream plan to
@@ -71,7 +71,7 @@ def saved(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
         df = df.coalesce(max(TASKS * spark.sparkContext.defaultParallelism, partitions(spark) // 8))
     path = f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

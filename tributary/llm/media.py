@@ -2,17 +2,25 @@
 
 ``parse`` turns HTML into an ordered array of structs, text runs and media
 references mixed, each with its position; a figure's caption stays with its
-reference.  References name their payload by digest (``media:<sha256>``), so a
+references.  References name their payload by digest (``media:<sha256>``), so a
 join on the digest resolves them; a digest that is used a million times is one
-row of the media table, and positions and captions come back unchanged.
+row of the resolved table, and positions and captions come back unchanged.
 
 ``encode``/``decode`` store any byte payload losslessly as 8-bit samples of a
 greyscale image (binary PGM, 24 samples a line): payloads are padded with bytes
-255 to whole tiles of 24 x 24 samples.
+255 to whole tiles of 24 x 24 samples.  ``store`` writes the images of a payload
+column, each digest once a task, and features are computed from what is read
+back from there.
 
 Defined results: null or empty html gives an empty sequence; a null payload
-counts as empty (one tile of 255); an unresolved reference keeps its position
-and caption with null media columns; malformed html is parsed as far as it goes.
+counts as empty (one tile of 255); texts and payloads of any length are treated
+whole; repeated rows give the same row each, and one stored payload serves them;
+references that tie in position do not occur, as positions count a page's items;
+an unresolved reference keeps its position and caption with null media columns;
+an empty table gives no rows; other columns, of whatever name, are ignored.
+Malformed html is parsed as far as it goes: a caption outside a figure is text;
+one that is not closed ends with its figure, or where that is not closed either,
+at the next block; titles, scripts and styles are no text.
 """
 
 from __future__ import annotations
@@ -28,23 +36,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 LINE, TILE = 24, 576
 SCHEME = "media:"
+#: Digests that a task remembers having stored; bytes of stored payloads that it holds.
+_SEEN, _HELD = 200_000, 4 << 20
 ITEM = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 
 
 class _Sequence(HTMLParser):
-    """Collects text runs and media references in document order."""
+    """Collects text runs and media references in document order.
+
+    ``short`` says that captions end at the next block.
+    """
 
-    HIDDEN = {"script", "style", "template", "noscript"}
+    HIDDEN = {"script", "style", "template", "noscript", "title"}
     MEDIA = {"img", "video", "audio", "source", "embed"}
+    BLOCK = {"p", "br", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "tr", "figure", "nav", "footer", "header", "main", "ul", "ol", "table"}
 
-    def __init__(self) -> None:
+    def __init__(self, short: bool) -> None:
         super().__init__(convert_charrefs=True)
+        self.short = short
         self.items: list[dict] = []
         self.run: list[str] = []
         self.hidden = 0
-        self.figure: int | None = None
+        self.figures: list[int] = []  # index of the first item of each open figure
+        self.named: set[int] = set()  # items that have their figure's caption
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -53,14 +71,28 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append({"position": len(self.items), "kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        text, self.caption = "".join(self.caption).strip(), None
+        for k in range(self.figures[-1], len(self.items)):
+            if self.items[k]["kind"] == "media" and k not in self.named:
+                self.items[k]["caption"] = text
+                self.named.add(k)
+
     def handle_starttag(self, tag, attrs):
         if tag in self.HIDDEN:
             self.hidden += 1
-        elif tag == "figure":
+            return
+        if tag in self.BLOCK and (self.short or tag == "figure"):
+            self.end_caption()
+        if tag == "figure":
             self.flush()
-            self.figure = len(self.items)
+            self.figures.append(len(self.items))
         elif tag == "figcaption":
-            self.caption = []
+            if self.figures and self.caption is None:
+                self.flush()
+                self.caption = []
         elif tag in self.MEDIA:
             found = dict(attrs)
             src = found.get("src") or ""
@@ -68,21 +100,19 @@ class _Sequence(HTMLParser):
                 self.flush()
                 digest = src[len(SCHEME) :] if src.startswith(SCHEME) else hashlib.sha256(src.encode("utf-8", "replace")).hexdigest()
                 self.items.append({"position": len(self.items), "kind": "media", "text": None, "digest": digest, "caption": found.get("alt")})
-        elif tag in ("p", "br", "div", "li", "h1", "h2", "h3", "article", "section", "tr"):
-            self.run.append("\n")
+        elif tag in self.BLOCK:
+            (self.run if self.caption is None else self.caption).append("\n")
 
     def handle_endtag(self, tag):
         if tag in self.HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = "".join(self.caption).strip(), None
-            for item in self.items[self.figure or 0 :]:
-                if item["kind"] == "media":
-                    item["caption"] = text
-        elif tag == "figure":
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_caption()
             self.flush()
-            self.figure = None
-        elif tag in ("p", "div", "article", "section"):
+            self.figures.pop()
+        elif tag in ("p", "div", "article", "section") and self.caption is None:
             self.flush()
 
     def handle_data(self, data):
@@ -93,9 +123,13 @@ class _Sequence(HTMLParser):
 
 def sequence(page: str | None) -> list[dict]:
     """Ordered items of one page."""
-    p = _Sequence()
-    p.feed(page or "")
-    p.close()
+    for short in (False, True):
+        p = _Sequence(short)
+        p.feed(page or "")
+        p.close()
+        if p.caption is None or short:  # else a caption would take all that follows
+            break
+    p.end_caption()
     p.flush()
     return p.items
 
@@ -150,35 +184,56 @@ def features(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]};mean={samples.mean():.4f};std={samples.std():.4f};" + ",".join(f"{x:.4f}" for x in share)
 
 
-def media_table(docs: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """(id, payload) -> id, digest (of the payload), n_bytes, media (stored form)."""
+def media_table(docs: DataFrame, payload_col: str) -> DataFrame:
+    """(payload) -> digest (of the payload), n_bytes, media (stored form): each digest at least once, and once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        rows: list[tuple] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            d, k, m = zip(*rows, strict=True)
+            rows.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(k, pa.int64()), pa.array(m, pa.binary())], ["digest", "n_bytes", "media"])
+
         for b in batches:
-            # one row at a time would cost a batch each; a large batch is cut by bytes instead
-            ids, payloads, lo, n = b.column(0), b.column(1), 0, b.num_rows
-            while lo < n:
-                rows, held = [], 0
-                while lo + len(rows) < n and held < 8 << 20:
-                    data = payloads[lo + len(rows)].as_py() or b""
-                    stored = encode(pad(data))
-                    held += len(stored)
-                    rows.append((hashlib.sha256(data).hexdigest(), len(data), stored))
-                d, k, m = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(rows)), pa.array(d), pa.array(k, pa.int64()), pa.array(m, pa.binary())], ["id", "digest", "n_bytes", "media"])
-                lo += len(rows)
-
-    source = docs.select(F.col(id_col).alias("id"), F.col(payload_col).cast("binary").alias("payload"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, digest string, n_bytes long, media binary")
+            for payload in b.column(0):
+                data = payload.as_py() or b""
+                digest = hashlib.sha256(data)
+                if digest.digest() in seen:
+                    continue
+                if len(seen) < _SEEN:
+                    seen.add(digest.digest())
+                rows.append((digest.hexdigest(), len(data), encode(pad(data))))
+                held += len(rows[-1][2])
+                if held > _HELD:
+                    yield flush()
+        if rows:
+            yield flush()
+
+    return docs.select(F.col(payload_col).cast("binary").alias("payload")).mapInArrow(run, "digest string, n_bytes long, media binary")
+
+
+def store(docs: DataFrame, payload_col: str) -> DataFrame:
+    """The media table of a payload column, written to storage and read from there."""
+    return saved(media_table(docs, payload_col), "media-store", codec="zstd")
+
+
+def payload_digest(payload: Column) -> Column:
+    """What a reference to a payload says; null counts as empty."""
+    return F.sha2(F.coalesce(payload.cast("binary"), F.lit(b"")), 256)
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """What the stored bytes say when they are read back; one row per row of ``media``."""
+    """What the stored bytes (digest, n_bytes, media) say when they are read back; one row per row of ``media``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for stored in b.column(3):
+            for stored in b.column(2):
                 stored = stored.as_py()
                 samples = decode(stored)
                 read = samples.tobytes()
@@ -186,10 +241,14 @@ def media_features(media: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "digest", "n_bytes", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["digest", "n_bytes", *names])
+
+    return media.mapInArrow(run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
 
-    kind = media.schema["id"].dataType.simpleString()
-    return media.mapInArrow(run, f"id {kind}, digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def resolved_payloads(media: DataFrame) -> DataFrame:
+    """One row per digest: the features of a stored payload, written before references join them."""
+    return saved(media_features(media).dropDuplicates(["digest"]), "media-payloads", True)
 
 
 def page(digest: str, caption: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, lm, media, mixing, ngram_join, oracles, sharding, substring, toxicity
-from .common import remainder, saved, table
+from .common import remainder, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,16 +54,22 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text becomes the payload of a figure on its document's page; the page's reference finds it by digest."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    read = saved(media.media_features(media.media_table(docs, "doc_id", "text")), "media-features")
-    caption = F.concat(F.lit("payload of "), F.col("n_bytes").cast("string"), F.lit(" bytes"))
-    pages = read.select("id", media.page("digest", caption).alias("html"))
-    refs = media.references(media.parse(pages, "id", "html")).withColumnRenamed("id", "doc_id")
-    payloads = saved(read.drop("id").dropDuplicates(["digest"]), "media-payloads")
+    """Every text is stored as the payload of a figure on its document's page; the page's reference finds it by digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    payloads = media.resolved_payloads(media.store(docs, "text"))
+    caption = F.concat(F.lit("payload of "), F.octet_length("text").cast("string"), F.lit(" bytes"))
+    pages = docs.withColumn("digest", media.payload_digest(F.col("text"))).select("doc_id", media.page("digest", caption).alias("html"))
+    refs = media.references(media.parse(pages, "doc_id", "html")).withColumnRenamed("id", "doc_id")
     return media.resolve(refs, payloads).drop("digest")
 
 
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of every web page: how many, and the text runs in order."""
+    found = media.parse(table(spark, sf_dir, "pages"), "page_id", "html")
+    runs = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    return found.select(F.col("id").alias("page_id"), F.size("items").alias("n_items"), F.size(runs).alias("n_texts"), F.sha2(F.array_join(runs, "\n"), 256).alias("texts_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
+    "page_sequences": page_sequences,
 }
 
 #: The others have no SQL form: tests hold them against brute force, round trips or held-out labels.
