@@ -42,10 +42,10 @@ def test_substring(spark, data, documents):
     assert rows(queries.op4_substring(spark, data), "doc_id", "n_words", "n_removed", "kept_sha256") == without_repeats([d[:2] for d in documents])
 
 
-def test_substring_whole_windows_as_prefix(spark, data, documents, monkeypatch):
-    monkeypatch.setattr(substring, "GROUP", 0)
-    monkeypatch.setattr(substring, "COUNTERS", 1 << 16)
-    monkeypatch.setattr(substring, "anchor_counts", lambda each, width, f=substring.anchor_counts: (*f(each, width)[:2], 0))
+@pytest.mark.parametrize("group", [0, 3, 40])
+def test_substring_longer_prefixes(spark, data, documents, monkeypatch, group):
+    """Groups too large for a short prefix go by a longer one, at last by the whole window."""
+    monkeypatch.setattr(substring, "GROUP", group)
     assert rows(queries.op4_substring(spark, data), "doc_id", "n_words", "n_removed", "kept_sha256") == without_repeats([d[:2] for d in documents])
 
 
@@ -55,17 +55,35 @@ def test_substring_odd(odd, nothing):
     assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == 40 and got[2]["kept"] == "two"
     assert got[3]["n_words"] == 0 and got[5]["kept"] == ""
     assert got[6]["n_removed"] == 0 and got[7]["n_removed"] == got[7]["n_words"] == 30_000
-    assert got[None]["n_removed"] == 41  # a null id is the largest
+    assert got[None]["n_removed"] == 41  # a row without an id comes last
     assert got[12]["n_removed"] == 200 - 1  # the first window's first word alone is not under a later window
 
 
-def test_tree_nodes():
+def test_substring_rows_without_or_with_repeated_ids(spark):
+    """Rows without an id are documents of their own; so are other texts of one id, by their digests; equal rows are one."""
+    shared = " ".join(f"s{i}" for i in range(30))
+    docs = [(None, shared + " a no id"), (None, shared + " b no id"), (None, "x " + shared), (3, shared + " one"), (3, "two " + shared), (3, shared + " one"), (1, "first"), (None, None), (2, "")]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=repr)
+    one, two = shared + " one", "two " + shared
+    first = min(one, two, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    cut = {one: 30 * (first != one), two: 30 * (first != two)}
+    want = [(None, 33, 30), (None, 33, 30), (None, 31, 30), (3, 31, cut[one]), (3, 31, cut[two]), (3, 31, cut[one]), (1, 1, 0), (None, 0, 0), (2, 0, 0)]
+    assert got == sorted(want, key=repr)
+
+
+def test_suffix_tree():
+    """Order and common lengths of suffixes against comparing them word by word."""
     rng = np.random.default_rng(1)
-    words = rng.integers(0, 3, 400).astype(np.uint64)
-    for width in (5, 20, 23):
-        node = substring.tree_nodes(words, width)
-        keys = [tuple(words[i : i + width]) for i in range(len(words) - width)]
-        assert len({(k, n) for k, n in zip(keys, node.tolist(), strict=False)}) == len(set(keys)) == len(set(node[: len(keys)].tolist()))
+    for most in (1, 5, 20, 33):
+        length = rng.integers(1, most + 1, 60)
+        starts = np.array([rng.integers(1, n + 1) for n in length])
+        words = rng.integers(0, 2, length.sum()).astype(np.uint64)
+        order, common = substring.suffix_tree(words, length, starts)
+        text = [tuple(x[k:].tolist()) for x, s in zip(np.split(words, np.cumsum(length)[:-1]), starts, strict=True) for k in range(s)]
+        assert [text[k] for k in order] == sorted(text) and common[0] == 0
+        for k in range(1, len(text)):
+            a, b = text[order[k - 1]], text[order[k]]
+            assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
 # ---- n-gram join ----

@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import partitions
 from .textkernel import U64, mix64
 
 #: 2**27 bits are 16 MB; 2**24 bits are 2 MB.
-REPEATED_BITS, MEMBER_BITS, _SLICES, _FLUSH = 27, 24, 256, 2_000_000
+REPEATED_BITS, MEMBER_BITS, _FLUSH = 27, 24, 1_000_000
 
 
 def contains(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -35,9 +36,12 @@ def _bits(at: np.ndarray, size: int) -> bytes:
 def repeated(df: DataFrame, column: str) -> np.ndarray:
     """Bitmap of the 64-bit hashes that occur more than once in a column of packed hashes.
 
-    Tasks send each hash at most twice, in slices by its leading bits; slices
-    are counted exactly and only their bits come to the driver.
+    Tasks send each hash at most twice, in slices by its leading bits; slices,
+    of which there are more as the session's partitions grow, are counted
+    exactly, one after the other, and only their bits come to the driver.
     """
+    bits = min(max(8, (8 * partitions(df.sparkSession)).bit_length()), 16)
+    slices = 1 << bits
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -48,8 +52,8 @@ def repeated(df: DataFrame, column: str) -> np.ndarray:
             third = np.zeros(len(h), bool)
             third[2:] = h[2:] == h[:-2]
             h = h[~third]
-            ends = np.searchsorted(h >> U64(56), np.arange(_SLICES + 1, dtype=U64))
-            parts = [(i, h[ends[i] : ends[i + 1]].astype("<u8").tobytes()) for i in range(_SLICES) if ends[i + 1] > ends[i]]
+            ends = np.searchsorted(h >> U64(64 - bits), np.arange(slices + 1, dtype=U64))
+            parts = [(i, h[ends[i] : ends[i + 1]].astype("<u8").tobytes()) for i in range(slices) if ends[i + 1] > ends[i]]
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["slice", "data"])
 
         for b in batches:
@@ -61,22 +65,28 @@ def repeated(df: DataFrame, column: str) -> np.ndarray:
         yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held.setdefault(i, []).append(np.frombuffer(x.as_buffer(), "<u8"))
-        size = 1 << (REPEATED_BITS - 8)
-        out = []
-        for i in sorted(held):
-            h = np.sort(np.concatenate(held.pop(i)))
+        held: list[np.ndarray] = []
+        at = None
+        size = 1 << (REPEATED_BITS - bits)
+
+        def close() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held))
+            held.clear()
             twice = h[1:][h[1:] == h[:-1]]
-            at = (twice >> U64(64 - REPEATED_BITS)).astype(np.int64) - i * size
-            out.append((i, _bits(at, size)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["slice", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_bits((twice >> U64(64 - REPEATED_BITS)).astype(np.int64) - at * size, size)], pa.binary())], ["slice", "bits"])
 
-    rows = df.select(column).mapInArrow(send, "slice int, data binary").repartition("slice").mapInArrow(count, "slice int, bits binary").collect()
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if held and i != at:
+                    yield close()
+                at = i
+                held.append(np.frombuffer(x.as_buffer(), "<u8"))
+        if held:
+            yield close()
+
+    rows = df.select(column).mapInArrow(send, "slice int, data binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(count, "slice int, bits binary").collect()
     bitmap = np.zeros(1 << (REPEATED_BITS - 3), np.uint8)
-    size = len(bitmap) // _SLICES
+    size = len(bitmap) // slices
     for r in rows:
         bitmap[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     return bitmap
