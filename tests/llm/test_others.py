@@ -309,37 +309,123 @@ def test_ngram_counts_match_a_plain_loop():
 
 
 def test_toxicity_held_out(spark):
+    """Accuracy, evidence and calibration on rows whose labels were not learnt."""
     big = "/root/testdata/sf0.1"
     got = queries.op6_toxicity(spark, big).join(table(spark, big, "labels"), "doc_id").where("held_out").collect()
     hit = sum(r["predicted"] and r["toxic"] for r in got)
-    assert hit / sum(r["toxic"] for r in got) > 0.8 and hit / sum(r["predicted"] for r in got) > 0.85
+    assert hit / sum(r["toxic"] for r in got) > 0.9 and hit / sum(r["predicted"] for r in got) > 0.85
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert np.mean([bool(r["evidence"]) and r["closeness"] > 0 for r in got]) > 0.99
+    score, label = np.array([r["score"] for r in got]), np.array([r["toxic"] for r in got])
+    edges = np.quantile(score, np.linspace(0, 1, 11))
+    bins = np.clip(np.searchsorted(edges, score, "right") - 1, 0, 9)
+    assert sum(abs((score - label)[bins == k].sum()) for k in range(10)) / len(got) < 0.03  # expected calibration error
+
+
+def plain_terms(text):
+    out = {}
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+        m = re.search(rb"[0-9A-Za-z\x80-\xff]", w)
+        if m:
+            body = re.sub(rb"[^0-9a-z\x80-\xff]", b"\0", w[m.start() :].lower())
+            keys = [body.rstrip(b"\0")] + [(n, body[:n].rstrip(b"\0")) for n in toxicity.PREFIXES if len(body) > n]
+            for k in keys:
+                out[k] = out.get(k, 0) + 1
+    return out
+
+
+def test_toxicity_against_all_cosines(spark, data, documents):
+    """Every score of the whole table from plain dictionaries and every pair of a text and an example."""
+    label = {}
+    for i, y in duckdb.sql(f"select doc_id, toxic from '{data}/labels.parquet' where toxic is not null").fetchall():
+        label[i] = max(y, label.get(i, 0))
+    label = {i: y for i, y in label.items() if zlib.crc32(str(i).encode()) % 4 != 2}
+    text = {d[0]: plain_terms(d[1]) for d in documents}
+    ids = table(spark, data, "labels").where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4) != 2)
+    number = toxicity.fit(table(spark, data, "documents"), ids).ids.tolist()  # only which example comes first where cosines tie
+    assert sorted(number) == sorted(i for i in label if i in text)
+    seen = {}
+    for i in number:
+        for t in text[i]:
+            seen.setdefault(t, []).append(label[i])
+    known = sorted((t for t, ys in seen.items() if len(ys) >= toxicity.MIN_EXAMPLES), key=repr)
+    column = {t: k for k, t in enumerate(known)}
+    df, n, toxic = dict.fromkeys(known, 0), len(number), sum(label[i] for i in number)
+    for terms in text.values():
+        for t in terms:
+            if t in df:
+                df[t] += 1
+    weight = []
+    for t in known:
+        a, b = sum(seen[t]), len(seen[t]) - sum(seen[t])
+        c, d = toxic - a, n - toxic - b
+        chi = n * max(abs(a * d - b * c) - n / 2, 0) ** 2 / ((a + b) * (c + d) * toxic * (n - toxic))
+        weight.append(np.log((len(text) + 1) / df[t]) * (toxicity.FLOOR + chi / (chi + toxicity.HALF)))
+    v = {}
+    for i, terms in text.items():
+        x = np.zeros(len(known))
+        for t, uses in terms.items():
+            if t in column:
+                x[column[t]] = (1 + np.log(uses)) * weight[column[t]]
+        v[i] = x / max(np.linalg.norm(x), 1e-12)
+    examples, y = np.stack([v[i] for i in number]), np.array([label[i] for i in number], float)
+    rate = toxic / sum(1 for _ in label)
+
+    def odds(cos):
+        cos = np.round(cos, 9)
+        near = [k for k in sorted(range(n), key=lambda k: (-cos[k], k))[: toxicity.NEIGHBOURS] if cos[k] > 0]
+        yes, all_ = sum(cos[k] ** toxicity.CLOSENESS * y[k] for k in near), sum(cos[k] ** toxicity.CLOSENESS for k in near)
+        return np.log(yes + 0.1 * rate) - np.log(all_ - yes + 0.1 * (1 - rate)), [number[k] for k in near]
+
+    own = examples @ examples.T
+    np.fill_diagonal(own, 0)
+    shift, slope = toxicity.fitted_curve(np.array([odds(c)[0] for c in own]), y, np.ones(n))
+    got = {r["doc_id"]: r for r in queries.op6_toxicity(spark, data).collect()}
+    assert len(got) == len(documents)
+    for i, r in got.items():
+        x, near = odds(examples @ v[i])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-shift - slope * x)) if near else rate, abs=1e-6)
+        assert list(r["evidence"]) == near[:3]
 
 
 def test_nearest_is_exact():
     rng = np.random.default_rng(5)
-    counts = rng.poisson(0.15, (700, 40)).astype(float)
-    counts = counts[counts.any(1)]
-    v, _ = toxicity.unit(counts, np.ones(40))
-    v = v[np.lexsort((np.arange(len(v)), v.argmax(1)))]
-    blocks = np.array([v[i : i + toxicity.BLOCK].max(0) for i in range(0, len(v), toxicity.BLOCK)]).T
-    m = toxicity.Model(np.arange(40), np.ones(40), v, np.zeros(len(v)), np.arange(len(v)), 0.0, blocks)
-    q, _ = toxicity.unit(rng.poisson(0.2, (60, 40)).astype(float) + np.eye(60, 40), np.ones(40))
-    cos, who = m.nearest(q)
-    full = np.round(q @ v.T, 9)
-    order = np.lexsort((np.broadcast_to(np.arange(len(v)), full.shape), -full), axis=1)[:, : toxicity.NEIGHBOURS]
-    assert (np.take_along_axis(full, order, 1) == cos).all()
-    assert (who[cos > 0] == order[cos > 0]).all()
-
-
-def test_toxicity_odd(spark, odd, nothing):
-    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (6, None), (99, 1)], "doc_id long, toxic int")
+
+    def entries(n, terms):
+        counts = rng.poisson(0.15, (n, terms)) * (rng.random(n) > 0.05)[:, None]
+        doc, term = np.nonzero(counts)
+        return doc, term, toxicity.unit(doc, counts[doc, term], np.ones(len(term)), n)
+
+    doc, term, v = entries(700, 40)
+    full = np.zeros((700, 40))
+    full[doc, term] = v
+    index = toxicity.Index.of(doc, term, v, 700, 40)
+    d, t, q = entries(60, 40)
+    ask = np.zeros((60, 40))
+    ask[d, t] = q
+    for skip in (None, np.arange(60)):
+        cos, who = index.nearest(d, t, q, 60, toxicity.NEIGHBOURS, skip)
+        want = np.round(ask @ full.T, 9)
+        if skip is not None:
+            want[np.arange(60), skip] = 0
+        order = np.lexsort((np.broadcast_to(np.arange(700), want.shape), -want), axis=1)[:, : toxicity.NEIGHBOURS]
+        best = np.take_along_axis(want, order, 1)
+        assert cos == pytest.approx(best, abs=2e-9)
+        assert (who == np.where(best > 0, order, -1))[np.abs(cos - best).max(1) == 0].all()
+
+
+def test_toxicity_odd(spark, odd, nothing, monkeypatch):
+    monkeypatch.setattr(toxicity, "MIN_EXAMPLES", 1)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (6, None), (99, 1), (7, 0), (12, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
     got = toxicity.score(odd, model).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert sorted(model.ids.tolist()) == [1, 2, 7, 12]  # an id that repeats is one example
     assert toxicity.score(nothing, model).count() == 0
     none = toxicity.fit(odd, labels.where("false"))
     assert {r["score"] for r in toxicity.score(odd, none).collect()} == {0.0}
+    blank = toxicity.fit(odd.where("doc_id in (3, 4)"), spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, toxic int"))
+    assert {r["score"] for r in toxicity.score(odd, blank).collect()} == {0.5}
 
 
 # ---- media ----
