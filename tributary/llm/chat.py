@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Strings that a reader of the rendered text takes as control: ours and those of common formats.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|mask|>", "<|endoftext|>", "<|user|>", "<|assistant|>", "<|system|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -86,7 +88,7 @@ def format_turns(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     source = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     kinds = {c: source.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
-    return source.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, ids binary, ends array<int>, masked boolean")
+    return source.mapInArrow(tidy(run), f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, ids binary, ends array<int>, masked boolean")
 
 
 def in_order(formatted: DataFrame) -> DataFrame:
@@ -152,4 +154,4 @@ def read_back(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         cols = list(zip(*rows, strict=True)) or [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return in_order(formatted).select("conv_id", "ids", "ends", "masked").mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")
+    return in_order(formatted).select("conv_id", "ids", "ends", "masked").mapInArrow(tidy(run), f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")

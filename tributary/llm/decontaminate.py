@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import saved
+from .common import saved, tidy
 
 #: Template words of a window; matched words that make a leak (all of a shorter item); literal words of a window; bytes of shared windows; share of slots that must agree.
 WINDOW, MATCHED, LITERALS, SHARED, AGREE = 8, 13, 4, 64 << 20, 0.8
@@ -194,7 +194,7 @@ def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item", "item_id", "plain", "words", "place", "size", "hash", "slots", "values"])
 
     source = items.where("text is not null").select(F.xxhash64(F.col("item_id").cast("long"), F.col("item_id").isNull(), _digest()).alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return source.dropDuplicates(["item"]).mapInArrow(run, "item long, item_id long, plain boolean, words int, place int, size int, hash long, slots array<int>, values array<long>")
+    return source.dropDuplicates(["item"]).mapInArrow(tidy(run), "item long, item_id long, plain boolean, words int, place int, size int, hash long, slots array<int>, values array<long>")
 
 
 def document_windows(docs: DataFrame, sizes: list[tuple[bool, int]], shared) -> DataFrame:
@@ -238,7 +238,7 @@ def document_windows(docs: DataFrame, sizes: list[tuple[bool, int]], shared) ->
                             yield rows(w.doc[at], False, at - w.first[w.doc[at]], size, h, values)
 
     source = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, digest long, plain boolean, at int, size int, hash long, found array<long>")
+    return source.mapInArrow(tidy(run), "doc_id long, digest long, plain boolean, at int, size int, hash long, found array<long>")
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, matched: int = MATCHED) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, tidy
 from .textkernel import U64, mix64
 
 #: 2**27 bits are 16 MB; 2**24 bits are 2 MB.
@@ -84,7 +84,7 @@ def repeated(df: DataFrame, column: str) -> np.ndarray:
         if held:
             yield close()
 
-    rows = df.select(column).mapInArrow(send, "slice int, data binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(count, "slice int, bits binary").collect()
+    rows = df.select(column).mapInArrow(tidy(send), "slice int, data binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(tidy(count), "slice int, bits binary").collect()
     bitmap = np.zeros(1 << (REPEATED_BITS - 3), np.uint8)
     size = len(bitmap) // slices
     for r in rows:
@@ -105,7 +105,7 @@ def members(ids: DataFrame, column: str) -> np.ndarray:
             u = np.unique(at)
             yield pa.RecordBatch.from_arrays([pa.array(u >> 5), pa.array(np.int64(1) << (u & 31))], ["word", "bits"])
 
-    words = ids.select(F.col(column).cast("long").alias("id")).where("id is not null").distinct().mapInArrow(place, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = ids.select(F.col(column).cast("long").alias("id")).where("id is not null").distinct().mapInArrow(tidy(place), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (MEMBER_BITS - 5), np.uint32)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     return out.view(np.uint8)

@@ -33,13 +33,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import drop_saved, saved
+from .common import drop_saved, saved, tidy
 
 DIM = 4096
 #: Training texts that the centroids are fitted on, about; texts of a language at least; centroids per language.
 SAMPLE, LEAST, CENTROIDS = 4000, 8, 4
 UNKNOWN = "und"
-_CHUNK_DOCS, _CHUNK_BYTES = 256, 1 << 19
+_CHUNK_DOCS, _CHUNK_BYTES = 128, 1 << 18
 #: Sharpness of the score; share of the usual cosine below which a text is rejected; numbers of n-grams at which that is measured.
 SHARP, FAR = 25.0, 0.4
 THIN = np.array([4, 16, 64, 256, 1024, 4096, 1 << 14])
@@ -144,7 +144,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
                 df += (c > 0).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(DIM)], pa.int32()), pa.array([n, *df.tolist()], pa.int64())], ["dim", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    rows = texts.select("text").mapInArrow(tidy(run), "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     found = {r["dim"]: r["n"] for r in rows}
     return found.get(-1, 0), np.array([found.get(i, 0) for i in range(DIM)], np.float64)
 
@@ -177,7 +177,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, per_language: int = CENTROIDS) -
                     values.append(np.minimum(row[at], 1 << 30).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dims, pa.binary()), pa.array(values, pa.binary())], ["lang", "dims", "counts"])
 
-    rows = picked.select("lang", "text").mapInArrow(run, "lang string, dims binary, counts binary").collect()
+    rows = picked.select("lang", "text").mapInArrow(tidy(run), "lang string, dims binary, counts binary").collect()
     groups: dict[str, list[np.ndarray]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], bytes(r["dims"]), bytes(r["counts"]))):
         c = np.zeros(DIM, np.float32)
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: Model, held_out: Column | None = None) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(cos), pa.array(out)], ["doc_id", "held_out", "lang_pred", "score", "cosine", "rejected"])
 
     source = docs.select("doc_id", (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, cosine double, rejected boolean")
+    return source.mapInArrow(tidy(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, cosine double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -244,4 +244,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(~judge_column(model, b.column(at))[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

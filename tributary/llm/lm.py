@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import drop_saved, keyed, plain_ids, saved
+from .common import drop_saved, keyed, plain_ids, saved, tidy
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Slices of the words; entries of the common table; rounds of training; weight of a piece that was never expected.
@@ -294,8 +294,8 @@ def word_types(docs: DataFrame) -> DataFrame:
         if held:
             yield rows(*merge(held))
 
-    sent = docs.select("text", "learn").mapInArrow(collect, TYPES)
-    return sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(unite, TYPES)
+    sent = docs.select("text", "learn").mapInArrow(tidy(collect), TYPES)
+    return sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(tidy(unite), TYPES)
 
 
 @dataclass
@@ -339,7 +339,7 @@ def expected_uses(types: DataFrame, logp, vocabulary: str) -> np.ndarray:
         some = np.flatnonzero(uses)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(uses[some])], ["piece", "uses"])
 
-    found = types.select("slice", "train", "size", "bytes").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+    found = types.select("slice", "train", "size", "bytes").mapInArrow(tidy(run), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
     out = np.zeros(len(logp.value))
     out[found["piece"].to_numpy()] = found["uses"].to_numpy()
     return out
@@ -360,7 +360,7 @@ def scored_types(types: DataFrame, logp, vocabulary: str) -> DataFrame:
             col = lambda k: pa.array([r[k].as_py() for r in rows], pa.binary())  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([pa.array([r[0].as_py() for r in rows], pa.int32()), col(1), col(2), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "hash", "train", "lp"])
 
-    return types.mapInArrow(run, "slice int, hash binary, train binary, lp binary")
+    return types.mapInArrow(tidy(run), "slice int, hash binary, train binary, lp binary")
 
 
 def tallies(types: DataFrame) -> list[tuple[int, int, int]]:
@@ -378,7 +378,7 @@ def tallies(types: DataFrame) -> list[tuple[int, int, int]]:
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some]), pa.array(s[some])], ["bin", "n", "uses"])
 
-    rows = types.select("train").mapInArrow(run, "bin int, n long, uses long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")).collect()
+    rows = types.select("train").mapInArrow(tidy(run), "bin int, n long, uses long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")).collect()
     return sorted((r["bin"], r["n"], r["uses"]) for r in rows)
 
 
@@ -397,7 +397,7 @@ def common_words(table: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray,
                 if ok.any():
                     yield pa.RecordBatch.from_arrays([pa.array([x[ok].tobytes()], pa.binary()) for x in (h, c, lp)], ["hash", "train", "lp"])
 
-    rows = table.select("hash", "train", "lp").mapInArrow(run, "hash binary, train binary, lp binary").collect()
+    rows = table.select("hash", "train", "lp").mapInArrow(tidy(run), "hash binary, train binary, lp binary").collect()
     join = lambda name, kind: np.frombuffer(b"".join(bytes(r[name]) for r in rows), kind)
     return join("hash", "<u8"), join("train", "<i8"), join("lp", "<f8")
 
@@ -502,7 +502,7 @@ def _score(docs: DataFrame, vocabulary: str, rounds: int) -> DataFrame:
 
     null = lambda *cols: [F.lit(None).cast(t).alias(c) for c, t in cols]
     words = table.select("slice", F.lit(1).alias("kind"), F.col("hash").alias("a"), F.col("train").alias("b"), F.col("lp").alias("c"), *null(("doc_id", "long"), ("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("lp", "double")))
-    met = docs.select("doc_id", "text").mapInArrow(look, PARTS).union(words).repartition("slice").sortWithinPartitions("slice", "kind")
-    parts = met.mapInArrow(meet, "doc_id long, n_tokens long, n_known long, base double, lp double")
+    met = docs.select("doc_id", "text").mapInArrow(tidy(look), PARTS).union(words).repartition("slice").sortWithinPartitions("slice", "kind")
+    parts = met.mapInArrow(tidy(meet), "doc_id long, n_tokens long, n_known long, base double, lp double")
     out = parts.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), (F.sum("lp") / math.log(10)).alias("score"))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, tidy
 
 LINE, TILE = 24, 576
 SCHEME = "media:"
@@ -143,7 +143,7 @@ def parse(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sequence(x.as_py()) for x in b.column(1)], kind)], ["id", "items"])
 
     source = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, items {ITEM}")
+    return source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, items {ITEM}")
 
 
 def references(sequences: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def media_table(docs: DataFrame, payload_col: str) -> DataFrame:
         if rows:
             yield flush()
 
-    return docs.select(F.col(payload_col).cast("binary").alias("payload")).mapInArrow(run, "digest string, n_bytes long, media binary")
+    return docs.select(F.col(payload_col).cast("binary").alias("payload")).mapInArrow(tidy(run), "digest string, n_bytes long, media binary")
 
 
 def store(docs: DataFrame, payload_col: str) -> DataFrame:
@@ -243,7 +243,7 @@ def media_features(media: DataFrame) -> DataFrame:
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["digest", "n_bytes", *names])
 
-    return media.mapInArrow(run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(tidy(run), "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def resolved_payloads(media: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import WORD, drop_saved, keep_matching, keyed, plain_ids, saved
+from .common import WORD, drop_saved, keep_matching, keyed, plain_ids, saved, tidy
 from .filters import contains, id_hash, members, repeated
 from .graph import components
 
@@ -97,7 +97,7 @@ def rarity_counts(docs: DataFrame, n: int = WORDS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "data"])
 
     out = np.zeros(size, np.int64)
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(send, "slice int, data binary").repartition("slice").mapInArrow(add, "slice int, data binary").collect():
+    for r in docs.select(F.col("text").cast("string")).mapInArrow(tidy(send), "slice int, data binary").repartition("slice").mapInArrow(tidy(add), "slice int, data binary").collect():
         out[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(r["data"], np.int64)
     return out
 
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame, rarity, n: int = WORDS, percent: int = PERCENT)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size, pa.int32()), pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.array(prefix, pa.binary()), pa.array([x.tobytes() for x in bins], pa.binary())], ["doc_id", "n", "f", "g", "prefix", "sketch"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n int, f long, g long, prefix binary, sketch binary")
+    return source.mapInArrow(tidy(run), "doc_id long, n int, f long, g long, prefix binary, sketch binary")
 
 
 def postings(reps: DataFrame, shared) -> DataFrame:
@@ -145,7 +145,7 @@ def postings(reps: DataFrame, shared) -> DataFrame:
             token, row, pos = token[ok], row[ok], pos[ok]
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[row]), pa.array(sizes[row], pa.int32()), pa.array(pos, pa.int32())], ["token", "rep", "n", "pos"])
 
-    return reps.select("doc_id", "n", "prefix").mapInArrow(run, "token long, rep long, n int, pos int")
+    return reps.select("doc_id", "n", "prefix").mapInArrow(tidy(run), "token long, rep long, n int, pos int")
 
 
 def _may_link(na, nb, overlap, percent: int = PERCENT):
@@ -170,7 +170,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, column: str, n: int = WORDS) -> Dat
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([s[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "shingles"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return source.mapInArrow(run, "id long, shingles binary")
+    return source.mapInArrow(tidy(run), "id long, shingles binary")
 
 
 def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -185,7 +185,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int = WO
             ok = full | _may_link(na, nb, np.minimum(x, y).sum(1, dtype=np.int64), percent)
             yield b.filter(pa.array(ok)).select(["a", "b"])
 
-    near = saved(pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, "a long, b long"), "ngram-near", True)
+    near = saved(pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(bound), "a long, b long"), "ngram-near", True)
     whole = saved(sets_of(docs, near.select(F.col("a").alias("id")).union(near.select("b")), "id", n), "ngram-sets", True)
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int = WO
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     wa, wb = (whole.select(F.col("id").alias(x), F.col("shingles").alias(f"w{x}")) for x in "ab")
-    links = saved(near.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(overlap, "a long, b long"), "ngram-links", True)
+    links = saved(near.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(tidy(overlap), "a long, b long"), "ngram-links", True)
     drop_saved(near, whole)
     return links
 
@@ -278,7 +278,7 @@ def block_pairs(post: DataFrame, found: DataFrame, sketches: DataFrame, percent:
                         yield from _meet(tuple(x[k : min(k + BLOCK, j)] for x in (rep, comp, n, pos, sketch)), block, percent)
 
     dealt = rows.repartition("token", "zone", "block").sortWithinPartitions("token", "zone", "block", "side")
-    out = saved(dealt.mapInArrow(product, "a long, b long").distinct(), "ngram-pairs", True)
+    out = saved(dealt.mapInArrow(tidy(product), "a long, b long").distinct(), "ngram-pairs", True)
     drop_saved(all_, mixed, open_, sizes)
     return out
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import drop_saved, keyed, plain_ids, saved
+from .common import drop_saved, keyed, plain_ids, saved, tidy
 from .filters import contains, id_hash, members, repeated
 from .prefix import ranged_prefix
 
@@ -126,7 +126,7 @@ def anchor_counts(each: Each, width: int, bits: int) -> tuple[np.ndarray, np.nda
     seen = repeated(made.where("kind = 0"), "data")
     counts = np.zeros(len(LEVELS) * size, np.int64)
     part = size // 16
-    for r in made.where("kind > 0").repartition("kind").mapInArrow(add, "kind int, data binary").collect():
+    for r in made.where("kind > 0").repartition("kind").mapInArrow(tidy(add), "kind int, data binary").collect():
         counts[(r["kind"] - 1) * part : r["kind"] * part] = np.frombuffer(r["data"], np.int64)
     drop_saved(made)
     return seen, counts.reshape(len(LEVELS), size)
@@ -285,7 +285,7 @@ def repeats(sc: SparkContext, each: Each, width: int = WIDTH, bits: int = COUNTE
             yield _marks(*_later_leaves(rows, width))
 
     rows = suffix_rows(each, plan, width).repartition("key").sortWithinPartitions("key", "deep", "doc_id", "start")
-    return rows.mapInArrow(run, "doc_id long, starts binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, starts binary")
 
 
 def _marks(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -323,7 +323,7 @@ def _remove(docs: DataFrame, width: int) -> DataFrame:
     drop_saved(digests)
     marked = sc.broadcast(members(copies, "copy"))
     unsure = only(docs, marked).join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
-    marks = saved(repeats(sc, lambda f, kind: docs.mapInArrow(unless(marked, f), kind).union(unsure.mapInArrow(f, kind)), width, bits), "substring-marks", True)
+    marks = saved(repeats(sc, lambda f, kind: docs.mapInArrow(tidy(unless(marked, f)), kind).union(unsure.mapInArrow(tidy(f), kind)), width, bits), "substring-marks", True)
     touched = sc.broadcast(members(copies.select("copy").union(marks.select("doc_id")), "copy"))
     maybe = only(docs, touched)
     mine = marks.groupBy(F.col("doc_id").alias("_marked")).agg(F.collect_list("starts").alias("starts"))
@@ -336,7 +336,7 @@ def _remove(docs: DataFrame, width: int) -> DataFrame:
                 yield _left_over(whole.slice(lo, _ROWS), width)
             pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(unless(touched, run), schema).union(maybe.select("doc_id", "text", "copy", "starts").mapInArrow(run, schema))
+    return docs.mapInArrow(tidy(unless(touched, run)), schema).union(maybe.select("doc_id", "text", "copy", "starts").mapInArrow(tidy(run), schema))
 
 
 def _left_over(b: pa.RecordBatch, width: int) -> pa.RecordBatch:
@@ -374,7 +374,7 @@ def _chosen(batches: Iterator[pa.RecordBatch], ids, wanted: bool) -> Iterator[pa
 
 def only(docs: DataFrame, ids) -> DataFrame:
     """Rows whose id is in the bitmap, and a few others."""
-    return docs.mapInArrow(lambda batches: _chosen(batches, ids, True), docs.schema)
+    return docs.mapInArrow(tidy(lambda batches: _chosen(batches, ids, True)), docs.schema)
 
 
 def unless(ids, f: Callable) -> Callable:

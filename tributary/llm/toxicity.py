@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import drop_saved, saved
+from .common import drop_saved, saved, tidy
 
 #: Labelled rows that the classifier is fitted on, at most; neighbours; examples per block; blocks that are scored first.
 SAMPLE, NEIGHBOURS, BLOCK, FIRST = 2048, 15, 64, 2
@@ -253,7 +253,7 @@ def sample_terms(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataF
     # at most ``sample`` rows of two numbers: a bounded broadcast
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     joined = joined.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text"))["text"].alias("text"))
-    rows = saved(joined.mapInArrow(run, "doc_id long, toxic int, terms binary, counts binary"), "tox-terms", True)
+    rows = saved(joined.mapInArrow(tidy(run), "doc_id long, toxic int, terms binary, counts binary"), "tox-terms", True)
     drop_saved(one, picked)
     return rows, sizes
 
@@ -270,7 +270,7 @@ def document_frequencies(docs: DataFrame, terms) -> tuple[int, np.ndarray]:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(df[some], n))], ["term", "n"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     at, n = found["term"].to_numpy(), found["n"].to_numpy()
     out = np.zeros(len(terms.value), np.int64)
     out[at[at >= 0]] = n[at >= 0]
@@ -339,4 +339,4 @@ def score(docs: DataFrame, model: Model, held_out: Column | None = None) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.clip(out, 0, 1)), pa.array((out >= THRESHOLD).astype(np.int32)), pa.array(names, pa.list_(pa.int64())), pa.array(cos)], ["doc_id", "held_out", "score", "predicted", "evidence", "closeness"])
 
     source = docs.select("doc_id", (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, evidence array<long>, closeness double")
+    return source.mapInArrow(tidy(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, evidence array<long>, closeness double")
