@@ -40,7 +40,7 @@ def test_fraud(spark):
 def test_carts(spark):
     rows = [(1, "u1", "add", "shoes", 0.0), (2, "u1", "add", "socks", 0.1), (3, "u2", "add", "laptop", 0.2), (4, "u2", "checkout", None, 0.3), (5, "u3", "add", "phone", 0.4)]
     df = spark.createDataFrame(rows, "seq long, u string, kind string, item string, t double")
-    got = folds.keyed_fold(df, "u", ["seq"], folds.cart_step("t", "kind", "item", "u", 1), "u string, first_ts double, items string", folds.cart_end("u"))
+    got = folds.timed_fold(df, "u", "t", ["seq"], folds.Carts("t", "kind", "item", "u", 1), "u string, first_ts double, items array<string>").withColumn("items", F.array_join("items", ","))
     assert sorted(out(got, "u", "items")) == [("u1", "shoes,socks"), ("u3", "phone")]
 
 
@@ -51,9 +51,47 @@ def test_running_top(spark):
     assert sorted(out(got, "seq", "top"))[-1] == (7, "C:6,D:4,A:3")
 
 
+def test_running_top_by_ranges(spark):
+    """Ranges folded each by itself give what one fold of all rows gives."""
+    rows = [(i, "abcdefg"[i * i % 7], (i * 37) % 11) for i in range(500)]
+    df = spark.createDataFrame(rows, "seq long, p string, inc long").repartition(3)
+    whole = folds.keyed_fold(df, None, ["seq"], folds.top_step("p", "inc", "seq", 3), "seq long, top string")
+    got = folds.running_top(df, "p", "inc", "seq", 3)
+    assert sorted(out(got, "seq", "top")) == sorted(out(whole, "seq", "top"))
+    assert folds.running_top(df.where("false"), "p", "inc", "seq", 3).count() == 0
+
+
+def test_timers(spark):
+    class Echo(folds.Logic):
+        """Emits what it holds 10 seconds after the last row, and at the end."""
+
+        def on_item(self, state, row):
+            return [], (row["k"], row["t"], [*(state[2] if state else []), row["v"]])
+
+        def notify_at(self, state):
+            return state[1] + 10
+
+        def on_notify(self, state, at):
+            return [{"k": state[0], "held": state[2], "why": "timer"}], None
+
+        def on_eof(self, state):
+            return [{"k": state[0], "held": state[2], "why": "end"}]
+
+    rows = [("a", 0.0, 1), ("a", 5.0, 2), ("a", 15.0, 3), ("a", 25.5, 4), ("b", 3.0, 9)]
+    got = folds.timed_fold(spark.createDataFrame(rows, "k string, t double, v int"), "k", "t", ["t"], Echo(), "k string, held array<int>, why string")
+    assert sorted(out(got, "k", "held", "why")) == [("a", [1, 2, 3], "timer"), ("a", [4], "end"), ("b", [9], "end")]
+
+
+def test_join_clears(spark):
+    rows = [(1, "u", "l", "1"), (2, "u", "r", "2"), (3, "u", "r", "3"), (4, "u", "l", "4")]
+    df = spark.createDataFrame(rows, "seq long, k string, side string, v string")
+    run = lambda clear: out(folds.keyed_fold(df, "k", ["seq"], folds.join_step("side", ["l", "r"], "v", "k", clear), "k string, l string, r string"), "l", "r")
+    assert run(True) == [("1", "2"), ("4", "3")] and run(False) == [("1", "2"), ("1", "3"), ("4", "3")]
+
+
 def test_union_find_and_components(spark):
     df = spark.createDataFrame([(1, "A", "B"), (2, "B", "C"), (3, "A", "C"), (4, "D", "E"), (5, "C", "E")], "seq long, u string, v string")
-    got = folds.keyed_fold(df, None, ["seq"], folds.union_step("u", "v", "seq"), "seq long, status string, size int")
+    got = folds.keyed_fold(df, None, ["seq"], folds.union_step("u", "v", "seq"), "seq long, u string, v string, status string, new_component_size int, component_size int").withColumn("size", F.coalesce("new_component_size", "component_size"))
     assert sorted(out(got, "seq", "status", "size")) == [(1, "merged", 2), (2, "merged", 3), (3, "already_connected", 3), (4, "merged", 2), (5, "merged", 5)]
     assert {c for _, c in out(folds.components(df), "node", "component")} == {"A"}
 

@@ -25,7 +25,7 @@ def duck(data):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, data, duck, name):
     got = rows(QUERIES[name](spark, data).toPandas())
-    assert got[1] or name in ("join_window",)
+    assert got[1] or name in ("join_window", "stream_join")
     if name in ORACLES:
         assert got == rows(duck.sql(ORACLES[name]).df())
 

@@ -64,13 +64,16 @@ def test_collect_emits_full_batches(spark, tmp_path):
     assert sorted(n for n, _ in seen) == [2, 3]
 
 
-def test_late_rows_are_split(spark):
+def test_late_rows_are_split(spark, tmp_path):
     got = {"on_time": [], "late": []}
     state = {k: (lambda df, i, k=k: got[k].extend(r["x"] for r in df.collect())) for k in got}
-    write = twins.split_late(state, "ts", 5)
-    for i, rows in enumerate(([(1, 10), (2, 20)], [(3, 14), (4, 16), (5, None)])):
-        write(spark.createDataFrame(rows, "x int, s long").select("x", F.timestamp_seconds("s").alias("ts")), i)
+    log = str(tmp_path / "watermark")
+    for i, rows in enumerate(([(1, 10), (2, 20)], [(3, 14), (4, 16), (5, None)])):  # each batch by a process of its own
+        twins.split_late(state, "ts", 5, log)(spark.createDataFrame(rows, "x int, s long").select("x", F.timestamp_seconds("s").alias("ts")), i)
     assert (sorted(got["on_time"]), got["late"]) == ([1, 2, 4, 5], [3])
+    got["late"].clear()
+    twins.split_late(state, "ts", 5, log)(spark.createDataFrame([(3, 14), (6, 99)], "x int, s long").select("x", F.timestamp_seconds("s").alias("ts")), 1)  # again
+    assert got["late"] == [3]
 
 
 def test_stream_join(spark, tmp_path):

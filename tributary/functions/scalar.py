@@ -46,5 +46,15 @@ def is_json(doc: Column) -> Column:
 
 
 def route_hash(key: Column, parts: int) -> Column:
-    """Stable part number of a key."""
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts)).cast("int")
+    """Stable part number of a key: the first eight hexadecimal digits of its md5, as any engine can compute them."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(parts)).cast("int")
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+
+
+def rstrip(text: Column, characters: str = "\r\n") -> Column:
+    """Without any of these characters at the end."""
+    return F.rtrim(text, F.lit(characters))

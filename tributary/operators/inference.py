@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 
 
 def load_embedder(dimensions: int):
-    import zlib
+    import hashlib
 
     import numpy as np
 
     def embed(text: str | None) -> list[float]:
         v = np.zeros(dimensions, np.float32)
-        for word in (text or "").split():
-            h = zlib.crc32(word.encode())
-            v[h % dimensions] += 1 if h & (1 << 31) else -1
+        for word in (text or "").encode().split():
+            h = int(hashlib.md5(word, usedforsecurity=False).hexdigest()[:8], 16)
+            v[h // 2 % dimensions] += 1 if h % 2 else -1
         return (v / max(float(np.linalg.norm(v)), 1e-9)).tolist()
 
     return embed

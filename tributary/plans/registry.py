@@ -6,44 +6,18 @@ ties are broken explicitly.  ``SQL`` is for DuckDB over views of the same files.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import capitalise, fixed2, is_json, iso_z, json_field, last_part, offset_text, route_hash
+from ..functions.scalar import capitalise, fixed2, is_json, iso_z, json_field, last_part, offset_text, parse_iso, route_hash, rstrip, strip
 from ..operators import aggregates as A
 from ..operators import folds, inference, joins, shape
 from ..operators import windows as W
+from .base import ORACLES, QUERIES, Z, events, query, seconds, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-Z = "'%Y-%m-%dT%H:%M:%SZ'"
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events")
-
-
-def seconds(ts: str = "ts"):
-    """Epoch seconds of a timestamp without zone."""
-    return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # ---- event-time windows ----
 
@@ -200,12 +174,41 @@ def sort_limit(spark, sf_dir):
     return o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", F.round("o_totalprice", 2).alias("price"))
 
 
-@query()
+@query("select cast(h % 4 as int) as part, count(*) as n, count(distinct user_id) as users from (select user_id, ('0x' || md5(cast(user_id as varchar))[1:8])::bigint as h from events) group by 1")
 def routed_parts(spark, sf_dir):
-    """Stable hash routing to 4 parts (no crc32 in the oracle's SQL; tested against zlib)."""
+    """Stable hash routing to 4 parts."""
     return events(spark, sf_dir).groupBy(route_hash(F.col("user_id"), 4).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
 
 
+@query("""select cast(user_id as varchar) as kept, event_id, round(value * 2, 4) as doubled, upper(event_type) as kind from events where value * 2 > 50""")
+def map_and_rekey(spark, sf_dir):
+    """Rows and values mapped, keyed, filtered by value; the key taken off again and put on under another name."""
+    e = shape.map_columns(events(spark, sf_dir), doubled=F.round(F.col("value") * 2, 4), kind=F.upper("event_type"))
+    e = shape.keep(shape.key_on(e, F.col("user_id")), F.col("value") * 2 > 50)
+    return shape.key_on(shape.key_rm(e), F.col("user_id"), "kept").select("kept", "event_id", "doubled", "kind")
+
+
+@query("""select event_id, trim(s, ' ' || chr(9) || chr(10)) as stripped, rtrim(s, chr(10)) as chopped, string_split(s, ' ')[2] as part
+ from (select event_id, ' ' || event_type || ' x ' || chr(10) as s from events)""")
+def strip_and_split(spark, sf_dir):
+    e = events(spark, sf_dir).select("event_id", F.concat(F.lit(" "), "event_type", F.lit(" x \n")).alias("s"))
+    return e.select("event_id", strip(F.col("s")).alias("stripped"), rstrip(F.col("s")).alias("chopped"), F.split("s", " ")[1].alias("part"))
+
+
+@query("""select event_id, cast(epoch_us(ts) // 1000000 as bigint) as at, true as malformed from events""")
+def iso_times(spark, sf_dir):
+    """ISO texts with Z parsed; malformed ones are null."""
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return events(spark, sf_dir).select("event_id", F.unix_seconds(parse_iso(text)).alias("at"), parse_iso(F.concat(F.lit("x"), text)).isNull().alias("malformed"))
+
+
+@query("select count(*) as n, true as stamped from events")
+def ingest_time(spark, sf_dir):
+    """The system clock: every row of a batch carries the time at which it runs."""
+    e = shape.with_ingest_time(events(spark, sf_dir))
+    return e.agg(F.count(F.lit(1)).alias("n"), ((F.min("ingested") == F.max("ingested")) & (F.abs(F.unix_seconds(F.max("ingested")) - F.unix_seconds(F.current_timestamp())) < 60)).alias("stamped"))
+
+
 # ---- joins ----
 
 _LATEST = "(select cast({k} as varchar) as key, arg_max({v}, {o}) as {n} from {t} {w} group by 1)"
@@ -338,14 +341,14 @@ _BUCKET = """with recursive e as materialized (select *, {cost} as cost from {se
 @query(_BUCKET.format(seq=_SEQ, cost="1.0::double", cap=2, rate="(1.0 / 28800)::double", out="select event_id, user_id from r where ok"))
 def token_bucket_drop(spark, sf_dir):
     step = folds.bucket_step(2.0, 1.0 / 28800, "t", ["event_id", "user_id"])
-    return folds.keyed_fold(_folded(spark, sf_dir), "user_id", ["t", "event_id"], step, "event_id long, user_id long")
+    return folds.keyed_fold(_folded(spark, sf_dir), "user_id", ["t", "event_id"], step, "event_id long, user_id long", uses=[])
 
 
 @query(_BUCKET.format(seq=_SEQ, cost=f"case when event_type = 'error' then -1.0 else {_K} / 10.0 end::double", cap=10, rate="(1.0 / 8192)::double", out="select event_id, user_id, ok as allowed from r"))
 def token_bucket_label(spark, sf_dir):
     e = _folded(spark, sf_dir).withColumn("cost", F.when(F.col("event_type") == "error", -1.0).otherwise(F.col("k") / 10.0))
     step = folds.bucket_step(10.0, 1.0 / 8192, "t", ["event_id", "user_id"], "cost", "allowed")
-    return folds.keyed_fold(e, "user_id", ["t", "event_id"], step, "event_id long, user_id long, allowed boolean")
+    return folds.keyed_fold(e, "user_id", ["t", "event_id"], step, "event_id long, user_id long, allowed boolean", uses=["cost"])
 
 
 _KIND = "case event_type when 'signup' then 'login' when 'error' then 'logout' else 'transaction' end"
@@ -362,23 +365,82 @@ def fraud_alerts(spark, sf_dir):
     kind = F.when(F.col("event_type") == "signup", "login").when(F.col("event_type") == "error", "logout").otherwise("transaction")
     e = _folded(spark, sf_dir).withColumn("kind", kind)
     step = folds.fraud_step("t", "kind", "value", "user_id", 3, 20, 86400)
-    return folds.keyed_fold(e, "user_id", ["t", "event_id"], step, "user_id long, login_ts double, alert_ts double")
+    return folds.keyed_fold(e, "user_id", ["t", "event_id"], step, "user_id long, login_ts double, alert_ts double", uses=["kind", "value"])
 
 
-@query()
+_CART = "case event_type when 'click' then 'add' when 'purchase' then 'checkout' else 'other' end"
+
+
+@query(f"""with recursive e as materialized (select *, {_CART} as kind, max(rn) over (partition by user_id) as last from {_SEQ}), r as (
+ select user_id, rn, last, case when kind = 'add' then t end as first, case when kind = 'add' then cast(event_id as varchar) end as items, null::double as gone, null::varchar as lost from e where rn = 1
+ union all select user_id, rn, last, case when kind = 'checkout' then null when kind = 'add' then coalesce(kept, t) else kept end,
+ case when kind = 'checkout' then null when kind = 'add' then concat_ws(',', case when kept is not null then items end, cast(event_id as varchar)) when kept is not null then items end,
+ case when kept is null then first end, case when kept is null and first is not null then items end
+ from (select e.*, r.first, r.items, case when e.t <= r.first + 86400 then r.first end as kept from r join e on e.user_id = r.user_id and e.rn = r.rn + 1))
+ select user_id, gone as first_ts, lost as items from r where gone is not null union all select user_id, first, items from r where rn = last and first is not null""")
 def abandoned_carts(spark, sf_dir):
-    """Carts without a purchase within a day of their first item (wall-clock semantics have no SQL form)."""
+    """Carts without a purchase within a day of their first item, or at the end of input, by a timer per user."""
     kind = F.when(F.col("event_type") == "click", "add").when(F.col("event_type") == "purchase", "checkout").otherwise("other")
     e = _folded(spark, sf_dir).withColumn("kind", kind)
-    step = folds.cart_step("t", "kind", "event_id", "user_id", 86400)
-    return folds.keyed_fold(e, "user_id", ["t", "event_id"], step, "user_id long, first_ts double, items string", folds.cart_end("user_id"))
-
-
-@query()
+    out = folds.timed_fold(e, "user_id", "t", ["t", "event_id"], folds.Carts("t", "kind", "event_id", "user_id", 86400), "user_id long, first_ts double, items array<string>", ["kind"])
+    return out.select("user_id", "first_ts", F.array_join("items", ",").alias("items"))
+
+
+@query(f"select user_id, cast(sum(case when rn % 2 = 1 then floor(value) else -floor(value) end) as bigint) as balance, count(*) as n from {_SEQ} group by user_id")
+def fold_final(spark, sf_dir):
+    """An opaque fold in order: values are added and taken away in turn."""
+
+    def add(state, row):
+        total, n = state
+        return (total + (1 if n % 2 == 0 else -1) * math.floor(row["value"]), n + 1)
+
+    return folds.fold_final(_folded(spark, sf_dir), "user_id", ["t", "event_id"], lambda: (0, 0), add, lambda k, s: {"user_id": k, "balance": s[0], "n": s[1]}, "user_id long, balance long, n long", ["value"])
+
+
+@query(f"""select event_type, strftime(time_bucket(interval '1 day', ts), {Z}) as window_start, round(max(value) - min(value), 4) as spread, arg_max(event_id, (ts, event_id)) as last
+ from events group by event_type, time_bucket(interval '1 day', ts)""")
+def fold_window(spark, sf_dir):
+    """An opaque fold per tumbling window: builder, folder, and a merger of the stretches that a window is folded by."""
+    out = W.fold_window(
+        events(spark, sf_dir).select("event_type", "ts", "event_id", "value"), "event_type", "ts", ["ts", "event_id"], lambda: (math.inf, -math.inf, None),
+        lambda s, r: (min(s[0], r["value"]), max(s[1], r["value"]), r["event_id"]), lambda s, t: (min(s[0], t[0]), max(s[1], t[1]), t[2]),
+        lambda k, start, end, s: {"event_type": k, "start": start, "spread": s[1] - s[0], "last": s[2]}, "event_type string, start double, spread double, last long", length=86400,
+    )
+    return out.select("event_type", iso_z(F.timestamp_seconds("start")).alias("window_start"), F.round("spread", 4).alias("spread"), "last")
+
+
+@query(f"{_SESSIONS} select user_id, strftime(min(ts), {Z}) as session_start, strftime(max(ts), {Z}) as session_end, string_agg(event_type, ',' order by ts, event_id) as activity from s group by user_id, sid")
+def fold_session(spark, sf_dir):
+    """An opaque fold per session; stretches of an hour are merged where no gap parts them."""
+    out = W.fold_window(
+        events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", ["ts", "event_id"], list, lambda s, r: [*s, r["event_type"]], lambda s, t: s + t,
+        lambda k, start, end, s: {"user_id": k, "first": start, "last": end, "activity": ",".join(s)}, "user_id long, first double, last double, activity string", gap=6 * 3600,
+    )
+    return out.select("user_id", iso_z(F.timestamp_seconds("first")).alias("session_start"), iso_z(F.timestamp_seconds("last")).alias("session_end"), "activity")
+
+
+@query(f"""with recursive e as materialized (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) as rn from events where event_type in ('view', 'click')),
+ r as (select user_id, rn, case when event_type = 'view' then event_id end as v, case when event_type = 'click' then event_id end as c, false as done, event_id from e where rn = 1
+ union all select user_id, rn, case when event_type = 'view' then event_id else v end, case when event_type = 'click' then event_id else c end,
+ case when event_type = 'view' then c is not null else v is not null end, event_id
+ from (select e.*, case when not r.done then r.v end as v, case when not r.done then r.c end as c from r join e on e.user_id = r.user_id and e.rn = r.rn + 1))
+ select cast(user_id as varchar) as key, cast(v as varchar) as view, cast(c as varchar) as click from r where done""")
+def join_and_clear(spark, sf_dir):
+    """A join of one merged stream that emits when both sides are there and then forgets them."""
+    e = shape.key_on(events(spark, sf_dir).where("event_type in ('view', 'click')"), F.col("user_id")).withColumn("v", F.col("event_id").cast("string"))
+    step = folds.join_step("event_type", ["view", "click"], "v", "key", clear=True)
+    return folds.keyed_fold(e, "key", ["ts", "event_id"], step, "key string, view string, click string", uses=["event_type", "v"])
+
+
+@query("""with s as (select e.event_id, t.event_type, sum(case when e.event_type = t.event_type then floor(e.value) end) over (partition by t.event_type order by e.event_id) as n
+ from events e cross join (select distinct event_type from events) t),
+ k as (select *, row_number() over (partition by event_id order by n desc, event_type) as place from s where n is not null),
+ p as (select event_id as seq, string_agg(event_type || ':' || cast(n as bigint), ',' order by place) as top from k where place <= 3 group by event_id)
+ select seq, top from (select *, lag(top) over (order by seq) as old from p) where old is null or top <> old""")
 def running_top_k(spark, sf_dir):
-    """The running top 3 of event types by summed value, whenever it changes; global by nature."""
+    """The running top 3 of event types by summed value, whenever it changes."""
     e = events(spark, sf_dir).select("event_id", "event_type", F.floor("value").cast("long").alias("inc"))
-    return folds.keyed_fold(e, None, ["event_id"], folds.top_step("event_type", "inc", "event_id", 3), "seq long, top string")
+    return folds.running_top(e, "event_type", "inc", "event_id", 3)
 
 
 def _edges(spark, sf_dir) -> DataFrame:
@@ -387,10 +449,20 @@ def _edges(spark, sf_dir) -> DataFrame:
     return s.unionByName(n)
 
 
-@query()
+@query("""with c as (select n_nationkey as n, n_regionkey as r, (select count(*) from supplier where s_nationkey = n_nationkey) as k from nation),
+ z as (select r, sum(k + 1) + 1 as size from c group by r),
+ e as (select s_suppkey as seq, 'S' || s_suppkey as u, 'N' || s_nationkey as v, 'merged","new_' as what, 1 + count(*) over (partition by s_nationkey order by s_suppkey) as n from supplier
+ union all select 1000000000 + n, 'N' || n, 'R' || r, 'merged","new_', 1 + sum(k + 1) over (partition by r order by n) from c
+ union all select 2000000000 + s_suppkey, 'S' || s_suppkey, 'R' || r, 'already_connected","', size from supplier join c on s_nationkey = n join z using (r))
+ select seq, '{"u":"' || u || '","v":"' || v || '","status":"' || what || 'component_size":' || cast(n as bigint) || '}' as line from e""")
 def union_find(spark, sf_dir):
     """What each edge does to the components so far; one ordered stream, global by nature."""
-    return folds.keyed_fold(_edges(spark, sf_dir), None, ["seq"], folds.union_step("u", "v", "seq"), "seq long, status string, size int")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    again = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    again = again.select((F.col("s_suppkey") + 2 * 10**9).cast("long").alias("seq"), F.concat(F.lit("S"), "s_suppkey").alias("u"), F.concat(F.lit("R"), "n_regionkey").alias("v"))
+    edges = _edges(spark, sf_dir).unionByName(again)
+    out = folds.keyed_fold(edges, None, ["seq"], folds.union_step("u", "v", "seq"), "seq long, u string, v string, status string, new_component_size int, component_size int")
+    return out.select("seq", F.to_json(F.struct("u", "v", "status", "new_component_size", "component_size")).alias("line"))
 
 
 @query("""with e as (select 'S' || s_suppkey as u, 'N' || s_nationkey as v from supplier union all select 'N' || n_nationkey, 'R' || n_regionkey from nation),
@@ -405,12 +477,16 @@ def components_final(spark, sf_dir):
 # ---- inference ----
 
 
-@query()
+@query(r"""with w as (select doc_id, ('0x' || md5(word)[1:8])::bigint as h from (select doc_id, unnest(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as word from documents)),
+ v as (select doc_id, h // 2 % 384 as d, sum(case when h % 2 = 1 then 1 else -1 end) as n from w group by 1, 2),
+ t as (select doc_id, sum(n * n) as s, arg_min(d, (-abs(n), d)) as top from v group by 1)
+ select doc_id, 384 as dimensions, case when coalesce(s, 0) = 0 then 0.0::double else 1.0::double end as norm, cast(case when coalesce(s, 0) = 0 then 0 else top end as int) as strongest from documents left join t using (doc_id)""")
 def embeddings(spark, sf_dir):
-    """A deterministic stand-in embedder: shape and norm only."""
+    """A deterministic stand-in embedder: shape, norm and strongest dimension."""
     out = inference.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    size = F.transform("embedding", lambda x: F.abs(x))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return out.select("doc_id", F.size("embedding").alias("dimensions"), F.round(norm, 3).alias("norm"))
+    return out.select("doc_id", F.size("embedding").alias("dimensions"), F.round(norm, 3).alias("norm"), (F.array_position(size, F.array_max(size)) - 1).cast("int").alias("strongest"))
 
 
 @query("""select 'lines' as kind, count(*) as n, sum(case when try_cast(props as json) is not null then 1 else 0 end)::bigint as valid from events""")
@@ -418,3 +494,6 @@ def inspect_counts(spark, sf_dir):
     """An observed pass over the rows (the tap changes nothing)."""
     e = shape.inspect(events(spark, sf_dir), "tap", rows=F.count(F.lit(1)))
     return e.agg(F.lit("lines").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum(is_json(F.col("props")).cast("int")).alias("valid"))
+
+
+from . import exchange, streams  # noqa: E402, F401  they add their queries to the registry

@@ -15,7 +15,7 @@ class Part(InputPartition):
 
 
 class Span(InputPartition):
-    """Lines ``start`` to ``end`` of one file."""
+    """Bytes ``start`` to ``end`` of one file, which are whole lines."""
 
     def __init__(self, file: str, start: int, end: int):
         self.file, self.start, self.end = file, start, end
@@ -158,7 +158,11 @@ class WorkerFilesReader(DataSourceReader):
 
 
 class ResumableFiles(DataSource):
-    """``resumable_files``: option path; a stream of (file, line) whose offset is the lines read of every file."""
+    """``resumable_files``: option path; a stream of (file, line) whose offset is the bytes read of every file.
+
+    A last line without its line feed is still being written: it waits for the
+    trigger that finds it complete.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -171,30 +175,46 @@ class ResumableFiles(DataSource):
         return ResumableReader(self.options)
 
 
+def _whole_lines(path: str, size: int, block: int = 1 << 16) -> int:
+    """Bytes up to the last line feed within the first ``size`` of a file, found from its end."""
+    with open(path, "rb") as f:
+        while size > 0:
+            lo = max(0, size - block)
+            f.seek(lo)
+            at = f.read(size - lo).rfind(b"\n")
+            if at >= 0:
+                return lo + at + 1
+            size = lo
+    return 0
+
+
 class ResumableReader(DataSourceStreamReader):
     def __init__(self, options):
         self.path = options["path"]
+        self.known: dict[str, tuple[int, int]] = {}  # size and whole lines of each file when it was last looked at
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        out = {}
         for name in sorted(os.listdir(self.path)):
-            with open(os.path.join(self.path, name), "rb") as f:
-                out[name] = sum(1 for _ in f)
-        return out
+            path = os.path.join(self.path, name)
+            size = os.path.getsize(path)
+            if self.known.get(name, (-1,))[0] != size:
+                self.known[name] = (size, _whole_lines(path, size))
+        return {name: lines for name, (_, lines) in sorted(self.known.items()) if lines}
 
     def partitions(self, start: dict, end: dict):
         return [Span(n, start.get(n, 0), k) for n, k in end.items() if k > start.get(n, 0)]
 
     def read(self, partition):
-        with open(os.path.join(self.path, partition.file), encoding="utf-8") as f:
-            for i, line in enumerate(f):
-                if i >= partition.end:
-                    return
-                if i >= partition.start:
-                    yield partition.file, line.rstrip("\n")
+        with open(os.path.join(self.path, partition.file), "rb") as f:
+            f.seek(partition.start)
+            left = partition.end - partition.start
+            while left > 0:
+                line = f.readline()
+                left -= len(line)
+                yield partition.file, line.decode("utf-8").rstrip("\r\n")
 
     def commit(self, end: dict) -> None:
         """Nothing to do: files stay, and the engine logs offsets."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import sqlite3
 import zlib
 from collections.abc import Callable, Iterator
@@ -88,29 +89,63 @@ def part_of(key: str, parts: int) -> int:
 def keyed_files(directory: str, key: str, parts: int) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink with one file per part; a batch that is run again replaces its own lines.
 
-    Each part keeps a log of (batch, length before it), so a rerun truncates
-    the file to that length first.
+    Tasks write each part's lines of a batch to a file of that part and batch,
+    in the order of the rows; these are then appended to the parts.  Each part
+    keeps a log of (batch, length before it), so a rerun truncates the file to
+    that length first.  The directory must be mounted where tasks run.
     """
     os.makedirs(directory, exist_ok=True)
 
     def write(df: DataFrame, batch: int) -> None:
-        out: dict[int, list[str]] = {}
-        for row in df.select(F.col(key).cast("string").alias("k"), F.to_json(F.struct(*df.columns)).alias("v")).toLocalIterator():
-            out.setdefault(part_of(row["k"], parts), []).append(row["v"])
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = [part_of(k, parts) for k in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), b.column(0), b.column(2)], ["part", "turn", "line"])
+
+        def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, f, done = None, None, []
+
+            def close() -> None:
+                f.close()
+                os.replace(f.name, _segment(directory, at, batch))
+                done.append(at)
+
+            for b in batches:
+                for p, line in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    if p != at:
+                        if f:
+                            close()
+                        at = p
+                        f = open(f"{_segment(directory, p, batch)}.{TaskContext.get().taskAttemptId()}", "w", encoding="utf-8")  # noqa: SIM115
+                    f.write(line + "\n")
+            if f:
+                close()
+            yield pa.RecordBatch.from_pydict({"part": done}, schema=pa.schema([("part", pa.int32())]))
+
+        rows = df.select(F.monotonically_increasing_id().alias("turn"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.to_json(F.struct(*df.columns)).alias("v"))
+        dealt = rows.mapInArrow(deal, "part int, turn long, line string").repartition("part").sortWithinPartitions("part", "turn")
+        written = {r["part"] for r in dealt.mapInArrow(store, "part int").collect()}  # at most one number per part
         for p in range(parts):
             path, log = os.path.join(directory, f"part-{p}"), os.path.join(directory, f".part-{p}.log")
             seen = dict(map(int, x.split()) for x in open(log)) if os.path.exists(log) else {}
             size = seen.get(batch, os.path.getsize(path) if os.path.exists(path) else 0)
-            with open(path, "ab") as f:
-                f.truncate(size)
             with open(log, "a") as f:
                 f.write(f"{batch} {size}\n")
-            with open(path, "a", encoding="utf-8") as f:
-                f.writelines(x + "\n" for x in out.get(p, []))
+            with open(path, "ab") as f:
+                f.truncate(size)
+                if p in written:
+                    with open(_segment(directory, p, batch), "rb") as own:
+                        shutil.copyfileobj(own, f)
+            if p in written:
+                os.remove(_segment(directory, p, batch))
 
     return write
 
 
+def _segment(directory: str, part: int, batch: int) -> str:
+    return os.path.join(directory, f".part-{part}.batch-{batch}")
+
+
 def fan_out(writers: dict[str, tuple[Column, Callable[[DataFrame, int], None]]]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that sends rows to several writers, computing the batch once."""
 

@@ -8,10 +8,13 @@ again with the same checkpoint and source path goes on where it stopped.
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -40,6 +43,13 @@ def join_within(left: DataFrame, right: DataFrame, key: str, left_ts: str, right
     return a.join(b, ok).drop(f"_{key}")
 
 
+def records(rows: Iterator[pd.DataFrame], order: list[str]) -> Iterator[dict]:
+    """A key's rows of one micro-batch in order, with None for what is missing; memory is those rows."""
+    pdf = pd.concat(list(rows)).sort_values(order, kind="stable")
+    for row in pdf.itertuples(index=False, name=None):
+        yield {c: None if v is None or v is pd.NaT or v != v else v for c, v in zip(pdf.columns, row, strict=True)}
+
+
 class Fold(StatefulProcessor):
     """``step(state, row) -> (state, rows out)`` per key in order; state is pickled into one value."""
 
@@ -54,7 +64,7 @@ class Fold(StatefulProcessor):
 
         state = pickle.loads(self.state.get()[0]) if self.state.exists() else None
         out: list[dict] = []
-        for row in pd.concat(list(rows)).sort_values(self.order).to_dict("records"):
+        for row in records(rows, self.order):
             state, got = self.step(state, row)
             out.extend(got)
         if state is None:
@@ -67,6 +77,64 @@ class Fold(StatefulProcessor):
         pass
 
 
+class Timed(StatefulProcessor):
+    """A ``Logic`` (operators.folds) per key: its rows in order of event time, its timer as the watermark passes."""
+
+    def __init__(self, logic, ts: str, order: list[str], columns: list[str]):
+        self.logic, self.ts, self.order, self.columns = logic, ts, order, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "data binary")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _keep(self, state: Any) -> None:
+        import pickle
+
+        due = None if state is None else self.logic.notify_at(state)
+        at = None if due is None else int(due * 1000)
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old != at:
+            if old is not None:
+                self.handle.deleteTimer(old)
+                self.timer.clear()
+            if at is not None:
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
+        if state is None:
+            self.state.clear()
+        else:
+            self.state.update((pickle.dumps(state),))
+
+    def _held(self) -> Any:
+        import pickle
+
+        return pickle.loads(self.state.get()[0]) if self.state.exists() else None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, out = self._held(), []
+        for row in records(rows, self.order):
+            while state is not None and (due := self.logic.notify_at(state)) is not None and due < row[self.ts]:
+                got, state = self.logic.on_notify(state, due)
+                out.extend(got)
+            got, state = self.logic.on_item(state, row)
+            out.extend(got)
+        self._keep(state)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, out = self._held(), []
+        self.timer.clear()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if state is not None and (due := self.logic.notify_at(state)) is not None and int(due * 1000) <= now:
+            out, state = self.logic.on_notify(state, due)
+        self._keep(state)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
 class Collect(StatefulProcessor):
     """Batches per key: emitted at ``size`` rows or, by processing time, ``timeout_ms`` after the first."""
 
@@ -125,24 +193,59 @@ def collected(stream: DataFrame, key: str, value: str, size: int, timeout_ms: in
     return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Collect(value, size, timeout_ms), outputStructType="key string, items string, n long", outputMode="Update", timeMode="ProcessingTime")
 
 
-def split_late(batches: dict, key_ts: str, delay_seconds: float) -> Callable[[DataFrame, int], None]:
+def timed(stream: DataFrame, key: str, logic, ts: str, event_time: str, delay: str, order: list[str], schema: str) -> DataFrame:
+    """``logic`` as a stateful operator; ``ts`` are seconds, ``event_time`` the timestamp of the watermark that fires timers."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    marked = stream.withWatermark(event_time, delay)
+    return marked.groupBy(key).transformWithStateInPandas(statefulProcessor=Timed(logic, ts, order, names), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+
+
+def at_end(spark: SparkSession, checkpoint: str, logic, schema: str) -> DataFrame:
+    """What ``logic`` emits for the state that a stopped stream has left: the end of its input."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    held = spark.read.format("statestore").option("stateVarName", "state").load(checkpoint).select("value.data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pickle
+
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([row for x in b.column(0).to_pylist() for row in logic.on_eof(pickle.loads(x))], schema=arrow)
+
+    return held.mapInArrow(run, schema)
+
+
+def split_late(writers: dict, key_ts: str, delay_seconds: float, log: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` step that splits rows behind the watermark from the others.
 
-    The watermark is the largest time of earlier batches less the delay; it is
-    kept in ``batches`` ("watermark"), rows go to its "on_time" and "late"
-    writers.
+    The watermark is the largest time of earlier batches less the delay; rows go
+    to the "on_time" and "late" of ``writers``.  Each batch's watermark is kept
+    in the file ``log``, beside the stream's checkpoint: a restart goes on from
+    there, and a batch that is run again is split as before.
     """
 
+    def marks() -> dict[int, float]:
+        if not os.path.exists(log):
+            return {}
+        with open(log) as f:
+            return {int(b): float(m) for b, m in json.load(f).items()}
+
     def write(df: DataFrame, batch: int) -> None:
         df = df.persist()
         try:
-            mark = batches.get("watermark")
+            known = marks()
+            mark = known.get(batch)
             late = F.lit(False) if mark is None else F.coalesce(F.col(key_ts).cast("timestamp") < F.timestamp_micros(F.lit(int(mark * 1e6))), F.lit(False))
-            batches["on_time"](df.where(~late), batch)
-            batches["late"](df.where(late), batch)
+            writers["on_time"](df.where(~late), batch)
+            writers["late"](df.where(late), batch)
             top = df.agg(F.max(F.unix_micros(F.col(key_ts).cast("timestamp")))).first()[0]
-            if top is not None:
-                batches["watermark"] = max(mark if mark is not None else float("-inf"), top / 1e6 - delay_seconds)
+            after = max([x for x in (mark, None if top is None else top / 1e6 - delay_seconds) if x is not None], default=None)
+            if after is not None:  # the watermark of the next batch
+                with open(f"{log}.part", "w") as f:
+                    json.dump({**{b: m for b, m in known.items() if b >= batch}, batch + 1: after}, f)
+                os.replace(f"{log}.part", log)
         finally:
             df.unpersist()
 
