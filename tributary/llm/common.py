@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop as drop_saved
+from ..storage import run_dir
+
 #: A word: a maximal run of characters other than space, tab, line feed,
 #: vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,26 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A folder of our own stands in only where none is set and everything runs in
-    one process; elsewhere executors would write to disks of their own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tributary-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def run_dir(spark: SparkSession) -> str:
-    """Where this application's intermediate tables are; ``clean`` deletes it."""
-    return f"{shared_dir(spark)}/tributary/{spark.sparkContext.applicationId}"
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of fewer rows while an action runs: a task's memory is then a few MB, long texts or not."""
@@ -77,25 +58,6 @@ def saved(df: DataFrame, tag: str, few: bool = False, codec: str = "snappy") ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def drop_saved(*tables: DataFrame) -> None:
-    """Delete tables made by ``saved`` whose rows are no longer needed."""
-    for df in tables:
-        for f in df.inputFiles()[:1]:
-            folder = f.rpartition("/")[0]
-            if "/tributary/" in folder:
-                _delete(df.sparkSession, folder)
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this application; results that still read them must be written before."""
-    _delete(spark, run_dir(spark))
-
-
 def tidy(run: Callable) -> Callable:
     """``run`` over record batches; when a task ends its worker, which stays, gives its memory back."""
 

@@ -21,11 +21,13 @@ multiplied at once.  Large ones go through steps:
 Pairs that pass the bounds are verified on whole sets, exactly.
 
 Defined results: null and empty texts have no shingles and link with nothing;
-texts of fewer than ``n`` words have one shingle, the whole sequence; repeated rows
-are one class; a null id joins its class and is nobody's representative; where
-ids are null or repeat, rows are joined by a key of their own, so that every
-text has its links, and components are named by their smallest id; an empty
-table gives no rows; other columns are ignored.
+texts of fewer than ``n`` words have one shingle, the whole sequence; texts of
+any length are compared as whole sets; repeated rows are one class; shingles that
+tie in rarity are ordered by hash, which no result depends on; a null id joins
+its class and is nobody's representative; where ids are null or repeat, rows are
+joined by a key of their own, so that every text has its links, and components
+are named by their smallest id; an empty table gives no rows; ``join`` ignores
+other columns, and ``keep_one`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations

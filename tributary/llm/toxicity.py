@@ -43,14 +43,14 @@ from . import textkernel as K
 from .common import drop_saved, saved, tidy
 
 #: Labelled rows that the classifier is fitted on, at most; neighbours; examples per block; blocks that are scored first.
-SAMPLE, NEIGHBOURS, BLOCK, FIRST = 2048, 15, 64, 2
+SAMPLE, NEIGHBOURS, BLOCK, FIRST = 1536, 15, 64, 2
 #: Lengths in bytes of the leading parts of words that are terms too; examples that a term needs.
 PREFIXES, MIN_EXAMPLES = (6,), 3
 #: Weight of a term that has nothing to do with the label; chi-square of one that weighs half as much as the most telling ones.
 FLOOR, HALF = 0.03, 100.0
 THRESHOLD, CLOSENESS = 0.3, 2.0
-#: Texts that are scored together.
-_ROWS = 128
+#: Texts that are scored together; pairs of a text and a block whose postings are added together (few enough for a cache).
+_ROWS, _PAIRS = 128, 32
 
 _SOLID = np.zeros(256, bool)
 _SOLID[48:58] = _SOLID[65:91] = _SOLID[97:123] = _SOLID[128:] = True
@@ -121,6 +121,9 @@ class Index:
 
     def cosines(self, text: np.ndarray, block: np.ndarray, first: np.ndarray, term: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Cosines of texts with all examples of blocks, pair by pair; ``first`` tells a text's entries."""
+        return np.concatenate([self._cosines(text[i : i + _PAIRS], block[i : i + _PAIRS], first, term, q) for i in range(0, len(text), _PAIRS)])
+
+    def _cosines(self, text: np.ndarray, block: np.ndarray, first: np.ndarray, term: np.ndarray, q: np.ndarray) -> np.ndarray:
         size = np.diff(first)[text]
         pair = np.repeat(np.arange(len(text)), size)
         entry = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[text], size)
@@ -128,10 +131,14 @@ class Index:
         lo = self.start[cell]
         many = self.start[cell + 1] - lo
         live = np.flatnonzero(many)
-        lo, many = lo[live].astype(np.int64), many[live].astype(np.int64)
-        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - lo, many)
-        slot = np.repeat(pair[live] * BLOCK, many) + self.example[place]
-        return np.bincount(slot, np.repeat(q[entry[live]], many) * self.value[place], len(text) * BLOCK).reshape(-1, BLOCK)
+        lo, many = lo[live].astype(np.int64), many[live]
+        on = np.repeat(np.arange(len(live), dtype=np.int32), many)
+        place = np.arange(len(on)) + (lo - (np.cumsum(many) - many))[on]
+        slot = (pair[live] * BLOCK)[on]
+        slot += self.example[place]
+        share = q[entry[live]][on]
+        share *= self.value[place]
+        return np.bincount(slot, share, len(text) * BLOCK).reshape(-1, BLOCK)
 
     def nearest(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, n: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Exact top-k (cosine, example) of ``n`` texts, entries in their order; -1 and 0 where there are fewer.  ``skip``: an example that a text may not have."""
@@ -152,12 +159,12 @@ class Index:
             text, block = np.nonzero(due & (bound > 0))
             if not len(text):
                 continue
-            cos = np.round(self.cosines(text, block, first, term, q), 9)
-            name = block[:, None] * BLOCK + np.arange(BLOCK)
+            cos = self.cosines(text, block, first, term, q)
             if skip is not None:
-                cos[name == skip[text][:, None]] = 0
-            x, y = np.nonzero(cos)
-            x, c, w = text[x], cos[x, y], name[x, y]
+                cos[block[:, None] * BLOCK + np.arange(BLOCK) == skip[text][:, None]] = 0
+            x, y = np.nonzero(cos > np.maximum(best[text, -1:] - 1e-9, 0))
+            x, c, w = text[x], np.round(cos[x, y], 9), block[x] * BLOCK + y
+            x, c, w = x[c > 0], c[c > 0], w[c > 0]
             old = np.nonzero(who >= 0)
             x, c, w = np.concatenate((x, old[0])), np.concatenate((c, best[old])), np.concatenate((w, who[old]))
             by = np.lexsort((w, -c, x))
