@@ -122,7 +122,7 @@ def anchor_counts(each: Each, width: int, bits: int) -> tuple[np.ndarray, np.nda
                 sums[i] = sums.get(i, 0) + np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["kind", "data"])
 
-    made = saved(each(run, "kind int, data binary"), "substring-anchors", True)
+    made = saved(each(run, "kind int, data binary"), "substring-anchors")
     seen = repeated(made.where("kind = 0"), "data")
     counts = np.zeros(len(LEVELS) * size, np.int64)
     part = size // 16
@@ -323,7 +323,7 @@ def _remove(docs: DataFrame, width: int) -> DataFrame:
     drop_saved(digests)
     marked = sc.broadcast(members(copies, "copy"))
     unsure = only(docs, marked).join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
-    marks = saved(repeats(sc, lambda f, kind: docs.mapInArrow(tidy(unless(marked, f)), kind).union(unsure.mapInArrow(tidy(f), kind)), width, bits), "substring-marks", True)
+    marks = saved(repeats(sc, lambda f, kind: docs.mapInArrow(tidy(unless(marked, f)), kind).union(unsure.mapInArrow(tidy(f), kind)), width, bits), "substring-marks")
     touched = sc.broadcast(members(copies.select("copy").union(marks.select("doc_id")), "copy"))
     maybe = only(docs, touched)
     mine = marks.groupBy(F.col("doc_id").alias("_marked")).agg(F.collect_list("starts").alias("starts"))
