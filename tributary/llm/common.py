@@ -19,8 +19,8 @@ from ..storage import run_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch while intermediate tables are made.
 BATCH_ROWS = 2000
-#: Tasks a core that write a small table.
-TASKS = 2
+#: Tasks a core that write a small table; rows of a task where their number is known.
+TASKS, TASK_ROWS = 2, 200_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -39,7 +39,7 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_BATCH, old) if old else spark.conf.unset(_BATCH)
 
 
-def saved(df: DataFrame, tag: str, few: bool = False, codec: str = "snappy") -> DataFrame:
+def saved(df: DataFrame, tag: str, few: bool | int = False, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage durably: lost executors never force the upstream plan to
@@ -47,14 +47,16 @@ def saved(df: DataFrame, tag: str, few: bool = False, codec: str = "snappy") ->
     included) stays as it is.  Parquet keeps real sizes for the planner, so a
     later join broadcasts only what is measured to be small.  Tables that are
     much smaller than the texts (``few``) are written by fewer tasks, as every
-    file costs the store a few calls: ``TASKS`` a core, more as partitions grow.
+    file costs the store a few calls: ``TASKS`` a core, more as partitions grow,
+    and no more than a known number of rows (``few`` itself) calls for.
     """
     spark = df.sparkSession
-    if few:
-        df = df.coalesce(max(TASKS * spark.sparkContext.defaultParallelism, partitions(spark) // 8))
     path = f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if few:
+        most = max(TASKS * spark.sparkContext.defaultParallelism, partitions(spark) // 8)
+        df = df.coalesce(most if few is True else min(most, 1 + few // TASK_ROWS))
     with small_batches(spark):
-        df.write.parquet(path, compression=codec)
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

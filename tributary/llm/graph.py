@@ -19,18 +19,19 @@ def components(links: DataFrame) -> DataFrame:
     by their smallest node.  Hubs with many links are pre-aggregated and their
     joins split by adaptive execution.
     """
+    n = 1 + links.count()  # no table here has more rows than twice that
     both = lambda d: d.select("a", "b").union(d.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = saved(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links", True)
-    found = saved(both(left).select(F.col("a").alias("node"), F.col("a").alias("component")).distinct(), "cc-found", True)
+    left = saved(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links", n)
+    found = saved(both(left).select(F.col("a").alias("node"), F.col("a").alias("component")).distinct(), "cc-found", n)
     rounds = 0
     while not left.isEmpty():
         ranked = lambda c, k=rounds: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("x")) if k >= 2 else F.col(c)
         first = F.least(ranked("a"), "m")["x"] if rounds >= 2 else F.least("a", "m")
-        hook = saved(both(left).groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("n"), first.alias("m")), "cc-hook", True)
+        hook = saved(both(left).groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("n"), first.alias("m")), "cc-hook", n)
         ha, hb = hook.select(F.col("n").alias("a"), F.col("m").alias("x")), hook.select(F.col("n").alias("b"), F.col("m").alias("y"))
         fresh = left.join(ha, "a").join(hb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        fresh = saved(fresh, "cc-links", True)
-        named = saved(found.join(hook, found.component == hook.n, "left").select("node", F.coalesce("m", "component").alias("component")), "cc-found", True)
+        fresh = saved(fresh, "cc-links", n)
+        named = saved(found.join(hook, found.component == hook.n, "left").select("node", F.coalesce("m", "component").alias("component")), "cc-found", n)
         drop_saved(left, found, hook)
         left, found = fresh, named
         rounds += 1
@@ -38,6 +39,6 @@ def components(links: DataFrame) -> DataFrame:
     if rounds <= 2:
         return found
     names = found.groupBy("component").agg(F.min("node").alias("least"))
-    named = saved(found.join(names, "component").select("node", F.col("least").alias("component")), "cc-found", True)
+    named = saved(found.join(names, "component").select("node", F.col("least").alias("component")), "cc-found", n)
     drop_saved(found)
     return named

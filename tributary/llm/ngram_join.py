@@ -199,8 +199,9 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int = WO
                 ok.append(bool(_may_link(len(x), len(y), int((both[1:] == both[:-1]).sum()), percent)))
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
+    few = 1 + near.count()
     wa, wb = (whole.select(F.col("id").alias(x), F.col("shingles").alias(f"w{x}")) for x in "ab")
-    links = saved(near.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(tidy(overlap), "a long, b long"), "ngram-links", True)
+    links = saved(near.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(tidy(overlap), "a long, b long"), "ngram-links", few)
     drop_saved(near, whole)
     return links
 
