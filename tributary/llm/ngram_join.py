@@ -338,17 +338,18 @@ def join_keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
     column = post.join(sized, F.col("token") == F.col("t"))
     big = saved(column.where(F.col("members") > FEW).select("token", "rep", "n", "pos"), "ngram-big", True)
     links, found = [], None
-    for step in range(STEPS):
+    for step in range(STEPS if big.head(1) else 0):
         tried = saved(hub_pairs(big, found, step, percent), "ngram-tried", True)
         links.append(verified(tried, sketches, docs, n, percent))
         found = components(functools.reduce(DataFrame.union, links))
         drop_saved(tried)
-    small = saved(small_pairs(column.where(F.col("members") <= FEW), percent), "ngram-small", True)
-    x, y = (found.toDF(c, f"c{c}") for c in "ab")
-    apart = small.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = block_pairs(big, found, sketches, percent)
-    links.append(verified(apart.union(more).distinct(), sketches, docs, n, percent))
-    drop_saved(post, sized, big, small, more, sketches)
+    more = saved(small_pairs(column.where(F.col("members") <= FEW), percent), "ngram-small", True)
+    if found is not None:
+        x, y = (found.toDF(c, f"c{c}") for c in "ab")
+        apart = more.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        more = saved(apart.union(block_pairs(big, found, sketches, percent)).distinct(), "ngram-more", True)
+    links.append(verified(more, sketches, docs, n, percent))
+    drop_saved(post, sized, big, more, sketches)
     found = components(functools.reduce(DataFrame.union, links))
     out = classes.join(found, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
