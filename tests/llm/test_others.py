@@ -127,16 +127,14 @@ class PlainMatcher:
         return symbols
 
     def windows(self, text, size):
-        """(symbols, first word, {place: value of a placeholder})."""
+        """(reading, symbols, first word, {place: value of a placeholder})."""
         t = self.template(text)
         for k in range(len(t) - size + 1):
             for reading in (0, 1):
                 part = t[k : k + size]
-                if reading and all(x[0] == x[1] for x in part):
-                    continue
                 slots = {j: x[2] for j, x in enumerate(part) if x[reading] is None or isinstance(x[reading], str)}
                 if size - len(slots) >= decontaminate.LITERALS:
-                    yield tuple(x[reading] for x in part), k, slots
+                    yield reading, tuple(x[reading] for x in part), k, slots
 
     def folded(self, text):
         text = text.lower() if text.isascii() else decontaminate._MARKS.sub("", text.casefold())
@@ -145,17 +143,17 @@ class PlainMatcher:
     def match(self, doc, item):
         best = []
         n = len(self.template(item))
-        places = {}
-        for s, k, slots in self.windows(item, min(decontaminate.WINDOW, n)) if n else ():
-            places.setdefault(s, []).append((k, slots))
-        lines = {}
-        for s, k, slots in self.windows(doc, min(decontaminate.WINDOW, n)) if places else ():
-            for p, own in places.get(s, ()):
+        places: dict = {}
+        for r, s, k, slots in self.windows(item, min(decontaminate.WINDOW, n)) if n else ():
+            places.setdefault(s, []).append((r, k, slots))
+        kinds = {}
+        for q, s, k, slots in self.windows(doc, min(decontaminate.WINDOW, n)) if places else ():
+            for r, p, own in places.get(s, ()):
                 if len(own) == len(slots):
-                    covered, pairs = lines.setdefault(k - p, (set(), set()))
+                    covered, pairs = kinds.setdefault((r, q), {}).setdefault(k - p, (set(), set()))
                     covered.update(range(p, p + len(s)))
                     pairs.update((p + j, own[j], d) for j, d in zip(sorted(own), [slots[j] for j in sorted(slots)], strict=True))
-        best.append(self.total(lines, n, True))
+        best += [self.total(lines, n, True) for lines in kinds.values()]
         f, d = self.folded(item), self.folded(doc)
         size, lines = min(decontaminate.WINDOW, len(f)), {}
         for k in range(len(d) - size + 1) if f else ():

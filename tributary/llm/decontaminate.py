@@ -5,7 +5,8 @@ numbers, names (capitalised inside a sentence) and units (after a number)
 become typed placeholders whose values are kept as slots.  Every run of
 ``WINDOW`` template words of a benchmark item is hashed; documents' windows are
 joined on the hash.  A capitalised word that opens a sentence may be a name or
-not: windows that hold one are hashed in both readings.  Matches of one document
+not: texts and items are read both ways, each reading of the one meets each of the
+other, and each such pair is judged by itself.  Matches of one document
 and item on one diagonal (document place minus item place) line up the item's
 slots with the document's.  An item has leaked where enough of its words are
 matched and its slots are consistent: equal values of the item stay equal in the
@@ -146,8 +147,8 @@ def plain_windows(w: K.Words, value: np.ndarray, size: int) -> tuple[np.ndarray,
 def readings(w: K.Words, made: tuple, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first word, hash, placeholder flags of all words, values) of windows of ``size`` words of a template, for each reading.
 
-    The second reading takes capitals that open a sentence for names and gives
-    only windows that hold one.  Windows without enough literals are left out.
+    The second reading takes capitals that open a sentence for names; without
+    one it is the first.  Windows without enough literals are left out.
     """
     symbol, value, slot, opening = made
     at, out = K.windows_inside(w, size), []
@@ -155,9 +156,6 @@ def readings(w: K.Words, made: tuple, size: int) -> list[tuple[np.ndarray, np.nd
         flags = slot | opening if second else slot
         literals = np.concatenate(([0], np.cumsum(~flags)))
         ok = literals[at + size] - literals[at] >= LITERALS
-        if second:
-            held = np.concatenate(([0], np.cumsum(opening)))
-            ok &= held[at + size] > held[at]
         h = K.gram_hashes(np.where(opening, NAME, symbol) if second else symbol, size)
         out.append((at[ok], h[at[ok]], flags, value))
     return out
@@ -169,7 +167,7 @@ def _digest() -> F.Column:
 
 
 def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(item, item_id, plain, words, place, size, hash, slots, values): the benchmark's windows of both kinds."""
+    """(item, item_id, reading, words, place, size, hash, slots, values): the benchmark's windows, plain ones as reading 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,25 +178,25 @@ def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
                 w = K.split_words(raw, off, k, k + 1)
                 n = len(w.start)
                 size = min(width, n)
-                for at, h, slot, value in readings(w, template(w), size) if n else ():
+                for reading, (at, h, slot, value) in enumerate(readings(w, template(w), size) if n else (), 1):
                     for p, x in zip(at, h, strict=True):
                         where = np.flatnonzero(slot[p : p + size])
-                        out.append((names[k], ids[k], False, n, int(p), size, int(x.view(np.int64)), where.tolist(), value[p + where].view(np.int64).tolist()))
+                        out.append((names[k], ids[k], reading, n, int(p), size, int(x.view(np.int64)), where.tolist(), value[p + where].view(np.int64).tolist()))
                 own = plain_words(b.column(2).slice(k, 1))
                 n = len(own.start)
                 if n:
                     at, h = plain_windows(own, K.word_hashes(own), min(width, n))
-                    out += [(names[k], ids[k], True, n, int(p), min(width, n), int(x.view(np.int64)), [], []) for p, x in zip(at, h, strict=True)]
+                    out += [(names[k], ids[k], 0, n, int(p), min(width, n), int(x.view(np.int64)), [], []) for p, x in zip(at, h, strict=True)]
             cols = list(zip(*out, strict=True)) or [()] * 9
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item", "item_id", "plain", "words", "place", "size", "hash", "slots", "values"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item", "item_id", "reading", "words", "place", "size", "hash", "slots", "values"])
 
     source = items.where("text is not null").select(F.xxhash64(F.col("item_id").cast("long"), F.col("item_id").isNull(), _digest()).alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return source.dropDuplicates(["item"]).mapInArrow(tidy(run), "item long, item_id long, plain boolean, words int, place int, size int, hash long, slots array<int>, values array<long>")
+    return source.dropDuplicates(["item"]).mapInArrow(tidy(run), "item long, item_id long, reading int, words int, place int, size int, hash long, slots array<int>, values array<long>")
 
 
 def document_windows(docs: DataFrame, sizes: list[tuple[bool, int]], shared) -> DataFrame:
-    """(doc_id, digest, plain, at, size, hash, found) of the windows in ``shared`` (all windows where it is None)."""
+    """(doc_id, digest, own, at, size, hash, found) of the windows in ``shared`` (all windows where it is None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if shared is None else shared.value
@@ -216,9 +214,9 @@ def document_windows(docs: DataFrame, sizes: list[tuple[bool, int]], shared) ->
             for lo, hi in K.chunks(off):
                 own = b.slice(lo, hi - lo)
 
-                def rows(doc, plain: bool, place, size: int, h, values) -> pa.RecordBatch:
+                def rows(doc, reading: int, place, size: int, h, values) -> pa.RecordBatch:
                     doc = pa.array(doc)
-                    return pa.RecordBatch.from_arrays([own.column(0).take(doc), own.column(1).take(doc), pa.array(np.full(len(doc), plain)), pa.array(place, pa.int32()), pa.array(np.full(len(doc), size, np.int32)), pa.array(h.view(np.int64)), values], ["doc_id", "digest", "plain", "at", "size", "hash", "found"])  # noqa: B023
+                    return pa.RecordBatch.from_arrays([own.column(0).take(doc), own.column(1).take(doc), pa.array(np.full(len(doc), reading, np.int32)), pa.array(place, pa.int32()), pa.array(np.full(len(doc), size, np.int32)), pa.array(h.view(np.int64)), values], ["doc_id", "digest", "own", "at", "size", "hash", "found"])  # noqa: B023
 
                 w, folded = K.split_words(raw, off, lo, hi), plain_words(own.column(2))
                 hashes, made = K.word_hashes(folded), template(w)
@@ -227,18 +225,18 @@ def document_windows(docs: DataFrame, sizes: list[tuple[bool, int]], shared) ->
                         at, h = known(*plain_windows(folded, hashes, size))
                         if len(at):
                             none = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1), pa.int32()), pa.array([], pa.int64()))
-                            yield rows(folded.doc[at], True, at - folded.first[folded.doc[at]], size, h, none)
+                            yield rows(folded.doc[at], 0, at - folded.first[folded.doc[at]], size, h, none)
                         continue
-                    for at, h, slot, value in readings(w, made, size):
+                    for reading, (at, h, slot, value) in enumerate(readings(w, made, size), 1):
                         at, h = known(at, h)
                         if len(at):
                             grid = at[:, None] + np.arange(size)
                             flags = slot[grid]
                             values = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(flags.sum(1)))), pa.int32()), pa.array(value[grid][flags].view(np.int64)))
-                            yield rows(w.doc[at], False, at - w.first[w.doc[at]], size, h, values)
+                            yield rows(w.doc[at], reading, at - w.first[w.doc[at]], size, h, values)
 
     source = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(tidy(run), "doc_id long, digest long, plain boolean, at int, size int, hash long, found array<long>")
+    return source.mapInArrow(tidy(run), "doc_id long, digest long, own int, at int, size int, hash long, found array<long>")
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, matched: int = MATCHED) -> DataFrame:
@@ -256,20 +254,22 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, matched: int =
     spark = docs.sparkSession
     bench = saved(item_windows(items, width), "decon-items", True)
     measured = bench.agg(F.sum(64 + 12 * F.size("slots"))).first()[0] or 0
-    sizes = sorted((r["plain"], r["size"]) for r in bench.select("plain", "size").distinct().collect())
+    plain = F.col("reading") == 0
+    sizes = sorted((r["plain"], r["size"]) for r in bench.select(plain.alias("plain"), "size").distinct().collect())
     if measured <= SHARED:
         hashes = np.unique(bench.select("hash").toArrow()["hash"].to_numpy().view(K.U64))
         seen = document_windows(docs, sizes, spark.sparkContext.broadcast(hashes))
-        met = seen.join(F.broadcast(bench), ["hash", "plain", "size"])  # its size was checked
+        met = seen.join(F.broadcast(bench), ["hash", "size"])  # its size was checked
     else:
-        met = document_windows(docs, sizes, None).join(bench, ["hash", "plain", "size"])
-    line = [F.col("doc_id"), F.col("digest"), F.col("item"), F.col("item_id"), F.col("plain"), (F.col("at") - F.col("place")).alias("diagonal")]
+        met = document_windows(docs, sizes, None).join(bench, ["hash", "size"])
+    met = met.where(plain == (F.col("own") == 0)).withColumn("kind", 3 * F.col("reading") + F.col("own"))
+    line = [F.col("doc_id"), F.col("digest"), F.col("item"), F.col("item_id"), F.col("kind"), (F.col("at") - F.col("place")).alias("diagonal")]
     met = met.where(F.size("found") == F.size("slots")).select(*line, "words", "place", "size", "slots", "values", "found")
     # per diagonal: which words of the item are matched, and which of its slots with what
     slot = F.transform(F.sequence(F.lit(0), F.size("slots") - 1), lambda k: F.struct((F.col("place") + F.element_at("slots", k + 1)).alias("p"), F.element_at("values", k + 1).alias("v"), F.element_at("found", k + 1).alias("d")))
     met = met.withColumn("pairs", F.when(F.size("slots") > 0, slot).otherwise(F.array().cast("array<struct<p:int,v:bigint,d:bigint>>")))
     text = ["doc_id", "digest", "item"]
-    lines = met.groupBy(*text, "plain", "diagonal").agg(
+    lines = met.groupBy(*text, "kind", "diagonal").agg(
         F.max("item_id").alias("item_id"),
         F.max("words").alias("words"),
         F.array_distinct(F.flatten(F.collect_set(F.sequence("place", F.col("place") + F.col("size") - 1)))).alias("covered"),
@@ -281,11 +281,11 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, matched: int =
         F.lit(0),
         lambda n, v: n + F.array_max(F.transform(F.filter("pairs", lambda x: x["v"] == v), lambda y: F.size(F.filter("pairs", lambda z: (z["v"] == v) & (z["d"] == y["d"]))))),
     )
-    scored = lines.select(*text, "item_id", "plain", "words", F.size("covered").alias("hit"), F.size("pairs").alias("slots"), agree.alias("agree"), F.size(F.filter("pairs", lambda x: x["v"] == x["d"])).alias("same"))
+    scored = lines.select(*text, "item_id", "kind", "words", F.size("covered").alias("hit"), F.size("pairs").alias("slots"), agree.alias("agree"), F.size(F.filter("pairs", lambda x: x["v"] == x["d"])).alias("same"))
     scored = scored.where((F.col("slots") == 0) | (F.col("agree") >= AGREE * F.col("slots")))
-    out = scored.groupBy(*text, "plain").agg(F.max("item_id").alias("item_id"), F.sum("hit").alias("hit"), F.max("words").alias("item_words"), F.sum("slots").alias("slots"), F.sum("agree").alias("consistent"), F.sum("same").alias("same"))
+    out = scored.groupBy(*text, "kind").agg(F.max("item_id").alias("item_id"), F.sum("hit").alias("hit"), F.max("words").alias("item_words"), F.sum("slots").alias("slots"), F.sum("agree").alias("consistent"), F.sum("same").alias("same"))
     out = out.withColumn("matched_words", F.least("hit", "item_words")).where(F.col("matched_words") >= F.least(F.lit(matched), F.col("item_words")))
-    return out.select("doc_id", "digest", "item_id", F.struct(F.col("matched_words").cast("int").alias("matched_words"), (~F.col("plain")).alias("template"), "item_words", F.col("slots").cast("int").alias("slots"), F.col("consistent").cast("int").alias("consistent"), (F.col("same") == F.col("slots")).alias("exact")).alias("m"))
+    return out.select("doc_id", "digest", "item_id", F.struct(F.col("matched_words").cast("int").alias("matched_words"), (F.col("kind") > 0).alias("template"), "item_words", F.col("slots").cast("int").alias("slots"), F.col("consistent").cast("int").alias("consistent"), (F.col("same") == F.col("slots")).alias("exact")).alias("m"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
