@@ -60,6 +60,13 @@ def saved(df: DataFrame, tag: str, few: bool | int = False, codec: str = "snappy
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """``run`` over record batches; when a task ends its worker, which stays, gives its memory back."""
 
@@ -67,9 +74,7 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return wrapped
 

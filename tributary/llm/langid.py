@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import drop_saved, saved, tidy
+from .common import drop_saved, give_back, saved, tidy
 
 DIM = 4096
 #: Training texts that the centroids are fitted on, about; texts of a language at least; centroids per language.
@@ -178,21 +178,22 @@ def fit(train: DataFrame, sample: int = SAMPLE, per_language: int = CENTROIDS) -
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dims, pa.binary()), pa.array(values, pa.binary())], ["lang", "dims", "counts"])
 
     rows = picked.select("lang", "text").mapInArrow(tidy(run), "lang string, dims binary, counts binary").collect()
-    groups: dict[str, list[np.ndarray]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], bytes(r["dims"]), bytes(r["counts"]))):
-        c = np.zeros(DIM, np.float32)
-        c[np.frombuffer(r["dims"], "<u2")] = np.frombuffer(r["counts"], "<u4")
-        groups.setdefault(r["lang"], []).append(c)
+    groups: dict[str, list[tuple[bytes, bytes]]] = {}
+    for r in rows:
+        groups.setdefault(r["lang"], []).append((bytes(r["dims"]), bytes(r["counts"])))
     m.languages = sorted(groups)
     owner, centers, floor = [], [], []
-    for i, lang in enumerate(m.languages):
-        rows = np.stack(groups[lang])
-        c = spherical_kmeans(m.vectors(rows), per_language)
+    for i, lang in enumerate(m.languages):  # one language's rows at a time are written out
+        own = np.zeros((len(groups[lang]), DIM), np.float32)
+        for k, (dims, uses) in enumerate(sorted(groups.pop(lang))):
+            own[k, np.frombuffer(dims, "<u2")] = np.frombuffer(uses, "<u4")
+        c = spherical_kmeans(m.vectors(own), per_language)
         owner += [i] * len(c)
         centers.append(c)
-        floor.append(usual(m, rows, c))
+        floor.append(usual(m, own, c))
     m.owner, m.centroids, m.floor = np.array(owner), np.concatenate(centers), FAR * np.array(floor)
     drop_saved(keys)
+    give_back()
     return m
 
 
@@ -268,6 +269,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, per_language: int = CENTROIDS) -
         floor.append(usual(m, rows, c))
     m.owner, m.centroids, m.floor = np.array(owner), np.concatenate(centers), FAR * np.array(floor)
     drop_saved(keys)
+    give_back()
     return m
 
 

@@ -49,3 +49,15 @@ m as (select *, case when source_size > 0 then budget // source_size else 0 end
 x as (select d.*, coalesce(sum(size) over (partition by source order by md5('mix:' || doc_id), doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from d)
 select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::bigint as taken
 from x join m on x.source is not distinct from m.source"""
+
+#: CRC-32 of the last 32 bytes goes bit by bit; the constant is the polynomial, a fixed value.
+OP9 = r"""with p as (select doc_id, encode(coalesce(text, '')) as raw from documents),
+ q as (select doc_id, octet_length(raw) as n, raw || repeat('\xFF'::blob, case when octet_length(raw) = 0 then 576 else (576 - octet_length(raw) % 576) % 576 end) as payload from p),
+ m as (select doc_id, n, payload, octet_length(payload) as size, encode('P5' || chr(10) || '24 ' || (octet_length(payload) // 24) || chr(10) || '255' || chr(10)) || payload as stored, hex(payload) as h from q),
+ b as (select doc_id, ('0x' || h[2 * i + 1:2 * i + 2])::int as v from (select doc_id, h, unnest(range(size)) as i from m)),
+ f as (select doc_id, avg(v) as mean, stddev_pop(v) as dev, avg((v < 64)::int) as a, avg((v between 64 and 127)::int) as b, avg((v between 128 and 191)::int) as c, avg((v >= 192)::int) as d from b group by doc_id)
+select doc_id, cast(n as bigint) as n_bytes, cast(size as bigint) as payload_bytes, sha256(payload) as payload_sha256,
+ cast(xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(32), lambda i: ('0x' || h[2 * (size - 32 + i) + 1:2 * (size - 32 + i) + 2])::bigint)),
+ lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, t: case when s % 2 = 1 then xor(s >> 1, 3988292384) else s >> 1 end))) as bigint) as tail_crc32,
+ cast(octet_length(stored) as bigint) as media_bytes, sha256(stored) as media_sha256,
+ '24x' || (size // 24) || printf(';mean=%.4f;std=%.4f;%.4f,%.4f,%.4f,%.4f', mean, dev, a, b, c, d) as feature, 1 as position, 'payload of ' || n || ' bytes' as caption from m join f using (doc_id)"""

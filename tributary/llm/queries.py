@@ -93,5 +93,6 @@ ORACLES: dict[str, str] = {
     "op3_chat": oracles.OP3,
     "op4_substring": oracles.OP4,
     "op7_ngram_join": oracles.OP7,
+    "op9_media": oracles.OP9,
     "op10_mixing": oracles.OP10,
 }
