@@ -111,3 +111,18 @@ def test_small_sinks(spark, tmp_path, capsys):
     sinks.memory_rows(held)(df, 0)
     sinks.directory(df, str(tmp_path / "dir"), 2)
     assert len(held) == 5 and len(list((tmp_path / "dir").glob("part-*"))) == 3
+
+
+def test_written_tables_are_dropped_and_others_are_not(spark, tmp_path):
+    from tributary import storage
+
+    mine = storage.written(spark.range(5), "probe")
+    other = tmp_path / "tributary" / "data"
+    spark.range(5).write.parquet(str(other))
+    theirs = spark.read.parquet(str(other))
+    folder = mine.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert storage.mounted(spark, "x").startswith("/") and mine.count() == 5
+    storage.drop(mine, theirs)
+    import os
+
+    assert not os.path.exists(folder) and theirs.count() == 5

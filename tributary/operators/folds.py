@@ -19,6 +19,13 @@ from ..storage import drop, written
 Step = Callable[[Any, dict], tuple[Any, list[dict]]]
 
 
+def records(b: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch; numbers without nulls are converted a column at a time."""
+    plain = lambda c: c.null_count == 0 and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type))
+    values = [c.to_numpy().tolist() if plain(c) else c.to_pylist() for c in b.columns]
+    return (dict(zip(b.schema.names, row, strict=True)) for row in zip(*values, strict=True))
+
+
 def keyed_fold(df: DataFrame, key: str | None, order: list[str], step: Step, schema: str, end: Callable[[Any, Any], list[dict]] | None = None, uses: list[str] | None = None) -> DataFrame:
     """``step(state, row) -> (state, rows out)``; state starts as None and None forgets it.
 
@@ -38,7 +45,7 @@ def keyed_fold(df: DataFrame, key: str | None, order: list[str], step: Step, sch
         at, state, began = None, None, False
         for b in batches:
             out: list[dict] = []
-            for row in b.to_pylist():
+            for row in records(b):
                 k = row[key] if key else None
                 if began and k != at:
                     if end:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import records
+
 
 def tumbling(df: DataFrame, keys: list[str], ts: str, length: str, *aggregates: Column, start: str | None = None) -> DataFrame:
     """Aggregates per key and window; ``start`` shifts the alignment."""
@@ -81,7 +83,7 @@ def fold_window(df: DataFrame, key: str, ts: str, order: list[str], builder: Cal
         name, part = None, None  # part: start, end, state
         for b in batches:
             out = []
-            for row in b.to_pylist():
+            for row in records(b):
                 here = (row[key], row["_w"], row["_b"])
                 if part and (here != name or gap is not None and row["_t"] - part[1] > gap):
                     out.append((*name[:2], *part[:2], pickle.dumps(part[2])))

@@ -54,11 +54,12 @@ def delete(spark: SparkSession, folder: str) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` whose rows are no longer needed."""
+    """Delete tables of this application made by ``written`` whose rows are no longer needed; others are left alone."""
     for df in tables:
+        own = f"/tributary/{df.sparkSession.sparkContext.applicationId}/"
         for f in df.inputFiles()[:1]:
             folder = f.rpartition("/")[0]
-            if "/tributary/" in folder:
+            if own in f"{folder}/" and not folder.endswith(own.rstrip("/")):
                 delete(df.sparkSession, folder)
 
 

@@ -32,6 +32,7 @@ def windowed(stream: DataFrame, keys: list[str], ts: str, delay: str, length: st
 
 
 def session_windows(stream: DataFrame, key: str, ts: str, delay: str, gap: str, *aggregates: Column) -> DataFrame:
+    """Sessions per key; the engine gives them in append mode (closed ones) or complete mode (all), not in update mode."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).groupBy(key, F.session_window(ts, gap)).agg(F.max(ts).alias("session_end"), *aggregates)
 
 
