@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm import decontaminate, langid, mixing, ngram_join, sharding
-from tributary.llm.common import saved, table
+from tributary.llm.common import drop_saved, saved, table
 
 #: Words of a shingle and similarity in percent of near copies.
 WORDS, PERCENT = 5, 80
@@ -67,5 +67,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_saved(before)  # a stage's table goes when the next one is written
     return docs
