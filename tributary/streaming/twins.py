@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "json", **options: Any) -> DataFrame:
     """A directory that is watched for new files."""
@@ -254,10 +257,19 @@ def split_late(writers: dict, key_ts: str, delay_seconds: float, log: str) -> Ca
 
 
 def run_once(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "update", timeout: int = 120) -> None:
-    """Process what is there, then stop; state and offsets stay in the checkpoint."""
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    """Process what is there, then stop; state and offsets stay in the checkpoint.
+
+    State is kept in RocksDB, which folds and timers need, whatever the session's setting.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(_STORE, None)
+    conf.set(_STORE, _ROCKSDB)
     try:
-        if not q.awaitTermination(timeout):
-            raise TimeoutError("the stream did not finish")
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+        try:
+            if not q.awaitTermination(timeout):
+                raise TimeoutError("the stream did not finish")
+        finally:
+            q.stop()
     finally:
-        q.stop()
+        conf.set(_STORE, before) if before else conf.unset(_STORE)
