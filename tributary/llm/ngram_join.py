@@ -331,7 +331,8 @@ def join_keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
     reps = saved(signs.where("n > 0").join(copies, "doc_id", "left_anti").select("doc_id", "n", "prefix", "sketch"), "ngram-reps", True)
     drop_saved(signs, groups)
     post = saved(postings(reps, sc.broadcast(repeated(reps, "prefix"))), "ngram-postings", True)
-    sketches = reps.select("doc_id", "n", "sketch")
+    sketches = saved(reps.select("doc_id", "n", "sketch"), "ngram-sketches", True)
+    drop_saved(reps)
     sized = saved(post.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(F.col("token").alias("t"), "members"), "ngram-columns", True)
     column = post.join(sized, F.col("token") == F.col("t"))
     big = saved(column.where(F.col("members") > FEW).select("token", "rep", "n", "pos"), "ngram-big", True)
@@ -347,7 +348,7 @@ def join_keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
         apart = more.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
         more = saved(apart.union(block_pairs(big, found, sketches, percent)).distinct(), "ngram-more", True)
     links.append(verified(more, sketches, docs, n, percent))
-    drop_saved(post, sized, big, more, reps)
+    drop_saved(post, sized, big, more, sketches)
     found = components(functools.reduce(DataFrame.union, links))
     out = classes.join(found, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
