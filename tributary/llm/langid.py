@@ -37,7 +37,7 @@ from .common import drop_saved, give_back, saved, tidy
 
 DIM = 4096
 #: Training texts that the centroids are fitted on, about; texts of a language at least; centroids per language.
-SAMPLE, LEAST, CENTROIDS = 4000, 8, 4
+SAMPLE, LEAST, CENTROIDS = 2000, 8, 4
 UNKNOWN = "und"
 _CHUNK_DOCS, _CHUNK_BYTES = 128, 1 << 18
 #: Sharpness of the score; share of the usual cosine below which a text is rejected; numbers of n-grams at which that is measured.
@@ -92,8 +92,11 @@ class Model:
     idf: np.ndarray = field(default_factory=lambda: np.ones(DIM, np.float32))
 
     def vectors(self, c: np.ndarray) -> np.ndarray:
-        v = np.log1p(c.astype(np.float32)) * self.idf
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        v = c.astype(np.float32)
+        np.log1p(v, out=v)
+        v *= self.idf
+        v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
+        return v
 
     def judge(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(language index, score, cosine, rejected) of each row of counts."""
@@ -179,7 +182,8 @@ def fit(train: DataFrame, sample: int = SAMPLE, per_language: int = CENTROIDS) -
 
     rows = picked.select("lang", "text").mapInArrow(tidy(run), "lang string, dims binary, counts binary").collect()
     groups: dict[str, list[tuple[bytes, bytes]]] = {}
-    for r in rows:
+    while rows:
+        r = rows.pop()
         groups.setdefault(r["lang"], []).append((bytes(r["dims"]), bytes(r["counts"])))
     m.languages = sorted(groups)
     owner, centers, floor = [], [], []
@@ -202,88 +206,13 @@ def usual(m: Model, rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     rng, out = np.random.default_rng(0), []
     at, n = np.nonzero(rows), rows.sum(1)
     uses = rows[at].astype(np.int64)
+    thin = np.zeros_like(rows)
     for size in THIN:
-        thin = np.zeros_like(rows)
         thin[at] = rng.binomial(uses, np.minimum(1.0, size / np.maximum(n, 1))[at[0]])
         out.append(float(np.quantile((m.vectors(thin) @ centroids.T).max(1), 0.05)))
     return np.array(out)
 
 
-def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
-    """(documents, documents by dimension) over all rows of ``texts`` (text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = 0, np.zeros(DIM, np.int64)
-        for b in batches:
-            n += b.num_rows
-            for _, _, c in counts(b.column(0)):
-                df += (c > 0).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(DIM)], pa.int32()), pa.array([n, *df.tolist()], pa.int64())], ["dim", "n"])
-
-    rows = texts.select("text").mapInArrow(tidy(run), "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
-    found = {r["dim"]: r["n"] for r in rows}
-    return found.get(-1, 0), np.array([found.get(i, 0) for i in range(DIM)], np.float64)
-
-
-def fit(train: DataFrame, sample: int = SAMPLE, per_language: int = CENTROIDS) -> Model:
-    """``train`` (text, lang), one row per document -> a model."""
-    train = train.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    hashed = train.select("lang", F.xxhash64("text", F.lit("sample")).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one number per language
-    if not sizes:
-        return Model()
-    total, df = document_frequencies(train)
-    m = Model(languages=sorted(sizes), idf=(np.log((total + 1) / (df + 1)) + 1).astype(np.float32))
-    share = max(LEAST, sample // len(sizes))
-    # different texts by hash: a multiple of the share is drawn, then cut to it
-    rate = F.broadcast(train.sparkSession.createDataFrame([(k, min(1.0, 4 * share / max(n, 1))) for k, n in sizes.items()], "lang string, rate double"))
-    drawn = hashed.join(rate, "lang").where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < F.col("rate")).select("lang", "h").distinct()
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    keys = saved(drawn.withColumn("turn", turn).where(F.col("turn") <= share).select("lang", "h"), "langid-sample", True)
-    # at most max(SAMPLE, LEAST x languages) rows of two short columns: a bounded broadcast
-    picked = train.withColumn("h", F.xxhash64("text", F.lit("sample"))).join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dims, values = [], []
-            for _, _, c in counts(b.column(1)):
-                for row in c:
-                    at = np.flatnonzero(row)
-                    dims.append(at.astype("<u2").tobytes())
-                    values.append(np.minimum(row[at], 1 << 30).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dims, pa.binary()), pa.array(values, pa.binary())], ["lang", "dims", "counts"])
-
-    rows = picked.select("lang", "text").mapInArrow(tidy(run), "lang string, dims binary, counts binary").collect()
-    groups: dict[str, list[np.ndarray]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], bytes(r["dims"]), bytes(r["counts"]))):
-        c = np.zeros(DIM, np.float32)
-        c[np.frombuffer(r["dims"], "<u2")] = np.frombuffer(r["counts"], "<u4")
-        groups.setdefault(r["lang"], []).append(c)
-    m.languages = sorted(groups)
-    owner, centers, floor = [], [], []
-    for i, lang in enumerate(m.languages):
-        rows = np.stack(groups[lang])
-        c = spherical_kmeans(m.vectors(rows), per_language)
-        owner += [i] * len(c)
-        centers.append(c)
-        floor.append(usual(m, rows, c))
-    m.owner, m.centroids, m.floor = np.array(owner), np.concatenate(centers), FAR * np.array(floor)
-    drop_saved(keys)
-    give_back()
-    return m
-
-
-def usual(m: Model, rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Cosine that 19 of 20 texts reach, by number of n-grams: rows of counts are thinned to each size."""
-    rng, out = np.random.default_rng(0), []
-    for size in THIN:
-        n = rows.sum(1)
-        long = n > size
-        thin = np.where(long[:, None], rng.binomial(rows.astype(np.int64), np.minimum(1.0, size / np.maximum(n, 1))[:, None]), rows)
-        out.append(float(np.quantile((m.vectors(thin) @ centroids.T).max(1), 0.05)))
-    return np.array(out)
-
-
 def has_letter(col: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
